@@ -23,3 +23,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docwarden.llm.decontamination import decontaminated
 
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.urlfilter import filtered
+
+    return filtered(table(spark, sf_dir, "pages"))
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced", "kinds")
+
+
+QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
+ORACLES: dict[str, str] = {}
