@@ -37,5 +37,23 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced", "kinds")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.licenses import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
