@@ -6,8 +6,8 @@ conversation and identifier, ordered so that a result follows its call and a cal
 schemas, and written as canonical JSON (sorted keys, no spaces, no escapes but those that JSON needs).
 
 The result has a row per event, not per conversation, so that a very long conversation is never collected; `after` and `depth` sort its events:
-by the latest turn that an event has to wait for, then by steps from it, then by turn and place. Ordering repeats a join until nothing moves,
-over tool events only; events on a cycle keep their own turn and have cyclic set.
+by the latest turn that an event has to wait for, then by steps from it, then by turn and place. Ordering repeats a join until nothing
+more is resolved, over tool events only; events on a cycle, or waiting for one, keep their own turn and have cyclic set.
 
 Defined results: null role or text count as empty; a text without well-formed calls is a plain message; a result or call without partner is kept
 and not linked; of several results with one identifier each is linked to the first call by turn; a repeated row is an event of its own; a null
@@ -125,21 +125,23 @@ def formatted(conversations: DataFrame, tools: dict | None = None) -> DataFrame:
     uses = acts.where("kind = 'call'").select("conv_id", "key", F.explode("uses").alias("used"))
     needs = uses.join(linked.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("key").alias("need")), conv("conv_id", "c") & (F.col("used") == F.col("i"))).select("key", "need")
     needs = scratch.cut(linked.select("key", F.col("call_key").alias("need")).union(needs).distinct(), "needs")
-    # The turn to wait for and the steps from it, pushed along needs until nothing moves; a chain has no more steps than needs.
-    state = scratch.cut(acts.select("key", F.col("turn").alias("after"), F.lit(0).alias("depth")).distinct(), "state")
-    names, moved, k, most = ["state"], True, 0, needs.count() + 1
-    while moved and k < min(most, 64):
-        got = needs.join(state.withColumnRenamed("key", "need"), "need").groupBy("key").agg(F.max(F.struct("after", (F.col("depth") + 1).alias("depth"))).alias("got"))
-        new = state.join(got, "key", "left")
-        own = F.struct("after", "depth")
-        new = new.select("key", F.when(F.col("got") > own, F.col("got")).otherwise(own).alias("s"), (F.col("got") > own).alias("moved"))
-        new = scratch.cut(new.select("key", "s.after", "s.depth", F.coalesce("moved", F.lit(False)).alias("moved")), f"state{k}")
-        moved, k = not new.where("moved").isEmpty(), k + 1
-        state = new.select("key", "after", "depth", "moved")
-    still = state.select("key", "after", "depth", F.col("moved").alias("cyclic") if k else F.lit(False).alias("cyclic"))
+    # Resolved round by round: what needs nothing, then what needs resolved events only. The rest waits for a cycle.
+    turns = acts.groupBy("key").agg(F.min("turn").alias("turn"))
+    state = scratch.cut(turns.join(needs, "key", "left_anti").select("key", F.col("turn").alias("after"), F.lit(0).alias("depth")), "state")
+    pending, k, grew = needs, 0, True
+    while grew:
+        known = state.select(F.col("key").alias("need"), F.struct("after", (F.col("depth") + 1).alias("depth")).alias("s"))
+        got = pending.join(known, "need", "left").groupBy("key").agg(F.count("*").alias("n"), F.count("s").alias("m"), F.max("s").alias("s")).where("n = m")
+        new = got.join(turns, "key").select("key", F.greatest("s", F.struct(F.col("turn").alias("after"), F.lit(0).alias("depth"))).alias("s"))
+        new = scratch.cut(new.select("key", "s.after", "s.depth"), f"new{k}")
+        grew = not new.isEmpty()
+        state = scratch.cut(state.union(new), f"state{k}")
+        pending = scratch.cut(pending.join(new, "key", "left_anti"), f"pending{k}")
+        k += 1
+    still = turns.select("key").join(state, "key", "left").withColumn("cyclic", F.col("depth").isNull())
     partner = linked.select("key").union(linked.select("call_key")).distinct().withColumn("linked", F.lit(True))
     out = acts.join(still, "key").join(partner, "key", "left").select(
         "conv_id", "turn", "seq", "role", "kind", "call_id", "valid", F.coalesce("linked", F.lit(False)).alias("linked"), "cyclic",
-        F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("after")).alias("after"), F.when(F.col("cyclic"), 0).otherwise(F.col("depth")).alias("depth"), "json",
+        F.coalesce("after", "turn").alias("after"), F.coalesce("depth", F.lit(0)).alias("depth"), "json",
     )
     return plain.union(out)

@@ -15,7 +15,8 @@ kept only if it is linked with nothing. Columns beyond doc_id and text are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +27,43 @@ from docwarden.llm import textkit as tk
 from docwarden.llm.common import Scratch
 from docwarden.llm.components import components
 
-BUCKETS, BAND = 128, 4
 MANTISSA = 10
-#: Estimates below this aren't confirmed: with 128 registers it lies over five standard deviations under 0.75.
-LEAST_ESTIMATE = 0.5
 BLOCK = 256
 
+
+class Shape(NamedTuple):
+    """Registers of a signature, registers of a band, and the least estimate that is confirmed, over five standard deviations under 0.75."""
+
+    buckets: int
+    band: int
+    least: float
+
+
+#: 32 bands of 4: a pair of likeness 0.75 is missed by all with a chance of 5e-6.
+DOCUMENTS = Shape(128, 4, 0.5)
+
 SIGNED = "doc_id long, text_key long, n_shingles long, cls binary, registers binary"
 
 
-def _probes() -> np.ndarray:
+def _probes(buckets: int) -> np.ndarray:
     """For each bucket, all buckets in the fixed random order in which it borrows."""
     rng = np.random.default_rng(7)
-    return np.array([rng.permutation(BUCKETS) for _ in range(BUCKETS)])
+    return np.array([rng.permutation(buckets) for _ in range(buckets)])
 
 
-def registers(value: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
-    """n_docs x BUCKETS registers (uint16) of distinct shingles: 6 bits of leading zeros, MANTISSA bits after the leading one."""
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    low = np.full(n_docs * BUCKETS, none, np.uint64)
+def registers(value: np.ndarray, owner: np.ndarray, n_docs: int, buckets: int) -> np.ndarray:
+    """n_docs x buckets registers (uint16) of distinct shingles: 6 bits of leading zeros, MANTISSA bits after the leading one."""
+    none, bits = np.uint64(0xFFFFFFFFFFFFFFFF), buckets.bit_length() - 1
+    low = np.full(n_docs * buckets, none, np.uint64)
     h = tk.mixed(value ^ np.uint64(0x5851F42D4C957F2D))
-    at = owner * BUCKETS + (h >> np.uint64(57)).astype(np.int64)
-    rest = h << np.uint64(7)
+    at = owner * buckets + (h >> np.uint64(64 - bits)).astype(np.int64)
+    rest = h << np.uint64(bits)
     order = np.lexsort((rest, at))
     at, rest = at[order], rest[order]
     first = np.ones(len(at), bool)
     first[1:] = at[1:] != at[:-1]
     low[at[first]] = rest[first]
-    full = (low != none).reshape(n_docs, BUCKETS)
+    full = (low != none).reshape(n_docs, buckets)
     zeros = np.zeros(len(low), np.uint64)
     x = low.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -61,33 +71,47 @@ def registers(value: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
         zeros[small] += np.uint64(step)
         x[small] <<= np.uint64(step)
     mantissa = (x << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    out = ((np.minimum(zeros, 63) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).reshape(n_docs, BUCKETS)
+    out = ((np.minimum(zeros, 63) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).reshape(n_docs, buckets)
     some = full.any(1) & ~full.all(1)
     if some.any():
-        probes, rows = _probes(), np.flatnonzero(some)
+        probes, rows = _probes(buckets), np.flatnonzero(some)
         for part in np.array_split(rows, len(rows) // 512 + 1):
             lent = np.argmax(full[part][:, probes], 2)  # the first full bucket along each probing order
-            source = probes[np.arange(BUCKETS)[None, :], lent]
+            source = probes[np.arange(buckets)[None, :], lent]
             own = full[part]
             out[part] = np.where(own, out[part], np.take_along_axis(out[part], source, 1))
     return out
 
 
-def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def expected_collisions(n: np.ndarray, m: np.ndarray, buckets: int) -> np.ndarray:
     """Share of registers that agree by chance for disjoint sets of n and m shingles: equal zero counts and equal mantissas."""
     k = np.arange(0, 40)[None, :]
     upper, lower = 2.0 ** -k, 2.0 ** -(k + 1)
-    p = [np.exp(-x[:, None] / BUCKETS * lower) - np.exp(-x[:, None] / BUCKETS * upper) for x in (n, m)]
+    p = [np.exp(-x[:, None] / buckets * lower) - np.exp(-x[:, None] / buckets * upper) for x in (n, m)]
     return (p[0] * p[1]).sum(1) / 2**MANTISSA
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    agree, chance = (a == b).mean(1), expected_collisions(n.astype(float), m.astype(float))
+    agree, chance = (a == b).mean(1), expected_collisions(n.astype(float), m.astype(float), a.shape[-1])
     return (agree - chance) / (1 - chance)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+def _matrix(column: pa.Array, buckets: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, buckets)
+
+
+def signatures(value: np.ndarray, owner: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, list, list]:
+    """Of n sets of distinct shingles: their sizes, 128 bits that name the set, and their registers (both None for an empty set)."""
+    count = np.bincount(owner, minlength=n)
+    sums = np.zeros((n, 2), np.uint64)
+    has = np.flatnonzero(count)
+    if len(has):
+        first = np.searchsorted(owner, has)
+        for i, seed in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
+            sums[has, i] = np.add.reduceat(tk.mixed(value ^ np.uint64(seed)), first)
+        sums[has, 1] ^= tk.mixed(count[has].astype(np.uint64))
+    regs = registers(value, owner, n, buckets)
+    return count, [sums[i].tobytes() if c else None for i, c in enumerate(count)], [regs[i].tobytes() if c else None for i, c in enumerate(count)]
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -101,33 +125,23 @@ def sign(docs: DataFrame) -> DataFrame:
                 data = tk._LOWER[data]
                 start, end, doc = tk.words(data, at, tk.GAPS["spaced"])
                 value, owner = tk.distinct_shingles(*tk.shingles(tk.word_hashes(data, start, end), doc, n))
-                count = np.bincount(owner, minlength=n)
-                sums = np.zeros((n, 2), np.uint64)
-                has = np.flatnonzero(count)
-                if len(has):
-                    first = np.searchsorted(owner, has)
-                    for i, seed in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
-                        sums[has, i] = np.add.reduceat(tk.mixed(value ^ np.uint64(seed)), first)
-                    sums[has, 1] ^= tk.mixed(count[has].astype(np.uint64))
-                regs = registers(value, owner, n)
-                cls = [sums[i].tobytes() if c else None for i, c in enumerate(count)]
-                sig = [regs[i].tobytes() if c else None for i, c in enumerate(count)]
+                count, cls, sig = signatures(value, owner, n, DOCUMENTS.buckets)
                 yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "cls", "registers"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
-def banded(classes: DataFrame) -> DataFrame:
+def banded(classes: DataFrame, shape: Shape) -> DataFrame:
     """A row per class and band: a 64-bit key of the band and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = BUCKETS // BAND
+        bands = shape.buckets // shape.band
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = _matrix(batch.column("registers")).reshape(-1, bands, BAND).astype(np.uint64)
+            regs = _matrix(batch.column("registers"), shape.buckets).reshape(-1, bands, shape.band).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(56), regs.shape[:2]).copy()
-            for i in range(BAND):
+            for i in range(shape.band):
                 key = tk.mixed(key * np.uint64(31) + regs[:, :, i])
             who = np.repeat(np.arange(batch.num_rows), bands)
             yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), batch.column("cls").take(pa.array(who)), batch.column("n").take(pa.array(who))], ["key", "cls", "n"])
@@ -135,14 +149,15 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "n", "registers").mapInArrow(run, "key long, cls binary, n long")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     """Pairs (a, b) whose estimated likeness is high enough to confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
-                ok = pa.array(estimate(_matrix(batch.column("r_a")), _matrix(batch.column("r_b")), n, m) >= LEAST_ESTIMATE)
+                a, b = (_matrix(batch.column(x), shape.buckets) for x in ("r_a", "r_b"))
+                ok = pa.array(estimate(a, b, n, m) >= shape.least)
                 yield pa.record_batch([batch.column(x).filter(ok) for x in ("a", "b")], ["a", "b"])
 
     for side in ("a", "b"):
@@ -176,12 +191,11 @@ def shared_share(pairs: DataFrame, gaps: str = "spaced", least: int = 75) -> Dat
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch, name: str) -> DataFrame:
     """The pairs that their full texts confirm. Only texts of candidates are read again, once for each class."""
-    pairs = scratch.cut(_alike(pairs, classes), f"{name}_alike")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "at"), "cls").select("cls", F.col("at.doc_id").alias("d"), F.col("at.text_key").alias("k"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("d0"), F.xxhash64("text").alias("k0"), F.col("text").cast("string")).join(wanted, F.col("d0").eqNullSafe(F.col("d")) & (F.col("k0") == F.col("k")))
-    texts = scratch.cut(texts.groupBy("cls").agg(F.first("text").alias("text")) if name == "rest" else texts.select("cls", "text").dropDuplicates(["cls"]), f"{name}_texts")
+    pairs = scratch.cut(_alike(pairs, classes, shape), f"{name}_alike")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "at"), "cls")
+    texts = scratch.cut(fetch(wanted).dropDuplicates(["cls"]), f"{name}_texts")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("cls").alias(side), F.col("text").alias(f"text_{side}")), side)
     found = scratch.cut(shared_share(pairs), f"{name}_links")
@@ -189,7 +203,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S
     return found
 
 
-def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     """Pairs of different components within a band's bucket, whose registers are alike. rows: (key, cls, n, size, component). A bucket is dealt
     into blocks of about BLOCK classes and each pair of blocks is one small group, so no task holds a bucket."""
     import pandas as pd
@@ -199,7 +213,7 @@ def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "component", "registers")
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
-        regs, n = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, BUCKETS), got.n.to_numpy()
+        regs, n = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.buckets), got.n.to_numpy()
         names, own = got.cls.to_numpy(), got.own.to_numpy()
         code = pd.factorize(got.component.map(bytes))[0]
         mixed_blocks = got.i.iloc[0] != got.j.iloc[0]
@@ -209,38 +223,51 @@ def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
             rest = rest[(code[rest] != code[k]) & (4 * np.minimum(n[rest], n[k]) >= 3 * np.maximum(n[rest], n[k])) & ((own[rest] != own[k]) | (not mixed_blocks))]
             if len(rest):
                 est = estimate(regs[rest], regs[k][None, :], n[rest], np.full(len(rest), n[k]))
-                found += [(max(bytes(names[k]), bytes(names[x])), min(bytes(names[k]), bytes(names[x]))) for x in rest[est >= LEAST_ESTIMATE]]
+                found += [(max(bytes(names[k]), bytes(names[x])), min(bytes(names[k]), bytes(names[x]))) for x in rest[est >= shape.least]]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id and kept of every document; see the module's text."""
-    scratch = Scratch(docs.sparkSession)
-    signed = scratch.cut(sign(docs), "signed")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("doc_id").alias("least_id"), F.first("registers").alias("registers"))
+def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Classes (cls, n, at, registers) of signed rows (cls, n_shingles, at, registers), and (node, component) of those that are linked.
+
+    at says where a class's text stands; fetch turns (cls, at) into (cls, text)."""
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("at").alias("at"), F.first("registers").alias("registers"))
     classes = scratch.cut(classes, "classes")
-    bands = scratch.cut(banded(classes), "bands")
+    bands = scratch.cut(banded(classes, shape), "bands")
     heads = bands.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     heads = scratch.cut(heads, "heads")
     near = 4 * F.least("n", "head.n") >= 3 * F.greatest("n", "head.n")
     starred = bands.join(heads, "key").where((F.col("cls") != F.col("head.cls")) & near).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
-    links = _confirmed(starred, classes, docs, scratch, "star")
+    links = _confirmed(starred, classes, fetch, shape, scratch, "star")
     found = scratch.cut(components(links, scratch), "found")
     # What the leaders left apart: buckets of three or more that still hold several components.
     wide = bands.join(heads.where("size > 2").select("key", "size"), "key").join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
     wide = scratch.cut(wide, "wide")
     scratch.drop("bands", "heads")
     split = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = _across(wide.join(split, "key"), classes)
-    more = _confirmed(rest, classes, docs, scratch, "rest")
+    more = _confirmed(_across(wide.join(split, "key"), classes, shape), classes, fetch, shape, scratch, "rest")
     if not more.isEmpty():
         found = scratch.cut(components(links.union(more), scratch), "found_all")
-    named = found.join(classes.select(F.col("cls").alias("node"), "least_id"), "node")
+    return classes, found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id and kept of every document; see the module's text."""
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.cut(sign(docs), "signed")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string"))
+        return own.join(wanted, F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key"))).select("cls", "text")
+
+    classes, found = link(signed.withColumn("at", F.struct("doc_id", "text_key")), fetch, DOCUMENTS, scratch)
+    least = scratch.cut(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id")), "least")
+    named = found.join(least.withColumnRenamed("cls", "node"), "node")
     lowest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = scratch.cut(named.join(lowest, "component").select(F.col("node").alias("cls"), "component_id"), "ids")
-    out = signed.join(ids, "cls", "left").join(classes.select("cls", "least_id"), "cls", "left")
+    out = signed.join(ids, "cls", "left").join(least, "cls", "left")
     own = F.coalesce("component_id", "least_id", "doc_id")
-    scratch.close("signed", "classes", "ids")
+    scratch.close("signed", "least", "ids")
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))

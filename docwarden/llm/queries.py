@@ -55,5 +55,17 @@ def op8_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.passages import repeated
+
+    return repeated(table(spark, sf_dir, "documents"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docwarden.llm.digest import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
