@@ -5,8 +5,9 @@ of leading-zero count and mantissa bits. Empty buckets borrow a full one's regis
 candidates, a collision-corrected share of equal registers estimates their likeness, and full shingle sets confirm it.
 
 Texts with one shingle set form a class; only its representative takes part, so copies cost one row each. Within a band's bucket every class is
-compared with the bucket's leader; what the leaders don't connect is compared in blocks, but only across components. So groups of copies cost
-links in proportion to their size, and no pair of different components that shares a band goes untested.
+compared with the bucket's leader; then classes outside their bucket's main component are compared, by their registers, with all of the bucket, and
+the likeliest partners of other components are confirmed. So groups of copies cost links in proportion to their size. A link is lost only if its
+pair shares no band, or if in each common bucket of three or more its likeness is estimated below those of PARTNERS * TURNS others that fail.
 
 Defined results: a null text and one without words have no shingles, are linked with nothing and are kept; a repeated row (same doc_id and text)
 stays a row of its own, in the same component; a null doc_id takes part in links but is never a component_id while another id is there, and is
@@ -28,7 +29,8 @@ from docwarden.llm.common import Scratch
 from docwarden.llm.components import components
 
 MANTISSA = 10
-BLOCK = 256
+#: After the leaders, classes outside their bucket's main component name their PARTNERS likeliest partners in each of TURNS turns.
+BLOCK, PARTNERS, TURNS = 256, 2, 2
 
 
 class Shape(NamedTuple):
@@ -193,7 +195,7 @@ def shared_share(pairs: DataFrame, gaps: str = "spaced", least: int = 75) -> Dat
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch, name: str) -> DataFrame:
     """The pairs that their full texts confirm. Only texts of candidates are read again, once for each class."""
-    pairs = scratch.cut(_alike(pairs, classes, shape), f"{name}_alike")
+    pairs = scratch.cut(pairs, f"{name}_alike")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "at"), "cls")
     texts = scratch.cut(fetch(wanted).dropDuplicates(["cls"]), f"{name}_texts")
     for side in ("a", "b"):
@@ -203,30 +205,34 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame]
     return found
 
 
-def _across(rows: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
-    """Pairs of different components within a band's bucket, whose registers are alike. rows: (key, cls, n, size, component). A bucket is dealt
-    into blocks of about BLOCK classes and each pair of blocks is one small group, so no task holds a bucket."""
+def _across(rows: DataFrame, classes: DataFrame, shape: Shape, turn: int) -> DataFrame:
+    """Pairs to confirm within the buckets that still hold several components. rows: (key, cls, n, size, component, main), main the bucket's largest.
+
+    Each class outside its bucket's main component names its likeliest partners of other components, PARTNERS of them in each turn, the next best
+    ones in the next. A bucket is dealt into blocks of about BLOCK classes, and each pair of blocks is one small group: no task holds a bucket, and
+    what is named grows with the bucket's size."""
     import pandas as pd
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(classes.select("cls", "registers"), "cls")
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "component", "registers")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(classes.select("cls", "registers"), "cls")
+    outside = F.col("component") != F.col("main")
+    # A class outside meets every block of its bucket; one inside stands in its own block, once.
+    every = F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = rows.withColumn("block", F.explode(every)).select("key", "block", (F.col("block") == F.col("own")).alias("home"), outside.alias("outside"), "cls", "n", "component", "registers")
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
         regs, n = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.buckets), got.n.to_numpy()
-        names, own = got.cls.to_numpy(), got.own.to_numpy()
-        code = pd.factorize(got.component.map(bytes))[0]
-        mixed_blocks = got.i.iloc[0] != got.j.iloc[0]
-        found: list[tuple] = []
-        for k in range(len(got) - 1):
-            rest = np.arange(k + 1, len(got))
-            rest = rest[(code[rest] != code[k]) & (4 * np.minimum(n[rest], n[k]) >= 3 * np.maximum(n[rest], n[k])) & ((own[rest] != own[k]) | (not mixed_blocks))]
+        names, code = [bytes(x) for x in got.cls], pd.factorize(got.component.map(bytes))[0]
+        home = got.home.to_numpy()
+        found: set[tuple] = set()
+        for k in np.flatnonzero(got.outside.to_numpy()):
+            rest = np.flatnonzero(home & (code != code[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k])))
             if len(rest):
                 est = estimate(regs[rest], regs[k][None, :], n[rest], np.full(len(rest), n[k]))
-                found += [(max(bytes(names[k]), bytes(names[x])), min(bytes(names[k]), bytes(names[x]))) for x in rest[est >= shape.least]]
-        return pd.DataFrame(found, columns=["a", "b"])
+                best = np.argsort(-est, kind="stable")[PARTNERS * turn : PARTNERS * (turn + 1)]
+                found |= {(max(names[k], names[x]), min(names[k], names[x])) for x in rest[best[est[best] >= shape.least]]}
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+    return dealt.groupBy("key", "block").applyInPandas(run, "a binary, b binary").distinct()
 
 
 def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -240,16 +246,21 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     heads = scratch.cut(heads, "heads")
     near = 4 * F.least("n", "head.n") >= 3 * F.greatest("n", "head.n")
     starred = bands.join(heads, "key").where((F.col("cls") != F.col("head.cls")) & near).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
-    links = _confirmed(starred, classes, fetch, shape, scratch, "star")
+    links = _confirmed(_alike(starred, classes, shape), classes, fetch, shape, scratch, "star")
     found = scratch.cut(components(links, scratch), "found")
     # What the leaders left apart: buckets of three or more that still hold several components.
-    wide = bands.join(heads.where("size > 2").select("key", "size"), "key").join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
-    wide = scratch.cut(wide, "wide")
+    wide = scratch.cut(bands.join(heads.where("size > 2").select("key", "size"), "key"), "wide")
     scratch.drop("bands", "heads")
-    split = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = _confirmed(_across(wide.join(split, "key"), classes, shape), classes, fetch, shape, scratch, "rest")
-    if not more.isEmpty():
-        found = scratch.cut(components(links.union(more), scratch), "found_all")
+    for turn in range(TURNS):
+        placed = wide.join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
+        placed = scratch.cut(placed, f"placed{turn}")
+        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+        split = sizes.where("parts > 1").select("key", "main")
+        more = _confirmed(_across(placed.join(split, "key"), classes, shape, turn), classes, fetch, shape, scratch, f"more{turn}")
+        scratch.drop(f"placed{turn}")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = scratch.cut(components(links, scratch), f"found{turn}")
     return classes, found
 
 
