@@ -1,6 +1,449 @@
-"""Every query by name, with the DuckDB SQL that gives the same rows."""
+"""Every query by name, with the DuckDB SQL that gives the same rows.
+
+Where the engine's tables have no counterpart in the test data, embeddings stand for vectors (symbols are made of label and id), documents for
+sections, labels for outcomes, conversations for Markdown sources and events for logs."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from docwarden.functions import expressions as x
+from docwarden.operators import chunking, claims, embedding, evaluation, merge, reporting, retrieval
+from docwarden.schema import PARAMS, STATUSES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def literal(columns: str, rows: list[tuple]) -> str:
+    """A VALUES query of expected rows."""
+    one = lambda v: "NULL" if v is None else ("TRUE" if v else "FALSE") if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE source = 'src0') AS hot, count(*) FILTER (WHERE n_chars < 500) AS short, sum(length(text) - length(replace(text, chr(10), ''))) AS breaks FROM documents GROUP BY lang")
+def q01_conditional_counts(spark, d):
+    return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "src0").alias("hot"), F.count_if(F.col("n_chars") < 500).alias("short"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
+
+
+@query("SELECT conv_id, concat(role, ' ', turn) AS heading, 2 AS heading_level, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
+def q02_markdown_sections(spark, d):
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("repo_id"), F.concat_ws("/", "conv_id", "turn").alias("file_path"), F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), "text", F.lit("\n")).alias("text"))
+    return chunking.chunk_docs(rows).select(F.col("repo_id").alias("conv_id"), "heading", "heading_level", "text")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 497) || '...' ELSE text END AS heading FROM documents")
+def q03_truncated_headings(spark, d):
+    return t(spark, d, "documents").select("doc_id", x.truncated_heading(F.col("text")).alias("heading"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def q04_content_hash(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+def _snapshots(spark, d):
+    new = t(spark, d, "documents").where("doc_id % 7 <> 3").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    old = t(spark, d, "documents").where("doc_id % 5 <> 2").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    return old, new
+
+
+@query("""WITH o AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 2), n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 3)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS change FROM o FULL OUTER JOIN n ON o.doc_id = n.doc_id""")
+def q05_snapshot_diff(spark, d):
+    """Old and new snapshots are made of the same table: rows that only one has stand for additions and deletions."""
+    return merge.snapshot_diff(*_snapshots(spark, d), ["doc_id"], "content_hash")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def q06_latest_wins(spark, d):
+    return merge.latest(t(spark, d, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT coalesce(o.c_custkey, n.k) AS c_custkey, coalesce(n.name, o.c_name) AS c_name, CASE WHEN o.c_custkey IS NOT NULL THEN o.c_nationkey ELSE n.nation END AS c_nationkey FROM (SELECT * FROM customer WHERE c_custkey % 4 <> 1) o FULL OUTER JOIN (SELECT c_custkey AS k, c_name || '+' AS name, c_nationkey + 100 AS nation FROM customer WHERE c_custkey % 3 = 0) n ON o.c_custkey = n.k")
+def q06b_upsert_per_column(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    new = c.where("c_custkey % 3 = 0").select("c_custkey", F.concat("c_name", F.lit("+")).alias("c_name"), (F.col("c_nationkey") + 100).alias("c_nationkey"))
+    return merge.upserted(c.where("c_custkey % 4 <> 1"), new, ["c_custkey"], ["c_name"])
+
+
+@query(r"SELECT doc_id, trim(source || '\n' || text) AS embedding_text FROM documents")
+def q07_embedding_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", x.doc_embedding_text(F.col("source"), F.col("text")).alias("embedding_text"))
+
+
+@query("SELECT lang, count(*) FILTER (WHERE doc_id % 4 <> 0) AS embedded, count(*) FILTER (WHERE doc_id % 4 = 0) AS fallback FROM documents GROUP BY lang")
+def q08_embedding_fallback(spark, d):
+    rows = t(spark, d, "documents").select("lang", F.when(F.col("doc_id") % 4 == 0, "  \n").otherwise(F.substring("text", 1, 1_000_000)).alias("own"), "source")
+    done = embedding.embed(rows, "own", "source").where("embedding is not null")
+    return done.groupBy("lang").agg(F.count_if(~F.col("used_fallback")).alias("embedded"), F.count_if("used_fallback").alias("fallback"))
+
+
+@query("SELECT vec_id, i, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))), 6) + 0.0 AS v FROM embeddings, generate_series(1, 64) AS s(i)")
+def q09_unit_vectors(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", F.posexplode(x.unit(F.col("embedding"))).alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+FLOOR, MARGIN = 0.35, 0.03
+
+
+def _vectors(spark, d):
+    e = t(spark, d, "embeddings").withColumn("symbol", F.concat(F.lit("C"), F.col("label").cast("string"), F.lit(".f"), (F.col("vec_id") % 20).cast("string")))
+    guess = F.when(F.col("vec_id") % 50 == 0, F.concat(F.lit("F"), (F.col("vec_id") % 7).cast("string")))
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("claim_id"), F.lit(1).alias("repo_id"), guess.alias("guess"), F.col("embedding").alias("vector"))
+    code = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("repo_id"), F.col("symbol").alias("symbol_name"), F.col("embedding").alias("vector"))
+    return asked, code
+
+
+TOP_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, concat('C', label, '.f', vec_id % 20) AS s FROM embeddings),
+p AS (SELECT a.vec_id AS claim_id, CASE WHEN a.vec_id % 50 = 0 THEN concat('F', a.vec_id % 7) END AS guess, b.vec_id AS chunk_id, b.s AS symbol_name, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, chunk_id) AS rank FROM p), top AS (SELECT * FROM k WHERE rank <= 5)"""
+CASCADE_SQL = TOP_SQL + """,
+m AS (SELECT *, coalesce(guess <> '' AND (symbol_name = guess OR ends_with(symbol_name, '.' || guess)), false) AS ex, coalesce(guess <> '' AND (lower(symbol_name) = lower(guess) OR ends_with(lower(symbol_name), '.' || lower(guess))), false) AS lo FROM top),
+n AS (SELECT *, bool_or(ex) OVER (PARTITION BY claim_id) AS any_ex FROM m), h AS (SELECT *, CASE WHEN any_ex THEN ex ELSE lo END AS named FROM n),
+g AS (SELECT claim_id, list(score ORDER BY rank) AS s, list(chunk_id ORDER BY rank) AS c, list(score ORDER BY rank) FILTER (WHERE named) AS ns, list(chunk_id ORDER BY rank) FILTER (WHERE named) AS nc FROM h GROUP BY claim_id),
+f AS (SELECT claim_id, CASE WHEN len(ns) = 1 OR (len(ns) > 1 AND round(ns[1] - ns[2], 6) > 0.03) THEN 'matched' WHEN len(ns) > 1 THEN 'ambiguous' WHEN s[1] <= 0.35 THEN 'no_match' WHEN len(s) = 1 OR round(s[1] - s[2], 6) > 0.03 THEN 'matched' ELSE 'ambiguous' END AS match_status, CASE WHEN len(ns) > 0 THEN nc[1] ELSE c[1] END AS best FROM g)"""
+
+
+@query(TOP_SQL + " SELECT claim_id, chunk_id, symbol_name, score, rank FROM top")
+def q10_cosine_top_k(spark, d):
+    return retrieval.top_k(*_vectors(spark, d)).drop("guess")
+
+
+@query(CASCADE_SQL + " SELECT claim_id, match_status, CASE WHEN match_status = 'matched' THEN best END AS matched_chunk_id FROM f")
+def q11_retrieval_cascade(spark, d):
+    """With a floor and margin that split this data; the production ones are retrieval.FLOOR and MARGIN."""
+    return retrieval.retrieved(*_vectors(spark, d), floor=FLOOR, margin=MARGIN).drop("top_k")
+
+
+def _shares_sql(column: str, names: tuple[str, ...], source: str) -> str:
+    each = ", ".join(f"count(*) FILTER (WHERE {column} = '{n}') AS {n.lower()}, round(coalesce(100.0 * count(*) FILTER (WHERE {column} = '{n}') / nullif(count(*), 0), 0.0), 1) AS {n.lower()}_pct" for n in names)
+    return f"SELECT count(*) AS total, {each} FROM {source}"
+
+
+@query(CASCADE_SQL + _shares_sql("match_status", ("matched", "ambiguous", "no_match"), "f").replace("SELECT", " SELECT", 1))
+def q12_retrieval_summary(spark, d):
+    return retrieval.shares(q11_retrieval_cascade(spark, d), "match_status", ("matched", "ambiguous", "no_match"))
+
+
+_CASES = [  # guess, candidates (symbol, score), expected status, expected symbol
+    ("f", [("m.f", 0.2), ("g", 0.9)], "matched", "m.f"), ("F", [("m.f", 0.2), ("g", 0.9)], "matched", "m.f"), ("f", [("a.f", 0.8), ("b.f", 0.7)], "matched", "a.f"), ("f", [("a.f", 0.8), ("b.f", 0.75)], "ambiguous", None),
+    ("f", [("a.f", 0.5), ("b.F", 0.49)], "matched", "a.f"), ("zz", [("a", 0.9), ("b", 0.2)], "matched", "a"), (None, [("a", 0.55)], "no_match", None), (None, [("a", 0.56)], "matched", "a"),
+    (None, [("a", 0.9), ("b", 0.86)], "ambiguous", None), ("", [("a", 0.9), ("b", 0.8)], "matched", "a"), (None, [], "no_match", None), ("f", [("xf", 0.9), ("y", 0.3)], "matched", "xf"),
+]
+
+
+@query(literal("id, match_status, symbol", [(k, c[2], c[3]) for k, c in enumerate(_CASES)]))
+def q13_symbol_matching(spark, d):
+    rows = values(spark, "id int, guess string, c array<struct<score:double,chunk_id:long,symbol_name:string>>", [(k, g, [(s, i, n) for i, (n, s) in enumerate(c)]) for k, (g, c, _, _) in enumerate(_CASES)])
+    got = rows.withColumn("f", retrieval.cascade(F.col("c"), F.col("guess")))
+    return got.select("id", "f.match_status", F.get("c", F.col("f.chunk_id").cast("int"))["symbol_name"].alias("symbol"))
+
+
+@query("SELECT d.doc_id, l.quality, e.label FROM documents d JOIN (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0) s ON d.source = s.source LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON l.doc_id = e.vec_id AND l.quality = 1")
+def q14_verify_input(spark, d):
+    docs, sources = t(spark, d, "documents"), t(spark, d, "documents").where("doc_id % 2 = 0").select("source").distinct()
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("label").alias("label"))
+    rows = docs.join(sources, "source").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.join(e, (F.col("doc_id") == F.col("v")) & (F.col("quality") == 1), "left").select("doc_id", "quality", "label")
+
+
+def _p(name, kind="POSITIONAL_OR_KEYWORD", default=None, is_literal=True):
+    return (name, kind, default is not None, default, is_literal and default is not None)
+
+
+_KW = _p("kw", "VAR_KEYWORD")
+_SIGNATURES = [([], [_p("a")], "Unverifiable"), (["A", "b"], [_p("b"), _p("a")], "Verified"), (["a", "z"], [_p("a")], "Contradicted"), (["z"], [_p("a"), _KW], "Unverifiable")]
+
+
+@query(literal("id, status", [(k, c[2]) for k, c in enumerate(_SIGNATURES)]))
+def q15_signature_claims(spark, d):
+    rows = values(spark, f"id int, names array<string>, params {PARAMS}", [(k, n, p) for k, (n, p, _) in enumerate(_SIGNATURES)])
+    return rows.select("id", x.verified_signature(F.col("names"), F.col("params"))["status"].alias("status"))
+
+
+_DEFAULTS = [
+    (None, "1", [_p("a")], "Unverifiable", None), ("a", None, [_p("a")], "Unverifiable", None), ("z", "1", [_p("a")], "Contradicted", "parameter not found"), ("z", "1", [_KW], "Unverifiable", "parameter not found"), ("a", "1", [_p("a")], "Contradicted", "no default"),
+    ("a", "x()", [_p("a", default="x()", is_literal=False)], "Unverifiable", "x()"), ("A", "30.0", [_p("a", default="30")], "Verified", "30"), ("a", "31", [_p("a", default="30")], "Contradicted", "30"), ("a", "none", [_p("a", default="None")], "Verified", "None"),
+]
+
+
+@query(literal("id, status, actual_value", [(k, c[3], c[4]) for k, c in enumerate(_DEFAULTS)]))
+def q16_default_claims(spark, d):
+    rows = values(spark, f"id int, name string, v string, params {PARAMS}", [(k, n, v, p) for k, (n, v, p, _, _) in enumerate(_DEFAULTS)])
+    return rows.select("id", x.verified_default(F.col("name"), F.col("v"), F.col("params")).alias("o")).select("id", "o.status", "o.actual_value")
+
+
+_SAME = [("'abc'", "ABC", True), ('"x', "x", False), (" True ", "1", True), ("0", "false", True), ("nil", "None", True), ("1.0", "1", False), ("2.0", "2", True), ("1e3", "1000", True), ("1_000", "1000.0", True), ("30d", "30", False), ("'5'", "5", True), ("", "''", True), ("inf", "Infinity", True), ("-0.0", "0.0", True)]
+
+
+@query(literal("id, same", [(k, c[2]) for k, c in enumerate(_SAME)]))
+def q17_normalized_values(spark, d):
+    return values(spark, "id int, a string, b string", [(k, a, b) for k, (a, b, _) in enumerate(_SAME)]).select("id", x.same_default(F.col("a"), F.col("b")).alias("same"))
+
+
+_ENV = [("a.py", "os.environ.get('HOME')", "HOME"), ("a.py", 'x = os.getenv( "A.B" )', "A.B"), ("b.py", "os.environ['HOME']", "home"), ("b.py", "os.environ['AxB']", "A.B"), ("c.py", "environ['HOME']", "HOME")]
+
+
+@query(literal("id, reads", [(0, True), (1, True), (2, False), (3, False), (4, False)]))
+def q18_env_scan(spark, d):
+    return values(spark, "id int, path string, source string, name string", [(k, *c) for k, c in enumerate(_ENV)]).select("id", x.reads_env(F.col("source"), F.col("name")).alias("reads"))
+
+
+_RETURNS = [("int", "list[int]", "Verified"), ("str", "int", "Contradicted"), ("str", None, "Unverifiable"), (None, "int", "Unverifiable"), ("None", "None", "Verified")]
+
+
+@query(literal("id, status", [(k, c[2]) for k, c in enumerate(_RETURNS)]))
+def q19_return_claims(spark, d):
+    return values(spark, "id int, c string, a string", [(k, c, a) for k, (c, a, _) in enumerate(_RETURNS)]).select("id", x.verified_return(F.col("c"), F.col("a"))["status"].alias("status"))
+
+
+_CLAIMS = [
+    (1, "signature", "matched", 1, "def f(x=1): pass", {"param_names": ["x"]}, "Verified"), (2, "default_value", "matched", 1, "def f(x=1): pass", {"param_name": "x", "default": "2"}, "Contradicted"), (3, "behavior", "matched", 1, "def f(x=1): pass", {}, "Unverifiable"),
+    (4, "signature", "no_match", None, None, {"param_names": ["x"]}, "Unverifiable"), (5, "env_var", "matched", 1, "def f(x=1): pass", {"var_name": "HOME"}, "Verified"), (6, "env_var", "matched", 1, "def f(x=1): pass", {"var_name": "NOPE"}, "Unverifiable"),
+    (7, "return_type", "matched", 2, "class A:\n    def __init__(self, y) -> None: ...", {"return_type": "None"}, "Verified"), (8, "signature", "matched", 3, "x = 1", {"param_names": ["x"]}, "Unverifiable"), (9, "signature", None, None, None, {"param_names": ["x"]}, "Unverifiable"),
+]
+
+
+@query(literal("id, status", [(c[0], c[6]) for c in _CLAIMS]))
+def q20_verify_dispatch(spark, d):
+    from docwarden.operators import verification
+
+    names = ("param_names", "param_count", "param_name", "default", "var_name", "return_type")
+    rows = values(spark, f"id long, repo_id long, claim_type string, match_status string, chunk_id long, file_path string, source_text string, value {claims.VALUE}", [(i, 1, kind, m, c, "a.py", s, tuple(v.get(n) for n in names)) for i, kind, m, c, s, v, _ in _CLAIMS])
+    files = values(spark, "repo_id long, file_path string, text string", [(1, "b.py", "os.getenv('HOME')"), (1, "c.py", "os.environ['HOME']")])
+    readers = verification.env_readers(rows.select("repo_id", "value.var_name"), files)
+    return verification.verified(chunking.resolve_symbols(rows), readers).select("id", "status")
+
+
+_STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Verified' WHEN toxic = 1 THEN 'Contradicted' ELSE 'Unverifiable' END"
+
+
+def _entries(spark, d):
+    """Labelled documents as report entries: sources are files, ids lines; some lines are missing."""
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return rows.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("doc_file"), F.when(F.col("n_chars") % 5 != 0, F.col("n_chars") % 97).alias("doc_start_line"), F.expr(_STATUS).alias("status"))
+
+
+_ENTRIES_SQL = f"WITH e AS (SELECT l.doc_id AS claim_id, source AS doc_file, CASE WHEN n_chars % 5 <> 0 THEN n_chars % 97 END AS doc_start_line, {_STATUS} AS status FROM labels l JOIN documents d ON l.doc_id = d.doc_id), o AS (SELECT *, CASE status WHEN 'Contradicted' THEN 0 WHEN 'Unverifiable' THEN 1 ELSE 2 END AS severity FROM e), f AS (SELECT doc_file, min(severity) AS file_severity, count(*) FILTER (WHERE severity < 2) AS issues, row_number() OVER (ORDER BY min(severity), doc_file) AS file_ord FROM o GROUP BY doc_file), r AS (SELECT o.*, f.file_severity, f.issues, f.file_ord, row_number() OVER (PARTITION BY o.doc_file ORDER BY severity, doc_start_line NULLS LAST, claim_id) AS entry_ord FROM o JOIN f ON o.doc_file = f.doc_file)"
+
+
+@query(_ENTRIES_SQL + _shares_sql("status", STATUSES, "e").replace("SELECT", " SELECT", 1))
+def q21_verify_statistics(spark, d):
+    return retrieval.shares(_entries(spark, d), "status", STATUSES)
+
+
+@query("SELECT l.doc_id AS claim_id, d.source AS doc_file, l.quality, l.toxic, d.lang, e.label FROM labels l JOIN documents d ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = l.doc_id")
+def q22_report_join(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(e, "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("doc_file"), "quality", "toxic", "lang", "label")
+
+
+@query(_ENTRIES_SQL + " SELECT claim_id, doc_file, doc_start_line, status, severity, file_severity, file_ord, entry_ord FROM r")
+def q23_report_order(spark, d):
+    return reporting.ordered(_entries(spark, d)).drop("issues")
+
+
+@query(_ENTRIES_SQL + " SELECT count(*) FILTER (WHERE status = 'Verified') AS verified, count(*) FILTER (WHERE status = 'Contradicted') AS contradicted, count(*) FILTER (WHERE status = 'Unverifiable') AS unverifiable FROM e")
+def q24_report_totals(spark, d):
+    return reporting.totals(_entries(spark, d))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'behavior claims cannot be checked mechanically' WHEN doc_id % 4 = 1 THEN 'no confident match to a symbol' WHEN doc_id % 4 = 2 THEN 'value extraction failed' ELSE 'symbol or value could not be resolved' END AS reason FROM documents")
+def q25_unverifiable_reasons(spark, d):
+    m = F.col("doc_id") % 4
+    return t(spark, d, "documents").select("doc_id", x.unverifiable_reason(F.when(m == 0, "behavior").otherwise("signature"), F.when(m != 1, F.lit("s")), F.when(m == 3, F.lit("a")), F.lit(None).cast("string")).alias("reason"))
+
+
+@query(_ENTRIES_SQL + " SELECT doc_file, file_ord, issues, string_agg(claim_id::VARCHAR, ',' ORDER BY entry_ord) AS shown FROM r WHERE status <> 'Verified' GROUP BY doc_file, file_ord, issues")
+def q26_report_sections(spark, d):
+    rows = reporting.sections(_entries(spark, d))
+    return rows.select("doc_file", "file_ord", "issues", F.array_join(F.transform("entries", lambda e: e["claim_id"].cast("string")), ",").alias("shown"))
+
+
+@query("WITH c AS (SELECT event_id AS claim_id, user_id AS chunk_id, event_type IN ('click', 'purchase') AS preferred FROM events WHERE event_id % 3 <> 0), f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY preferred DESC, claim_id) AS r FROM c) SELECT chunk_id, claim_id, preferred FROM f WHERE r = 1 ORDER BY preferred DESC, md5('42|' || chunk_id), chunk_id LIMIT 15")
+def q27_fault_targets(spark, d):
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "signature").otherwise("env_var")
+    rows = t(spark, d, "events").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("chunk_id"), kind.alias("claim_type"), F.when(F.col("event_id") % 3 != 0, "matched").otherwise("no_match").alias("match_status"))
+    return evaluation.fault_targets(rows, 15).select("chunk_id", "claim_id", "preferred")
+
+
+_DETECT_SQL = "WITH r AS (SELECT user_id AS fault_id, event_id AS ord, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'Contradicted' WHEN event_id % 2 = 0 THEN 'Verified' END AS status FROM events), f AS (SELECT fault_id, coalesce(bool_or(status = 'Contradicted'), false) AS detected, max_by(status, ord) FILTER (WHERE status IS NOT NULL) AS last FROM r GROUP BY fault_id)"
+
+
+def _faults(spark, d):
+    status = F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), "Contradicted").when(F.col("event_id") % 2 == 0, "Verified")
+    return evaluation.detection(t(spark, d, "events").select(F.col("user_id").alias("fault_id"), F.col("event_id").alias("ord"), status.alias("status")))
+
+
+@query(_DETECT_SQL + " SELECT fault_id, detected, CASE WHEN detected THEN 'Contradicted' ELSE coalesce(last, 'No matching claim verified') END AS outcome FROM f")
+def q28_fault_detection(spark, d):
+    return _faults(spark, d)
+
+
+@query(_DETECT_SQL + " SELECT count(*) AS n_faults, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE NOT detected) AS missed, round(100.0 * count(*) FILTER (WHERE detected) / count(*), 1) AS detection_rate FROM f")
+def q28b_detection_rate(spark, d):
+    return evaluation.detection_rate(_faults(spark, d))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
+def q29_label_sample(spark, d):
+    return evaluation.sample_for_labels(t(spark, d, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source")
+
+
+@query("WITH a AS (SELECT l.doc_id, CASE WHEN l.doc_id % 11 <> 0 THEN quality END AS e, coalesce(c.n, 0) AS a FROM labels l LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY conv_id) c ON l.doc_id = c.conv_id) SELECT count(*) FILTER (WHERE e IS NOT NULL) AS labeled, count(*) FILTER (WHERE e IS NULL) AS skipped, count(*) FILTER (WHERE e = a) AS exact, count(*) FILTER (WHERE abs(e - a) <= 1) AS within_one, count(*) FILTER (WHERE e = 0 AND a = 0) AS zero_correct, count(*) FILTER (WHERE e > 0 AND a > 0) AS nonzero_correct, count(*) FILTER (WHERE e = 0) AS zero_total FROM a")
+def q30_extraction_score(spark, d):
+    labelled = t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("quality")).alias("expected"))
+    return evaluation.extraction_score(labelled, t(spark, d, "conversations").where("role = 'system'").select(F.col("conv_id").alias("id")))
+
+
+_ANSWERS = [
+    (1, '[{"claim_text": "a", "claim_type": "Signature", "referenced_symbol_guess": "f"}]', [("a", "signature", "f", None)]),
+    (2, '```json\n[{"claim_text": "b", "claim_type": "odd", "referenced_symbol_guess": ""}]\n```', [("b", "behavior", None, None)]),
+    (3, 'Sure: [{"claim_text": "c", "claim_type": "env_var", "referenced_symbol_guess": 42}] done', [("c", "env_var", "42", None)]),
+    (4, "garbage", [(None, None, None, "not a JSON list")]),
+    (5, '[{"claim_text": " ", "claim_type": "x", "referenced_symbol_guess": null}, {"claim_text": "d"}, 7]', [(None, None, None, "item 0: blank text"), (None, None, None, "item 1: not an object with the three keys"), (None, None, None, "item 2: not an object with the three keys")]),
+    (6, "[]", []),
+]
+
+
+@query(literal("id, claim_text, claim_type, referenced_symbol_guess, error", [(i, *r) for i, _, rows in _ANSWERS for r in rows]))
+def q31_parse_claims(spark, d):
+    return claims.parse_answers(values(spark, "id long, raw string", [a[:2] for a in _ANSWERS]))
+
+
+_VALUES = [
+    (1, "signature", '{"param_names": ["a", 2], "param_count": "3"}', "a,2", 3, None), (2, "signature", '{"param_names": "a", "param_count": "x"}', "a", None, None), (3, "signature", "{}", "", None, None),
+    (4, "default_value", '```\n{"param_name": "p", "default": 5}\n```', None, None, "5"), (5, "env_var", "[1]", None, None, None), (6, "behavior", "{}", None, None, None),
+]
+
+
+@query(literal("id, names, param_count, default_text", [(i, n, c, v) for i, _, _, n, c, v in _VALUES]))
+def q32_parse_values(spark, d):
+    rows = claims.parse_values(values(spark, "id long, claim_type string, raw string", [v[:3] for v in _VALUES]))
+    return rows.select("id", F.array_join("value.param_names", ",").alias("names"), F.col("value.param_count").alias("param_count"), F.col("value.default").alias("default_text"))
+
+
+_SOURCE = 'import os\n\n@deco\n@other(1)\ndef outer(a):\n    """Doc."""\n    def inner(): ...\n    class Local:\n        pass\n    return inner\n\nclass A:\n    class B:\n        async def run(self): ...\n    @property\n    def p(self):\n        return 1\n    @p.setter\n    def p(self, v): ...\n\nif os:\n    def outer(): ...\n'
+_CHUNKS = [("outer", "function", 3, 10, "Doc."), ("outer.inner", "function", 7, 7, None), ("outer.Local", "class", 8, 9, None), ("A", "class", 12, 19, None), ("A.B", "class", 13, 14, None), ("A.B.run", "async_method", 14, 14, None), ("A.p", "method", 15, 17, None), ("A.p#2", "method", 18, 19, None), ("outer#2", "function", 22, 22, None)]
+
+
+@query(literal("symbol_name, symbol_type, start_line, end_line, docstring", _CHUNKS))
+def q33_code_chunks(spark, d):
+    return chunking.chunk_code(values(spark, "repo_id long, file_path string, text string", [(1, "a.py", _SOURCE)])).select("symbol_name", "symbol_type", "start_line", "end_line", "docstring")
+
+
+_PARAMS_SOURCE = "def f(a, b=-5, /, c: int = [1], *args, d=X, e=1 + 2, **kw) -> 'list[int]': ..."
+_PARAMS = [(0, "a", "POSITIONAL_ONLY", False, None, False), (1, "b", "POSITIONAL_ONLY", True, "-5", True), (2, "c", "POSITIONAL_OR_KEYWORD", True, "[1]", True), (3, "args", "VAR_POSITIONAL", False, None, False), (4, "d", "KEYWORD_ONLY", True, "X", False), (5, "e", "KEYWORD_ONLY", True, "1 + 2", False), (6, "kw", "VAR_KEYWORD", False, None, False)]
+
+
+@query(literal("pos, name, kind, has_default, default_repr, is_literal", _PARAMS))
+def q34_resolved_parameters(spark, d):
+    rows = chunking.resolve_symbols(values(spark, "source_text string", [(_PARAMS_SOURCE,)]))
+    return rows.select(F.posexplode("resolved.parameters").alias("pos", "p")).select("pos", "p.*")
+
+
+_RST = "intro\n\nTitle\n=====\nbody\n\nSub\n---\ntext\n\nToo long a title\n---\n\nNext\n====\n"
+_RST_CHUNKS = [("r.rst (preamble)", 0, "intro", 1, 2), ("Title", 1, "body", 5, 6), ("Title > Sub", 2, "text\n\nToo long a title\n---", 9, 13), ("Next", 1, "", 16, 15)]
+
+
+@query(literal("heading, heading_level, text, start_line, end_line", _RST_CHUNKS))
+def q35_rst_sections(spark, d):
+    return chunking.chunk_docs(values(spark, "repo_id long, file_path string, text string", [(1, "r.rst", _RST)])).drop("repo_id", "file_path", "code_blocks")
+
+
+_MODULES = [("a/b.py", "a.b"), ("pkg/__init__.py", "pkg"), ("x.txt", None), ("__init__.py", ""), ("top.py", "top")]
+
+
+@query(literal("file_path, module", _MODULES))
+def q36_module_paths(spark, d):
+    return values(spark, "file_path string", [(a,) for a, _ in _MODULES]).select("file_path", x.module_path(F.col("file_path")).alias("module"))
+
+
+@query("WITH g AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM g)) SELECT 'customer' AS tab, count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE c_custkey NOT IN (SELECT * FROM g) UNION ALL SELECT 'orders', count(*), sum(o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT * FROM o) UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM o)")
+def q37_cascade_delete(spark, d):
+    tables = [(t(spark, d, "customer"), "c_custkey", None), (t(spark, d, "orders"), "o_orderkey", "o_custkey"), (t(spark, d, "lineitem"), "l_orderkey", "l_orderkey")]
+    roots = t(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey")
+    kept = zip(("customer", "orders", "lineitem"), ("c_custkey", "o_orderkey", "l_orderkey"), merge.cascade_deleted(tables, roots))
+    one, two, three = [rows.agg(F.lit(name).alias("tab"), F.count("*").alias("n"), F.sum(key).alias("keys")) for name, key, rows in kept]
+    return one.union(two).union(three)
+
+
+_PATHS = [("a.py", True, False), ("tests/a.py", False, False), ("test_a.py", False, False), ("a_test.py", False, False), ("env/a.py", False, False), ("x.egg-info/a.py", False, False), ("pkg/__init__.py", True, False), ("README", False, True), ("docs/G.MD", False, True), ("tests/x.rst", False, True), ("LICENSE.md", False, False), ("build/x.md", False, False)]
+
+
+@query(literal("path, is_code, is_doc", _PATHS))
+def q38_discovery(spark, d):
+    return values(spark, "path string", [(p,) for p, _, _ in _PATHS]).select("path", x.is_code_file(F.col("path")).alias("is_code"), x.is_doc_file(F.col("path")).alias("is_doc"))
+
+
+@query("SELECT event_type, max(props) AS latest, max_by(event_id, props || '|' || lpad(event_id::VARCHAR, 12, '0')) AS event_id FROM events GROUP BY event_type")
+def q39_latest_artifact(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.max("props").alias("latest"), F.max_by("event_id", F.concat("props", F.lit("|"), F.lpad(F.col("event_id").cast("string"), 12, "0"))).alias("event_id"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\bthe\b', 'the_mutated', 'g') AS text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+def q40_rename_word(spark, d):
+    """On plain ASCII texts: engines differ in what a word boundary is beyond it."""
+    return t(spark, d, "documents").where(F.length("text") == F.octet_length("text")).select("doc_id", x.renamed_word(F.col("text"), "the").alias("text"))
+
+
+_MUTATED = [("True", "False"), ("False", "True"), ("7", "49"), ("'a'", "'a_mutated'"), ('"b"', '"b_mutated"'), ("[1]", "None"), ("-5", "None")]
+
+
+@query(literal("old, new", _MUTATED))
+def q41_mutated_defaults(spark, d):
+    return values(spark, "old string", [(a,) for a, _ in _MUTATED]).select("old", x.mutated_default(F.col("old")).alias("new"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS docs, EXISTS (SELECT 1 FROM labels WHERE toxic = 1) AS any_toxic, (SELECT count(*) FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)) AS labelled")
+def q42_prechecks(spark, d):
+    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
+    return docs.agg(F.count("*").alias("docs")).crossJoin(labels.agg((F.count_if(F.col("toxic") == 1) > 0).alias("any_toxic"))).crossJoin(labels.join(docs, "doc_id", "left_semi").agg(F.count("*").alias("labelled")))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def q43_streamed_merge(spark, d):
+    """The events' file as a stream, merged batch by batch into the latest row of each user."""
+    from docwarden.streaming.ingest import latest_versions, newest
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    root = f"{root}/stream-{spark.sparkContext.applicationId}-{abs(hash((d, id(spark))))}-{len(spark.streams.active)}-{spark._jvm.System.nanoTime()}"
+    schema = t(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, d, root))
+    latest_versions(stream.select("user_id", "event_id", "event_type"), f"{root}/merged", f"{root}/state", "user_id", "event_id")
+    return newest(spark, f"{root}/merged")
+
+
+def _folder(spark: SparkSession, d: str, root: str) -> str:
+    """A folder that holds only the events' files, in four parts as if they had come one after the other."""
+    rows = t(spark, d, "events")
+    rows.withColumn("part", F.col("event_id") % 4).repartition(4, "part").drop("part").write.parquet(f"{root}/arrivals")
+    return f"{root}/arrivals"
+
+
+__all__ = ["ORACLES", "QUERIES", "W"]
