@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,26 @@ from docwarden.sources.store import Store
 from docwarden.streaming.ingest import change_counts, changes
 
 
+def stage(run: Callable) -> Callable:
+    """Releases what a stage has cached when it ends: tables are written anew under the same path, so an old cache would be taken for new rows."""
+
+    @functools.wraps(run)
+    def held(*args, **kwargs):
+        frames: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            frames.append(df.cache())
+            return df
+
+        try:
+            return run(keep, *args, **kwargs)
+        finally:
+            for df in frames:
+                df.unpersist(True)
+
+    return held
+
+
 def repo_id(path: str) -> int:
     """A stable id of a repository's path."""
     import zlib
@@ -31,24 +52,25 @@ def init(store: Store, name: str, path: str) -> int:
     return repo_id(path)
 
 
-def chunk(store: Store, rid: int, root: str, kind: str, full: bool = False) -> dict:
+@stage
+def chunk(keep: Callable, store: Store, rid: int, root: str, kind: str, full: bool = False) -> dict:
     """Chunks the files whose content changed (all with full); those that can't be parsed keep their chunks. Counts of the change."""
     spark, table = store.spark, f"{kind}_chunks"
     pick = files.code_files if kind == "code" else files.doc_files
-    now = files.read(pick(files.listed(spark, root, rid))).withColumn("file_type", F.lit(kind)).cache()
+    now = keep(files.read(pick(files.listed(spark, root, rid))).withColumn("file_type", F.lit(kind)))
     cache, old = store.read("file_cache"), store.read(table)
     own = cache.where((F.col("repo_id") == rid) & (F.col("file_type") == kind))
-    found = changes(own.limit(0) if full else own, now).cache()
+    found = keep(changes(own.limit(0) if full else own, now))
     counts = change_counts(found).first().asDict()
     touched = now.join(found.where("change in ('added', 'modified')").select("repo_id", "file_path"), ["repo_id", "file_path"])
     key = F.xxhash64("repo_id", "file_path", "symbol_name" if kind == "code" else "heading", "start_line")
     none = F.lit(None)
     if kind == "code":
-        rows = chunking.chunk_code(touched).cache()
+        rows = keep(chunking.chunk_code(touched))
         bad = rows.where("parse_error").select("repo_id", "file_path")
         rows = rows.where("not parse_error").withColumn("id", key)
     else:
-        rows = chunking.chunk_docs(touched).withColumn("id", key).withColumn("heading", truncated_heading(F.col("heading"))).cache()
+        rows = keep(chunking.chunk_docs(touched).withColumn("id", key).withColumn("heading", truncated_heading(F.col("heading"))))
         bad = rows.limit(0).select("repo_id", "file_path")
     rows = rows.withColumns({"embedding": none.cast("array<float>"), "embedding_id": none.cast("string")}).select(*old.columns)
     gone = found.where("change <> 'unchanged'").join(bad, ["repo_id", "file_path"], "left_anti")
@@ -64,24 +86,26 @@ def chunk(store: Store, rid: int, root: str, kind: str, full: bool = False) -> d
     return counts
 
 
-def embed(store: Store, rid: int, embedder: Callable = embedding.hashed_ngrams) -> dict:
+@stage
+def embed(keep: Callable, store: Store, rid: int, embedder: Callable = embedding.hashed_ngrams) -> dict:
     """Vectors of chunks that have none."""
     counts = {}
     for kind in ("code", "doc"):
         rows = store.read(f"{kind}_chunks")
         text = code_embedding_text(F.col("symbol_type"), F.col("symbol_name"), F.col("docstring"), F.col("source_text")) if kind == "code" else doc_embedding_text(F.col("heading"), F.col("text"))
         need = rows.where((F.col("repo_id") == rid) & F.col("embedding").isNull()).drop("embedding", "embedding_id").withColumns({"_own": text, "_else": F.coalesce(F.col("symbol_name" if kind == "code" else "heading"), "file_path")})
-        done = embedding.embed(need, "_own", "_else", embedder).withColumn("embedding_id", F.concat(F.lit(f"{kind}_chunk_"), F.col("id").cast("string"))).cache()
+        done = keep(embedding.embed(need, "_own", "_else", embedder).withColumn("embedding_id", F.concat(F.lit(f"{kind}_chunk_"), F.col("id").cast("string"))))
         counts |= {f"{kind}_embedded": done.where("embedding is not null").count(), f"{kind}_fallback": done.where("used_fallback").count()}
         store.write(f"{kind}_chunks", rows.where((F.col("repo_id") != rid) | F.col("embedding").isNotNull()).unionByName(done.select(*rows.columns)))
     return counts
 
 
-def extract(store: Store, rid: int, model: Callable[[str], str] = claims.rule_model, limit: int | None = None) -> dict:
+@stage
+def extract(keep: Callable, store: Store, rid: int, model: Callable[[str], str] = claims.rule_model, limit: int | None = None) -> dict:
     """Claims of all sections (of the first `limit` by id, if asked for); what no longer yields claims loses its old ones."""
     docs = store.read("doc_chunks").where(F.col("repo_id") == rid).select("repo_id", F.col("id").alias("doc_chunk_id"), "heading", "text")
     docs = docs.orderBy("doc_chunk_id").limit(limit) if limit else docs
-    got = claims.extract_claims(docs, model).cache()
+    got = keep(claims.extract_claims(docs, model))
     good = got.where("error is null").withColumn("id", F.xxhash64("doc_chunk_id", "claim_text", "claim_type", "referenced_symbol_guess")).drop("error").dropDuplicates(["id"])
     counts = {r.claim_type: r["count"] for r in good.groupBy("claim_type").count().collect()}
     counts["failed_sections"] = got.where("error is not null").count()
@@ -145,14 +169,15 @@ def claimed_values(rows: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("value", _parse_datatype_string(claims.VALUE))]))
 
 
-def verify(store: Store, rid: int, root: str, model: Callable[[str], str] = rule_value) -> dict:
+@stage
+def verify(keep: Callable, store: Store, rid: int, root: str, model: Callable[[str], str] = rule_value) -> dict:
     mine = lambda name: store.read(name).where(F.col("repo_id") == rid)
     code = chunking.resolve_symbols(mine("code_chunks").drop("embedding"))
     rows = verification.verify_input(mine("claims"), mine("doc_chunks"), mine("retrieval_results"), code)
-    rows = claimed_values(rows.select("id", "repo_id", "claim_text", "claim_type", "match_status", "chunk_id", "file_path", "resolved"), model).cache()
+    rows = keep(claimed_values(rows.select("id", "repo_id", "claim_text", "claim_type", "match_status", "chunk_id", "file_path", "resolved"), model))
     sources = files.read(files.env_files(files.listed(store.spark, root, rid)))
     readers = verification.env_readers(rows.where("value.var_name is not null").select("repo_id", "value.var_name"), sources)
-    out = verification.verified(rows, readers).cache()
+    out = keep(verification.verified(rows, readers))
     store.replace("verification_results", rid, out.select("id", F.lit(rid).cast("long").alias("repo_id"), F.col("id").alias("claim_id"), F.col("chunk_id").alias("matched_code_chunk_id"), "status", "actual_value", "claimed_value", F.current_timestamp().alias("verified_at")))
     return retrieval.shares(out, "status", ("Verified", "Contradicted", "Unverifiable")).first().asDict()
 

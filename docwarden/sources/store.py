@@ -59,6 +59,7 @@ class Store:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(id, expected) of a labelled CSV; expected is null where the row is unusable."""
+    path = path if "://" in path else f"file://{os.path.abspath(path)}"
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if not {"doc_chunk_id", "expected_claim_count"} <= set(rows.columns):
         return spark.createDataFrame([], "id long, expected int")
