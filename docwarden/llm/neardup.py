@@ -6,8 +6,9 @@ candidates, a collision-corrected share of equal registers estimates their liken
 
 Texts with one shingle set form a class; only its representative takes part, so copies cost one row each. Within a band's bucket every class is
 compared with the bucket's leader; then classes outside their bucket's main component are compared, by their registers, with all of the bucket, and
-the likeliest partners of other components are confirmed. So groups of copies cost links in proportion to their size. A link is lost only if its
-pair shares no band, or if in each common bucket of three or more its likeness is estimated below those of PARTNERS * TURNS others that fail.
+their partners of other components are confirmed, the likeliest first, until no pair of different components that is estimated alike is untested.
+So groups of copies cost links in proportion to their size; pairs that are estimated alike and fail are all tested. A link is lost only if its pair
+shares no band or is estimated below Shape.least.
 
 Defined results: a null text and one without words have no shingles, are linked with nothing and are kept; a repeated row (same doc_id and text)
 stays a row of its own, in the same component; a null doc_id takes part in links but is never a component_id while another id is there, and is
@@ -29,8 +30,9 @@ from docwarden.llm.common import Scratch
 from docwarden.llm.components import components
 
 MANTISSA = 10
-#: After the leaders, classes outside their bucket's main component name their PARTNERS likeliest partners in each of TURNS turns.
-BLOCK, PARTNERS, TURNS = 256, 2, 2
+BLOCK = 256
+#: After the leaders, how many partners a class outside its bucket's main component names in each block, turn by turn; all of them in the last.
+TURNS = (2, 16, None)
 
 
 class Shape(NamedTuple):
@@ -194,23 +196,21 @@ def shared_share(pairs: DataFrame, gaps: str = "spaced", least: int = 75) -> Dat
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs that their full texts confirm. Only texts of candidates are read again, once for each class."""
-    pairs = scratch.cut(pairs, f"{name}_alike")
+    """The (written) pairs that their full texts confirm. Only texts of candidates are read again, once for each class."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "at"), "cls")
     texts = scratch.cut(fetch(wanted).dropDuplicates(["cls"]), f"{name}_texts")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("cls").alias(side), F.col("text").alias(f"text_{side}")), side)
     found = scratch.cut(shared_share(pairs), f"{name}_links")
-    scratch.drop(f"{name}_alike", f"{name}_texts")
+    scratch.drop(f"{name}_texts")
     return found
 
 
-def _across(rows: DataFrame, classes: DataFrame, shape: Shape, turn: int) -> DataFrame:
+def _across(rows: DataFrame, classes: DataFrame, shape: Shape, most: int | None) -> DataFrame:
     """Pairs to confirm within the buckets that still hold several components. rows: (key, cls, n, size, component, main), main the bucket's largest.
 
-    Each class outside its bucket's main component names its likeliest partners of other components, PARTNERS of them in each turn, the next best
-    ones in the next. A bucket is dealt into blocks of about BLOCK classes, and each pair of blocks is one small group: no task holds a bucket, and
-    what is named grows with the bucket's size."""
+    Each class outside its bucket's main component names the likeliest partners of other components, at most so many in each block; rest says
+    whether it left any unnamed. A bucket is dealt into blocks of about BLOCK classes; each block is a group, with all the outside classes."""
     import pandas as pd
 
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(classes.select("cls", "registers"), "cls")
@@ -223,16 +223,20 @@ def _across(rows: DataFrame, classes: DataFrame, shape: Shape, turn: int) -> Dat
         regs, n = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.buckets), got.n.to_numpy()
         names, code = [bytes(x) for x in got.cls], pd.factorize(got.component.map(bytes))[0]
         home = got.home.to_numpy()
-        found: set[tuple] = set()
+        found: dict[tuple, bool] = {}
         for k in np.flatnonzero(got.outside.to_numpy()):
-            rest = np.flatnonzero(home & (code != code[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k])))
-            if len(rest):
-                est = estimate(regs[rest], regs[k][None, :], n[rest], np.full(len(rest), n[k]))
-                best = np.argsort(-est, kind="stable")[PARTNERS * turn : PARTNERS * (turn + 1)]
-                found |= {(max(names[k], names[x]), min(names[k], names[x])) for x in rest[best[est[best] >= shape.least]]}
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
+            near = np.flatnonzero(home & (code != code[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k])))
+            near = near[(regs[near] == regs[k]).mean(1) >= shape.least]  # an estimate is never above this share
+            if len(near):
+                est = estimate(regs[near], regs[k][None, :], n[near], np.full(len(near), n[k]))
+                alike = near[np.argsort(-est, kind="stable")[: (est >= shape.least).sum()]]
+                rest = most is not None and len(alike) > most
+                for x in alike[:most]:
+                    pair = max(names[k], names[x]), min(names[k], names[x])
+                    found[pair] = found.get(pair, False) or rest
+        return pd.DataFrame([(*pair, rest) for pair, rest in found.items()], columns=["a", "b", "rest"])
 
-    return dealt.groupBy("key", "block").applyInPandas(run, "a binary, b binary").distinct()
+    return dealt.groupBy("key", "block").applyInPandas(run, "a binary, b binary, rest boolean").groupBy("a", "b").agg(F.max("rest").alias("rest"))
 
 
 def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -246,21 +250,27 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     heads = scratch.cut(heads, "heads")
     near = 4 * F.least("n", "head.n") >= 3 * F.greatest("n", "head.n")
     starred = bands.join(heads, "key").where((F.col("cls") != F.col("head.cls")) & near).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
-    links = _confirmed(_alike(starred, classes, shape), classes, fetch, shape, scratch, "star")
+    tried = scratch.cut(_alike(starred, classes, shape), "star")
+    links = _confirmed(tried, classes, fetch, shape, scratch, "star")
     found = scratch.cut(components(links, scratch), "found")
     # What the leaders left apart: buckets of three or more that still hold several components.
     wide = scratch.cut(bands.join(heads.where("size > 2").select("key", "size"), "key"), "wide")
     scratch.drop("bands", "heads")
-    for turn in range(TURNS):
+    for turn, most in enumerate(TURNS):
         placed = wide.join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
         placed = scratch.cut(placed, f"placed{turn}")
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
         split = sizes.where("parts > 1").select("key", "main")
-        more = _confirmed(_across(placed.join(split, "key"), classes, shape, turn), classes, fetch, shape, scratch, f"more{turn}")
-        scratch.drop(f"placed{turn}")
+        named = scratch.cut(_across(placed.join(split, "key"), classes, shape, most), f"named{turn}")
+        new = scratch.cut(named.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"new{turn}")
+        more = _confirmed(new, classes, fetch, shape, scratch, f"more{turn}")
+        tried, rest = tried.union(new), named.agg(F.max("rest")).first()[0]
+        scratch.drop(f"placed{turn}", f"named{turn}")
         if not more.isEmpty():
             links = links.union(more)
             found = scratch.cut(components(links, scratch), f"found{turn}")
+        if not rest:
+            break
     return classes, found
 
 

@@ -158,6 +158,20 @@ def test_near_duplicates_of_a_chain_and_of_many_variants(spark):
     assert got == groups({i: t for i, t in texts.items()})
 
 
+def test_no_alike_pair_of_different_components_stays_untested(spark):
+    from docwarden.llm.common import Scratch
+    from docwarden.llm.neardup import DOCUMENTS, link
+
+    rng = random.Random(8)
+    texts, same = {}, bytes(2 * DOCUMENTS.buckets)  # all registers equal, so that each class is estimated alike to all others
+    for i in range(20):
+        texts[bytes([i])] = texts[bytes([39 - i])] = prose(rng, 40)
+    signed = spark.createDataFrame([(c, 36, i, same) for i, c in enumerate(texts)], "cls binary, n_shingles long, at long, registers binary")
+    stored = spark.createDataFrame(list(texts.items()), "cls binary, text string")
+    _, found = link(signed, lambda wanted: wanted.select("cls").join(stored, "cls"), DOCUMENTS, Scratch(spark))
+    assert {bytes(r.node): bytes(r.component) for r in found.collect()} == {c: min(c, bytes([39 - c[0]])) for c in texts}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     from docwarden.llm.neardup import near_duplicates
 
