@@ -1,14 +1,16 @@
 """Personal data as format-preserving pseudonyms, with DataFrame functions only.
 
-Numbers and dates that pass their format's test (Luhn sum, octets, calendar, IBAN length) are permuted within that format by a keyed Feistel
+Numbers and dates that pass their format's test (Luhn sum, octets, calendar, IBAN check digits) are permuted within that format by a keyed Feistel
 network: a card stays a valid card of the same issuer digit, a date a date, an address an address. A value always maps to the same pseudonym and
 different values of a format to different ones, so values stay linked across documents. E-mail addresses and secrets aren't numbers; they become
 keyed digests in the same shape.
 
-One pass, no shuffle: a text is split at its findings, and joined again with their pseudonyms. Texts without a digit or @ aren't searched.
+One pass, no shuffle: a text is split at its findings, and joined again with their pseudonyms. In a text without a digit or @ only
+secrets can stand; it is searched if it has one.
 
 Defined results: a null text stays null, an empty one empty, with nothing found; a repeated row gives the same row again; columns beyond doc_id and
-text pass through `pseudonymised` unchanged; what fails its format's test is left as it is.
+text pass through `pseudonymised` unchanged; what fails its format's test is left as it is. A date with
+slashes is read day first, and month first only where that is no date; the two orders count as formats of their own.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ EPOCH, DAYS_A, DAYS_B = "1900-01-01", 250, 292
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9/+_-]{12,128}|\"[0-9a-f]{40}\")(?![A-Za-z0-9])"
-DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w-])"
+DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w-])"
 ADDRESS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -115,17 +117,21 @@ def date(s: Column, key: str) -> Column:
     sign = F.regexp_extract(s, "[./-]", 0)
 
     def run(p: Column) -> Column:
-        iso = sign == "-"
-        day_first = F.try_to_date(F.concat_ws("-", F.lpad(p[2], 4, "0"), F.lpad(p[1], 2, "0"), F.lpad(p[0], 2, "0")), "yyyy-MM-dd")
-        return let(F.when(iso, F.try_to_date(s, "yyyy-MM-dd")).otherwise(day_first), moved)
+        of = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        read = F.when(F.length(p[0]) == 4, F.struct(of(p[0], p[1], p[2]).alias("d"), F.lit(False).alias("month_first")))
+        day_first, month_first = of(p[2], p[1], p[0]), F.when(sign == "/", of(p[2], p[0], p[1]))
+        return let(read.otherwise(F.struct(F.coalesce(day_first, month_first).alias("d"), day_first.isNull().alias("month_first"))), lambda x: moved(x["d"], x["month_first"]))
 
-    def moved(d: Column) -> Column:
+    def moved(d: Column, month_first: Column) -> Column:
         offset = F.datediff(d, F.lit(EPOCH).cast("date")).cast("long")
         days = DAYS_A * DAYS_B
         pair = feistel(F.floor(F.pmod(offset, F.lit(days)) / DAYS_B), F.pmod(F.pmod(offset, F.lit(days)), F.lit(DAYS_B)), F.lit(DAYS_A).cast("long"), F.lit(DAYS_B).cast("long"), key, "date")
         new = let(pair, lambda q: F.date_add(F.lit(EPOCH).cast("date"), (F.floor(offset / days) * days + q["a"] * DAYS_B + q["b"]).cast("int")))
         wide = lambda n: F.when(F.length(F.regexp_extract(s, r"^\d+", 0)) == 2, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
-        return F.when(d.isNotNull(), let(new, lambda x: F.when(sign == "-", F.date_format(x, "yyyy-MM-dd")).otherwise(F.concat(wide(F.day(x)), sign, F.lpad(F.month(x).cast("string"), 2, "0"), sign, F.lpad(F.year(x).cast("string"), 4, "0")))))
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        year = lambda x: F.lpad(F.year(x).cast("string"), 4, "0")
+        year_last = lambda x: F.concat(F.when(month_first, wide(F.month(x))).otherwise(wide(F.day(x))), sign, F.when(month_first, two(F.day(x))).otherwise(two(F.month(x))), sign, year(x))
+        return F.when(d.isNotNull(), let(new, lambda x: F.when(F.length(parts[0]) == 4, F.concat(year(x), sign, two(F.month(x)), sign, two(F.day(x)))).otherwise(year_last(x))))
 
     return let(parts, run)
 
@@ -138,9 +144,23 @@ def phone(s: Column, key: str) -> Column:
 
 
 def iban(s: Column, key: str) -> Column:
-    """Country kept, the digits permuted, letters kept. Null if its length is no IBAN's."""
-    n = F.length(F.regexp_replace(s, " ", ""))
-    return F.when(n.between(15, 34) & (F.length(only_digits(s)) >= 10), with_digits(s, permuted_digits(only_digits(s), key, "iban")))
+    """Country and letters kept, the account's digits permuted, the check digits made anew. Null if length or check digits are no IBAN's."""
+
+    def run(c: Column) -> Column:
+        digits = only_digits(F.substring(c, F.lit(5), F.length(c)))
+        changed = lambda d: F.concat(F.substring(c, 1, 4), F.substring(with_digits(c, F.concat(F.lit("00"), d)), F.lit(5), F.length(c)))
+        body = let(permuted_digits(digits, key, "iban"), lambda d: with_digits(s, F.concat(iban_check(changed(d)), d)))
+        return F.when(F.length(c).between(15, 34) & (F.length(digits) >= 2) & (F.substring(c, 3, 2) == iban_check(c)), body)
+
+    return let(F.regexp_replace(s, " ", ""), run)
+
+
+def iban_check(c: Column) -> Column:
+    """The check digits of an IBAN without spaces: 98 less the rest by 97 of account, country and 00, letters as 10 to 35."""
+    moved = F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 2), F.lit("00"))
+    value = lambda x: F.when(x.between("0", "9"), x.cast("int")).otherwise(F.ascii(x) - 55)
+    rest = let(moved, lambda m: F.aggregate(F.sequence(F.lit(1), F.length(m)), F.lit(0), lambda r, i: let(value(F.substring(m, i, F.lit(1))), lambda v: F.pmod(r * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
 def email(s: Column, key: str) -> Column:
@@ -192,7 +212,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
         )
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"), F.lit("").alias("kinds"))
-    done = F.when(text.rlike("[0-9@]"), let(text, run)).otherwise(same)
+    done = F.when(text.rlike("[0-9@]") | text.rlike(SECRET), let(text, run)).otherwise(same)
     # The array keeps the pseudonyms from being worked out once for each column that is taken from them.
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(done)).alias("_done"))
     return rows.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_done.n").alias("n_replaced"), F.col("_done.kinds").alias("kinds"))
