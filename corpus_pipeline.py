@@ -57,8 +57,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: what it takes of each document. Documents of which it takes nothing are left out."""
-    return mixed(docs, keep=("lang", "n_chars")).where("taken > 0")
+    """The mix: the documents, and what it takes of each. Documents of which it takes nothing are left out."""
+    return mixed(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source"))).where("taken > 0")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pseudonyms", pseudonyms), ("mixing", mixing)]

@@ -4,7 +4,7 @@ The corpus's words are cut into equal blocks. Blocks go to sources by highest qu
 shards (fixed hash parts of about SHARD words) by highest quotients size / (2 * seats + 1), so that each shard has an integer quota. A shard
 takes its quota from its documents in a seeded order: whole passes first, then a last one that ends within a document.
 
-Only (document, source, size) is shuffled, never text. A hot source is many shards, each a bounded group. Quotients are ranked only for the few
+Only (document, source, size) and the columns of keep are shuffled, text only if it is one of them. A hot source is many shards, each a bounded group. Quotients are ranked only for the few
 seats around each proportional share, so their number follows that of sources and shards and not that of blocks.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source is a source of its own, last in order; a repeated row is a row of

@@ -429,3 +429,12 @@ def test_pseudonyms_of_secrets_without_digits_ibans_and_slashed_dates(spark):
         c = t.replace(" ", "")
         assert t != old and re.sub(r"\d", "0", t) == re.sub(r"\d", "0", old) and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
     assert new[3] != others[3] and re.fullmatch(r"(0[1-9]|1[0-2])/\d{2}/\d{4}", new[3]) and new[4] != others[4] and re.fullmatch(r"\d{4}/(0[1-9]|1[0-2])/\d{2}", new[4])
+
+
+def test_pipeline_delivers_all_columns_of_its_documents(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 40), "en", "ab"[i % 2], 7) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    rows = p.mixing(spark, docs, SF).collect()
+    assert rows and all(tuple(r[c] for c in p.COLUMNS) == want[r.doc_id] for r in rows)
