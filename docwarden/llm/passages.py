@@ -1,6 +1,6 @@
 """Repeated passages across documents: paragraph MinHash banding, and winnowed windows for passages within longer paragraphs.
 
-Each line of at least LEAST_WORDS words is a paragraph. Paragraphs of the same shingle set form a class; bands of two registers, tuned for recall,
+Each line of at least LEAST_WORDS words (one shingle) is a paragraph. Paragraphs of the same shingle set form a class; bands of two registers, tuned for recall,
 find candidate classes, exact Jaccard of five-word shingles (0.75 or more) confirms them, and components cluster them. A passage that stands within
 longer paragraphs leaves their sets too different for that. So of each run of neighbouring WINDOW-word hashes the least is kept, which any two
 texts that share PASSAGE words or more have in common; equal kept windows that follow each other in a text are joined to spans, and windows that
@@ -28,7 +28,8 @@ from docwarden.llm.common import Scratch
 from docwarden.llm.components import components
 from docwarden.llm.neardup import Shape, link, signatures
 
-LEAST_WORDS = 50
+#: The words of one shingle.
+LEAST_WORDS = 5
 #: 16 bands of 2: a pair of likeness 0.75 is missed by all with a chance of 2e-6.
 PARAGRAPHS = Shape(32, 2, 0.3)
 WINDOW, PASSAGE = 30, 50

@@ -438,3 +438,22 @@ def test_pipeline_delivers_all_columns_of_its_documents(spark):
     want = {r.doc_id: tuple(r) for r in docs.collect()}
     rows = p.mixing(spark, docs, SF).collect()
     assert rows and all(tuple(r[c] for c in p.COLUMNS) == want[r.doc_id] for r in rows)
+
+
+def test_short_paragraphs_match_all_pairs(spark):
+    from docwarden.llm.passages import repeated
+
+    rng = random.Random(12)
+    lines = []
+    for n in (5, 8, 20, 30, 45):
+        base = prose(rng, n).split()
+        lines += [base, [*base, "more"] if n > 8 else base, prose(rng, n).split()]
+    docs = {i: "\n".join([prose(rng, 3), " ".join(w)]) for i, w in enumerate(lines)}
+    rows = [r for r in repeated(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect() if r.kind == "paragraph"]
+    want = collections.defaultdict(set)
+    for i, g in groups({i: t.split("\n")[1] for i, t in docs.items()}).items():
+        want[g].add(i)
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.component_id].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
