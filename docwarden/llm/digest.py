@@ -113,7 +113,7 @@ _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).as
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean over the shorter chain's filters of the best normalised overlap with the other's neighbouring ones, weighted by their bits."""
+    """Mean over the shorter chain's filters of the best normalised overlap with any of the other's, weighted by their bits."""
     if a.shape == b.shape and np.array_equal(a, b):
         return 1.0
     if len(a) > len(b):
@@ -122,7 +122,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return 0.0
     ones_a, ones_b = _ONES[a].sum(1), _ONES[b].sum(1)
     best = np.zeros(len(a))
-    for shift in range(-1, len(b) - len(a) + 2):
+    for shift in range(1 - len(a), len(b)):
         i = np.arange(max(0, -shift), min(len(a), len(b) - shift))
         if len(i):
             x, y = ones_a[i], ones_b[i + shift]

@@ -457,3 +457,12 @@ def test_short_paragraphs_match_all_pairs(spark):
     for r in rows:
         got[r.component_id].add(r.doc_id)
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_likeness_finds_what_stands_far_on():
+    from docwarden.llm.digest import digests, likeness
+
+    rng = random.Random(4)
+    shared, front, back = prose(rng, 6000), prose(rng, 6000), prose(rng, 6000)
+    a, b, c = digests([f"{front} {shared}", f"{shared} {back}", prose(rng, 12_000)])
+    assert len(a) > 6 and likeness(a, b) > 0.3 > 0.1 > likeness(a, c)
