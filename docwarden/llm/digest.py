@@ -1,6 +1,6 @@
 """Document fingerprints: a digest of improbable features (after Roussev's similarity digests), held in chained Bloom filters.
 
-Windows of WIDTH bytes that begin with a word are ranked by how far their byte entropy lies from that of usual text. In each run of RUN
+Windows of WIDTH bytes that begin with a word, or anywhere in a word that is longer than a window, are ranked by how far their byte entropy lies from that of usual text. In each run of RUN
 neighbouring windows the rarest is chosen; windows that are chosen by at least LEAST_RUNS runs are features. Their hashes go, in text order, into
 Bloom filters of BITS bits, a new one after each FILL features. Two digests are compared filter by filter: common bits, less those that chance
 gives, over the most that could be common.
@@ -81,7 +81,10 @@ def digests(texts: list[str]) -> list[np.ndarray]:
     """A chain of Bloom filters of each text: rows of BITS / 8 bytes."""
     data, at = tk.text_bytes(pa.array(texts, pa.large_string()))
     n = len(texts)
-    start, _, doc = tk.words(data, at, tk.GAPS["spaced"])
+    start, end, doc = tk.words(data, at, tk.GAPS["spaced"])
+    # Text without spaces is a word longer than a window: all windows within it count.
+    spots = np.maximum(end - start - WIDTH + 1, 1)
+    doc, start = np.repeat(doc, spots), np.repeat(start, spots) + np.arange(spots.sum()) - np.repeat(np.cumsum(spots) - spots, spots)
     fits = start + WIDTH <= at[1:][doc]
     start, doc = start[fits], doc[fits]
     entropy = entropies(data, start)

@@ -466,3 +466,13 @@ def test_likeness_finds_what_stands_far_on():
     shared, front, back = prose(rng, 6000), prose(rng, 6000), prose(rng, 6000)
     a, b, c = digests([f"{front} {shared}", f"{shared} {back}", prose(rng, 12_000)])
     assert len(a) > 6 and likeness(a, b) > 0.3 > 0.1 > likeness(a, c)
+
+
+def test_fingerprints_of_texts_without_spaces_go_beyond_their_start():
+    from docwarden.llm.digest import digests, likeness
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    start, middle = word(32), word(2000)
+    a, b, c = digests([start + word(3000), start + word(3000), word(500) + middle + word(500)])
+    assert likeness(a, b) < 0.2 and likeness(*digests([middle + word(900), word(700) + middle])) > 0.3 and len(c) > 1
