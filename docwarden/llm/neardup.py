@@ -5,10 +5,10 @@ of leading-zero count and mantissa bits. Empty buckets borrow a full one's regis
 candidates, a collision-corrected share of equal registers estimates their likeness, and full shingle sets confirm it.
 
 Texts with one shingle set form a class; only its representative takes part, so copies cost one row each. Within a band's bucket every class is
-compared with the bucket's leader; then classes outside their bucket's main component are compared, by their registers, with all of the bucket, and
-their partners of other components are confirmed, the likeliest first, until no pair of different components that is estimated alike is untested.
-So groups of copies cost links in proportion to their size; pairs that are estimated alike and fail are all tested. A link is lost only if its pair
-shares no band or is estimated below Shape.least.
+tested against the bucket's head, the member whose buckets are fullest: of variants of one text, that text. Then all classes that stand outside of
+their bucket's largest component are tested against all of the bucket, in groups of bounded size: both sides are dealt into tiles with their
+registers and full sets, and only links leave a group. So no pair of different components that is estimated alike stays untested, and neither
+candidates nor failures are written out. A link is lost only if its pair shares no band or is estimated below Shape.least.
 
 Defined results: a null text and one without words have no shingles, are linked with nothing and are kept; a repeated row (same doc_id and text)
 stays a row of its own, in the same component; a null doc_id takes part in links but is never a component_id while another id is there, and is
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docwarden.llm import textkit as tk
-from docwarden.llm.common import Scratch
+from docwarden.llm.common import Scratch, small
 from docwarden.llm.components import components
 
 MANTISSA = 10
-BLOCK = 256
-#: After the leaders, how many partners a class outside its bucket's main component names in each block, turn by turn; all of them in the last.
-TURNS = (2, 16, None)
+#: Sets that are smaller can only be alike by being equal: 3 of 4 is the first other share of 0.75.
+ALONE = 3
+#: Bounds of a group that tests pairs: shingles of those that ask and of those that are asked, and classes of each.
+TILE, PART, CLASSES = 1 << 18, 1 << 20, 1024
 
 
 class Shape(NamedTuple):
@@ -136,7 +137,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def banded(classes: DataFrame, shape: Shape) -> DataFrame:
-    """A row per class and band: a 64-bit key of the band and its registers."""
+    """A row per class and band: a 64-bit key of the band and its registers. Sets of fewer than ALONE shingles are alike only if they are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = shape.buckets // shape.band
@@ -150,93 +151,71 @@ def banded(classes: DataFrame, shape: Shape) -> DataFrame:
             who = np.repeat(np.arange(batch.num_rows), bands)
             yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), batch.column("cls").take(pa.array(who)), batch.column("n").take(pa.array(who))], ["key", "cls", "n"])
 
-    return classes.select("cls", "n", "registers").mapInArrow(run, "key long, cls binary, n long")
+    return classes.where(F.col("n") >= ALONE).select("cls", "n", "registers").mapInArrow(run, "key long, cls binary, n long")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
-    """Pairs (a, b) whose estimated likeness is high enough to confirm."""
+def shingle_sets(texts: DataFrame, gaps: str = "spaced") -> DataFrame:
+    """(cls, shingles) of (cls, text): each text's distinct shingles, in order, as the bytes of 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
-                a, b = (_matrix(batch.column(x), shape.buckets) for x in ("r_a", "r_b"))
-                ok = pa.array(estimate(a, b, n, m) >= shape.least)
-                yield pa.record_batch([batch.column(x).filter(ok) for x in ("a", "b")], ["a", "b"])
+        for whole in batches:
+            for batch in tk.slices(whole, "text"):
+                n = batch.num_rows
+                data, at = tk.text_bytes(batch.column("text"))
+                data = tk._LOWER[data]
+                start, end, doc = tk.words(data, at, tk.GAPS[gaps])
+                value, owner = tk.distinct_shingles(*tk.shingles(tk.word_hashes(data, start, end), doc, n))
+                stop = np.searchsorted(owner, np.arange(n + 1))
+                yield pa.record_batch([batch.column("cls"), pa.array([value[i:j].tobytes() for i, j in zip(stop, stop[1:])], pa.binary())], ["cls", "shingles"])
 
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a binary, b binary")
+    return texts.select("cls", "text").mapInArrow(run, "cls binary, shingles binary")
 
 
-def shared_share(pairs: DataFrame, gaps: str = "spaced", least: int = 75) -> DataFrame:
-    """Of pairs (a, b, text_a, text_b) those whose full shingle sets have 100 * intersection >= least * union."""
+def alike(own: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.ndarray, least: int = 75) -> np.ndarray:
+    """Whether each other set (values others, dealt by owner) has 100 * intersection >= least * union with own (in order)."""
+    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+    both = np.bincount(owner[own[at] == others], minlength=len(sizes))
+    return 100 * both >= least * (len(own) + sizes - both)
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, at = tk.text_bytes(column)
-        data = tk._LOWER[data]
-        start, end, doc = tk.words(data, at, tk.GAPS[gaps])
-        return tk.distinct_shingles(*tk.shingles(tk.word_hashes(data, start, end), doc, len(column)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in tk.slices(whole, "text_a", 2 << 20):
-                (va, oa), (vb, ob) = sets(batch.column("text_a")), sets(batch.column("text_b"))
-                n = batch.num_rows
-                value, owner = np.concatenate([va, vb]), np.concatenate([oa, ob])
-                order = np.lexsort((value, owner))
-                value, owner = value[order], owner[order]
-                twice = (value[1:] == value[:-1]) & (owner[1:] == owner[:-1])
-                both = np.bincount(owner[1:][twice], minlength=n)
-                union = np.bincount(owner, minlength=n) - both
-                ok = pa.array((100 * both >= least * union) & (union > 0))
-                yield pa.record_batch([batch.column(x).filter(ok) for x in ("a", "b")], ["a", "b"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch, name: str) -> DataFrame:
-    """The (written) pairs that their full texts confirm. Only texts of candidates are read again, once for each class."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "at"), "cls")
-    texts = scratch.cut(fetch(wanted).dropDuplicates(["cls"]), f"{name}_texts")
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("cls").alias(side), F.col("text").alias(f"text_{side}")), side)
-    found = scratch.cut(shared_share(pairs), f"{name}_links")
-    scratch.drop(f"{name}_texts")
-    return found
-
-
-def _across(rows: DataFrame, classes: DataFrame, shape: Shape, most: int | None) -> DataFrame:
-    """Pairs to confirm within the buckets that still hold several components. rows: (key, cls, n, size, component, main), main the bucket's largest.
-
-    Each class outside its bucket's main component names the likeliest partners of other components, at most so many in each block; rest says
-    whether it left any unnamed. A bucket is dealt into blocks of about BLOCK classes; each block is a group, with all the outside classes."""
-    import pandas as pd
+def _tested(work: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    """Links (a, b) of work (tile, part, asks, cls, component): in each group (tile, part) those that ask meet all of other components.
 
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(classes.select("cls", "registers"), "cls")
-    outside = F.col("component") != F.col("main")
-    # A class outside meets every block of its bucket; one inside stands in its own block, once.
-    every = F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    dealt = rows.withColumn("block", F.explode(every)).select("key", "block", (F.col("block") == F.col("own")).alias("home"), outside.alias("outside"), "cls", "n", "component", "registers")
+    Pairs whose estimate is too low are passed over, all others are decided by their full sets. Of the links that lead to one component
+    an asker reports the first; the others add nothing. A group's sets are bounded by TILE and PART, and no pair leaves it but links."""
+    import pandas as pd
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
-        regs, n = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.buckets), got.n.to_numpy()
-        names, code = [bytes(x) for x in got.cls], pd.factorize(got.component.map(bytes))[0]
-        home = got.home.to_numpy()
-        found: dict[tuple, bool] = {}
-        for k in np.flatnonzero(got.outside.to_numpy()):
-            near = np.flatnonzero(home & (code != code[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k])))
+        names = [bytes(x) for x in got.cls]
+        regs = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.buckets)
+        values = [np.frombuffer(x, np.uint64) for x in got.shingles]
+        n = np.array([len(x) for x in values])
+        code = pd.factorize(got.component.map(bytes))[0]
+        links = []
+        for k in np.flatnonzero(got.asks.to_numpy()):
+            near = np.flatnonzero((code != code[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k])))
             near = near[(regs[near] == regs[k]).mean(1) >= shape.least]  # an estimate is never above this share
-            if len(near):
-                est = estimate(regs[near], regs[k][None, :], n[near], np.full(len(near), n[k]))
-                alike = near[np.argsort(-est, kind="stable")[: (est >= shape.least).sum()]]
-                rest = most is not None and len(alike) > most
-                for x in alike[:most]:
-                    pair = max(names[k], names[x]), min(names[k], names[x])
-                    found[pair] = found.get(pair, False) or rest
-        return pd.DataFrame([(*pair, rest) for pair, rest in found.items()], columns=["a", "b", "rest"])
+            if not len(near):
+                continue
+            est = estimate(regs[near], regs[k][None, :], n[near], np.full(len(near), n[k]))
+            near = near[np.argsort(-est, kind="stable")[: (est >= shape.least).sum()]]
+            while len(near):
+                some, near = near[:64], near[64:]
+                found = some[alike(values[k], np.concatenate([values[i] for i in some]), np.repeat(np.arange(len(some)), n[some]), n[some])]
+                _, first = np.unique(code[found], return_index=True)
+                links += [(names[k], names[i]) for i in found[first]]
+                near = near[~np.isin(code[near], code[found])]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    rows = work.join(sets, "cls").select("tile", "part", "asks", "cls", "component", "registers", "shingles")
+    return rows.groupBy("tile", "part").applyInPandas(run, "a binary, b binary")
+
 
-    return dealt.groupBy("key", "block").applyInPandas(run, "a binary, b binary, rest boolean").groupBy("a", "b").agg(F.max("rest").alias("rest"))
+def _parts(work: DataFrame) -> DataFrame:
+    """work (tile, asks, cls, component, n) dealt into parts of bounded size: those that are asked stand in one part, those that ask in all."""
+    sizes = work.where("not asks").groupBy("tile").agg(F.greatest(F.ceil(F.sum("n") / PART), F.ceil(F.count("*") / CLASSES)).cast("int").alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    return work.join(sizes, "tile").withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))).drop("n", "parts")
 
 
 def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -245,32 +224,44 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     at says where a class's text stands; fetch turns (cls, at) into (cls, text)."""
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("at").alias("at"), F.first("registers").alias("registers"))
     classes = scratch.cut(classes, "classes")
-    bands = scratch.cut(banded(classes, shape), "bands")
-    heads = bands.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    heads = scratch.cut(heads, "heads")
+    bands = banded(classes, shape)
+    bands = scratch.cut(bands, "bands")
+    sized = bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    sized = scratch.cut(sized, "sized")
+    scratch.drop("bands")
+    # The head of a bucket is the member whose buckets are fullest: the text that most of a group of variants is made from.
+    crowd = sized.groupBy("cls").agg(F.sum("size").alias("crowd"))
+    crowd = scratch.cut(crowd, "crowd")
+    heads = sized.join(crowd, "cls").groupBy("key").agg(F.max(F.struct("crowd", "cls", "n")).alias("head"))
     near = 4 * F.least("n", "head.n") >= 3 * F.greatest("n", "head.n")
-    starred = bands.join(heads, "key").where((F.col("cls") != F.col("head.cls")) & near).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
-    tried = scratch.cut(_alike(starred, classes, shape), "star")
-    links = _confirmed(tried, classes, fetch, shape, scratch, "star")
+    starred = sized.join(heads, "key").where((F.col("cls") != F.col("head.cls")) & near).select(F.col("head.cls").alias("head"), "cls", "n").distinct()
+    starred = scratch.cut(starred, "starred")
+    # The full sets of all classes that share a bucket, read once.
+    wanted = crowd.select("cls").join(classes.select("cls", "at"), "cls")
+    sets = shingle_sets(fetch(scratch.cut(wanted, "wanted"))).dropDuplicates(["cls"]).join(classes.select("cls", "registers"), "cls")
+    sets = scratch.cut(sets, "sets")
+    asking = starred.select(F.col("head").alias("tile"), F.lit(True).alias("asks"), F.col("head").alias("cls")).distinct()
+    asked = starred.select(F.col("head").alias("tile"), F.lit(False).alias("asks"), "cls", F.col("cls").alias("component"), "n")
+    work = asked.unionByName(asking.withColumns({"component": F.col("cls"), "n": F.lit(0).cast("long")}))
+    links = scratch.cut(_tested(_parts(work), sets, shape), "star")
     found = scratch.cut(components(links, scratch), "found")
-    # What the leaders left apart: buckets of three or more that still hold several components.
-    wide = scratch.cut(bands.join(heads.where("size > 2").select("key", "size"), "key"), "wide")
-    scratch.drop("bands", "heads")
-    for turn, most in enumerate(TURNS):
-        placed = wide.join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
-        placed = scratch.cut(placed, f"placed{turn}")
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-        split = sizes.where("parts > 1").select("key", "main")
-        named = scratch.cut(_across(placed.join(split, "key"), classes, shape, most), f"named{turn}")
-        new = scratch.cut(named.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"new{turn}")
-        more = _confirmed(new, classes, fetch, shape, scratch, f"more{turn}")
-        tried, rest = tried.union(new), named.agg(F.max("rest")).first()[0]
-        scratch.drop(f"placed{turn}", f"named{turn}")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = scratch.cut(components(links, scratch), f"found{turn}")
-        if not rest:
-            break
+    # What the heads left apart: buckets that still hold several components. All that stand outside of their bucket's largest one ask all of it.
+    placed = sized.where("size > 2").join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    placed = scratch.cut(placed, "placed")
+    scratch.drop("sized", "starred", "crowd")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size"))
+    placed = scratch.cut(placed.join(parts.where("parts > 1").select("key", F.col("main.component").alias("main"), "size"), "key"), "split")
+    outside = placed.where("component <> main").groupBy("cls", "n", "component").agg(F.max(F.struct("size", "main"))["main"].alias("home"))
+    # Askers of one home are dealt into tiles, so that a tile's askers mostly share their buckets.
+    tiles = outside.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count("*") / CLASSES)).cast("int").alias("tiles"))
+    tiled = scratch.cut(outside.join(tiles, "home").withColumn("tile", F.concat("home", F.encode(F.concat(F.lit("/"), F.pmod(F.xxhash64("cls"), F.col("tiles"))), "utf-8"))).select("tile", "cls", "n", "component"), "tiled")
+    met = placed.join(placed.where("component <> main").select("key", "cls").join(tiled.select("cls", "tile"), "cls").select("key", "tile").distinct(), "key")
+    asked = met.select("tile", F.lit(False).alias("asks"), "cls", "component", "n").distinct()
+    work = scratch.cut(asked.unionByName(tiled.withColumn("asks", F.lit(True))), "work")
+    more = scratch.cut(_tested(_parts(work), sets, shape), "more")
+    scratch.drop("placed", "split", "tiled", "work", "sets", "wanted")
+    if not more.isEmpty():
+        found = scratch.cut(components(links.union(more), scratch), "found_all")
     return classes, found
 
 
@@ -281,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def fetch(wanted: DataFrame) -> DataFrame:
         own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string"))
-        return own.join(wanted, F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key"))).select("cls", "text")
+        return own.join(small(wanted), F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key"))).select("cls", "text")
 
     classes, found = link(signed.withColumn("at", F.struct("doc_id", "text_key")), fetch, DOCUMENTS, scratch)
     least = scratch.cut(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id")), "least")

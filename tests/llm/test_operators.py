@@ -158,6 +158,39 @@ def test_near_duplicates_of_a_chain_and_of_many_variants(spark):
     assert got == groups({i: t for i, t in texts.items()})
 
 
+def test_near_duplicates_among_versions_of_a_template(spark):
+    """Many texts that are nearly alike, but for a few planted pairs, each of them on its own side of the threshold."""
+    from docwarden.llm.neardup import near_duplicates
+
+    rng = random.Random(1)
+    base, texts = [f"b{i}" for i in range(900)], {}
+    for i in range(60):
+        w = [*base]
+        for p in rng.sample(range(0, 900, 5), 15 + i % 2):
+            w[p] = f"e{i}_{p}"
+        texts[i] = " ".join(w)
+    for j in range(0, 20, 2):
+        w = texts[j].split()
+        for p in rng.sample(range(0, 900, 5), 24):
+            w[p] = f"f{j}_{p}"
+        texts[j + 1] = " ".join(w)
+    want = groups(texts)
+    assert 10 < len(set(want.values())) < 60
+    assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()} == want
+
+
+def test_near_duplicates_in_small_groups_of_work(spark, documents):
+    """The same links, however the pairs to test are dealt."""
+    from docwarden.llm import neardup
+
+    was = neardup.TILE, neardup.PART, neardup.CLASSES
+    neardup.TILE, neardup.PART, neardup.CLASSES = 200, 500, 2
+    try:
+        test_near_duplicates_of_a_chain_and_of_many_variants(spark)
+    finally:
+        neardup.TILE, neardup.PART, neardup.CLASSES = was
+
+
 def test_no_alike_pair_of_different_components_stays_untested(spark):
     from docwarden.llm.common import Scratch
     from docwarden.llm.neardup import DOCUMENTS, link
