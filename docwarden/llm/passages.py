@@ -1,20 +1,23 @@
 """Repeated passages across documents: paragraph MinHash banding, and winnowed windows for passages within longer paragraphs.
 
-Each line of at least LEAST_WORDS words (one shingle) is a paragraph. Paragraphs of the same shingle set form a class; bands of two registers, tuned for recall,
-find candidate classes, exact Jaccard of five-word shingles (0.75 or more) confirms them, and components cluster them. A passage that stands within
-longer paragraphs leaves their sets too different for that. So of each run of neighbouring WINDOW-word hashes the least is kept, which any two
-texts that share PASSAGE words or more have in common; equal kept windows that follow each other in a text are joined to spans, and windows that
-share a span are clustered by components as well.
+Each line of at least LEAST_WORDS words (one shingle) is a paragraph. Paragraphs of the same shingle set form a class; bands of two registers, tuned for
+recall, find candidate classes, exact Jaccard of five-word shingles (0.75 or more) confirms them, and components cluster them. A passage that stands
+within longer paragraphs leaves their sets too different for that. So of each run of neighbouring WINDOW-word hashes the least is kept, which any two
+texts that share PASSAGE words or more have in common. Kept windows that meet are confirmed by a digest of their words. Those that follow each other in
+a text are joined to spans, which reach as far as their words agree with the first occurrence's, and windows that share a span are clustered by
+components as well.
 
-Of each cluster the first occurrence (by doc_id, text_key and place) is kept and all others are removals. Exact repeats and hubs cost a row each;
-hot paragraphs and windows are counted by partial sums and joined with their counts, which AQE can split.
+Of each cluster's text the first occurrence (by doc_id, text_key and place) is kept and all others are removals; where a kept span and a removal of one
+text overlap, the words are the kept one's. Exact repeats and hubs cost a row each; hot paragraphs and windows are found by partial aggregates and
+joined with their heads, which AQE can split.
 
 Defined results: null, empty and short texts have no paragraphs and give no rows; a repeated row (same doc_id and text) is one occurrence; a null
-doc_id sorts first; other columns are ignored; an empty table gives an empty result.
+doc_id sorts first; doc_ids are integers, or texts that are; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ LEAST_WORDS = 5
 PARAGRAPHS = Shape(32, 2, 0.3)
 WINDOW, PASSAGE = 30, 50
 RUN = PASSAGE - WINDOW + 1
+#: Words beyond an outermost shared kept window that can still be shared: with RUN of them another window would have been kept.
+REACH = RUN - 1
 
 UNITS = "doc_id long, text_key long, line int, first_word int, n_words int, n_shingles long, cls binary, registers binary, print long"
 
@@ -115,41 +120,100 @@ def windows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return value[kept], owner[kept], spot[kept]
 
 
+def contexts(texts: DataFrame) -> DataFrame:
+    """Of texts (doc_id, text_key, text, spots) each asked window: 128 bits of its words' SHA-256, and hashes of the 1, 2 .. REACH words before and after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tk.slices(whole, "text", 2 << 20):
+                yield from _contexts(batch)
+
+    return texts.select("doc_id", "text_key", "text", "spots").mapInArrow(run, "doc_id long, text_key long, first_word int, exact binary, before array<long>, after array<long>")
+
+
+def _contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    data, at = tk.text_bytes(batch.column("text"))
+    data = tk._LOWER[data]
+    start, end, doc = tk.words(data, at, tk.GAPS["spaced"])
+    hashes, raw = tk.word_hashes(data, start, end), data.tobytes()
+    base = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+    lists = batch.column("spots")
+    which = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    spot = lists.flatten().to_numpy().astype(np.int64)
+    first, stop = base[which] + spot, base[which] + spot + WINDOW
+    exact = [hashlib.sha256(b" ".join(raw[start[i] : end[j - 1]].split())).digest()[:16] for i, j in zip(first, stop)]
+    sides = []
+    for step, edge, room in ((-1, first - 1, spot), (1, stop, base[which + 1] - stop)):
+        room = np.minimum(room, REACH)
+        value, out = np.zeros(len(spot), np.uint64), np.zeros((len(spot), REACH), np.uint64)
+        for k in range(REACH):
+            word = hashes[np.clip(edge + k * step, 0, len(hashes) - 1)]
+            out[:, k] = value = tk.mixed(value * np.uint64(0xFF51AFD7ED558CCD) + word)
+        inside = np.arange(REACH)[None, :] < room[:, None]
+        sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array(out[inside].view(np.int64))))
+    of = pa.array(which)
+    yield pa.record_batch([batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(spot, pa.int32()), pa.array(exact, pa.binary()), *sides], ["doc_id", "text_key", "first_word", "exact", "before", "after"])
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """Occurrences of repeated passages: doc_id, text_key, kind (paragraph or passage), first_word, n_words, component_id and kept."""
     scratch = Scratch(docs.sparkSession)
-    place = F.struct("doc_id", "text_key", "first_word")
     all_units = scratch.cut(units(docs), "units")
-    lines = all_units.where("cls is not null")
+    paragraphs = scratch.cut(_paragraphs(docs, all_units.where("cls is not null"), scratch), "paragraphs")
+    passages = scratch.cut(_passages(docs, all_units.where("print is not null"), scratch), "passages")
+    scratch.close("paragraphs", "passages")
+    return paragraphs.union(passages)
+
 
+PLACE = ("doc_id", "text_key", "first_word")
+
+
+def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     def fetch(wanted: DataFrame) -> DataFrame:
         # By document first: one that holds several wanted paragraphs is joined once and split once.
         asked = wanted.groupBy(F.col("at.doc_id").alias("d"), F.col("at.text_key").alias("k")).agg(F.collect_list(F.struct("cls", F.col("at.line").alias("line"))).alias("asked"))
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
-        own = own.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+        own = own.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).withColumn("lines", F.split("text", "\n", -1))
         return own.select(F.explode(F.transform("asked", lambda x: F.struct(x["cls"].alias("cls"), F.get("lines", x["line"]).alias("text")))).alias("x")).select("x.cls", "x.text")
 
-    spots = lines.select("cls", "n_shingles", "registers", F.struct("doc_id", "text_key", "line").alias("at"))
-    _, found = link(spots, fetch, PARAGRAPHS, scratch)
+    place = F.struct(*PLACE)
+    _, found = link(lines.select("cls", "n_shingles", "registers", F.struct("doc_id", "text_key", "line").alias("at")), fetch, PARAGRAPHS, scratch)
     # A paragraph's cluster: its component, or its class alone where that has several occurrences.
-    occurs = lines.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_key", "first_word", "n_words", F.coalesce("component", "cls").alias("cluster")).distinct()
-    many = occurs.groupBy("cluster").agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1")
-    paragraphs = occurs.join(many, "cluster").select("doc_id", "text_key", F.lit("paragraph").alias("kind"), "first_word", "n_words", F.xxhash64("cluster").alias("component_id"), place.eqNullSafe(F.col("head")).alias("kept"))
-    paragraphs = scratch.cut(paragraphs, "paragraphs")
-
-    # Windows that occur more than once, in order within each document.
-    prints = all_units.where("print is not null").select("doc_id", "text_key", "first_word", "print").distinct()
-    counts = prints.groupBy("print").agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1")
-    met = scratch.cut(prints.join(counts, "print").select("doc_id", "text_key", "first_word", "print", place.eqNullSafe(F.col("head")).alias("kept")), "met")
-    scratch.drop("units", "classes")
+    occurs = lines.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(*PLACE, "n_words", F.coalesce("component", "cls").alias("cluster"))
+    occurs = scratch.cut(occurs, "occurs")
+    many = occurs.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(~F.col("head").eqNullSafe(F.col("last"))).drop("last")
+    return occurs.join(many, "cluster").select("doc_id", "text_key", F.lit("paragraph").alias("kind"), "first_word", "n_words", F.xxhash64("cluster").alias("component_id"), place.eqNullSafe(F.col("head")).alias("kept")).distinct()
+
+
+def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    place = F.struct(*PLACE)
+    several = ~F.col("head").eqNullSafe(F.col("last"))
+    often = prints.groupBy("print").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(several).select("print")
+    spots = prints.join(often, "print").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.sort_array(F.collect_set("first_word")).alias("spots"))  # a document's own windows
+    spots = scratch.cut(spots, "spots")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    # Of rows with one doc_id and text, one is read.
+    asked = own.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    seen = scratch.cut(contexts(asked), "seen")
+    heads = seen.groupBy("exact").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.min_by(F.struct("before", "after"), place).alias("first")).where(several).drop("last")
+    agree = lambda side: F.size(F.filter(F.zip_with(side, f"first.{side}", lambda x, y: x == y), lambda x: x))
+    hits = seen.join(heads, "exact").select(*PLACE, "exact", place.eqNullSafe(F.col("head")).alias("kept"), agree("before").alias("left"), agree("after").alias("right")).distinct()
+    hits = scratch.cut(hits, "hits")
+    scratch.drop("seen", "spots")
+    # A first occurrence reaches as far as the farthest of the others does.
+    far = hits.where("not kept").groupBy("exact").agg(F.max("left").alias("far_left"), F.max("right").alias("far_right"))
+    hits = hits.join(far, "exact", "left").withColumns({"left": F.when(F.col("kept"), F.coalesce("far_left", F.lit(0))).otherwise(F.col("left")), "right": F.when(F.col("kept"), F.coalesce("far_right", F.lit(0))).otherwise(F.col("right"))})
     of = W.partitionBy("doc_id", "text_key").orderBy("first_word")
     follows = F.col("first_word") - F.lag("first_word").over(of) <= RUN
-    chained = met.withColumns({"before": F.when(follows, F.lag("print").over(of)), "same": F.coalesce(follows & (F.lag("kept").over(of) == F.col("kept")), F.lit(False))})
-    chained = scratch.cut(chained.withColumn("span", F.sum((~F.col("same")).cast("int")).over(of.rowsBetween(W.unboundedPreceding, 0))), "chained")
-    tied = components(chained.where("before is not null").select(F.col("print").alias("a"), F.col("before").alias("b")), scratch)
-    tied = scratch.cut(tied, "tied")
-    spans = chained.groupBy("doc_id", "text_key", "span", "kept").agg(F.min("first_word").alias("first_word"), (F.max("first_word") + WINDOW - F.min("first_word")).cast("int").alias("n_words"), F.min("print").alias("print"))
-    passages = spans.join(tied, F.col("print") == F.col("node"), "left").select("doc_id", "text_key", F.lit("passage").alias("kind"), "first_word", "n_words", F.coalesce("component", "print").alias("component_id"), "kept")
-    passages = scratch.cut(passages, "passages")
-    scratch.close("paragraphs", "passages")
-    return paragraphs.union(passages)
+    chained = hits.withColumns({"previous": F.when(follows, F.lag("exact").over(of)), "same": F.coalesce(follows & (F.lag("kept").over(of) == F.col("kept")), F.lit(False))})
+    chained = chained.withColumn("span", F.sum((~F.col("same")).cast("int")).over(of.rowsBetween(W.unboundedPreceding, 0)))
+    chained = scratch.cut(chained.select(*PLACE, "exact", "kept", "left", "right", "previous", "span"), "chained")
+    tied = components(chained.where("previous is not null").select(F.col("exact").alias("a"), F.col("previous").alias("b")), scratch)
+    spans = chained.groupBy("doc_id", "text_key", "span", "kept").agg(
+        F.min("first_word").alias("first"), F.max("first_word").alias("last"), F.min_by("left", "first_word").alias("left"), F.max_by("right", "first_word").alias("right"), F.min("exact").alias("exact"),
+    ).select("doc_id", "text_key", "kept", "exact", (F.col("first") - F.col("left")).alias("first"), (F.col("last") + WINDOW + F.col("right")).alias("end"))
+    by = W.partitionBy("doc_id", "text_key").orderBy("first", "end")
+    kept_end = F.max(F.when(F.col("kept"), F.col("end"))).over(by.rowsBetween(W.unboundedPreceding, -1))
+    kept_first = F.min(F.when(F.col("kept"), F.col("first"))).over(by.rowsBetween(1, W.unboundedFollowing))
+    spans = spans.withColumns({"_a": F.when(F.col("kept"), F.col("first")).otherwise(F.greatest("first", kept_end)), "_b": F.when(F.col("kept"), F.col("end")).otherwise(F.least("end", kept_first))}).where("_a < _b")
+    return spans.join(tied, F.col("exact") == F.col("node"), "left").select("doc_id", "text_key", F.lit("passage").alias("kind"), F.col("_a").cast("int").alias("first_word"), (F.col("_b") - F.col("_a")).cast("int").alias("n_words"), F.xxhash64(F.coalesce("component", "exact")).alias("component_id"), "kept")

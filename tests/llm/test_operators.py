@@ -402,19 +402,80 @@ def test_passages_are_found_wherever_they_stand(spark):
     rows = repeated(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r.doc_id for r in rows} == {0, 1, 2, 3, 4, 10, 11}
     inner = [r for r in rows if r.doc_id < 10]
-    assert len({r.component_id for r in inner}) == 1 and {r.doc_id for r in inner if r.kept} == {0} and all(30 + r.doc_id <= r.first_word and r.first_word + r.n_words <= 90 + r.doc_id for r in inner)
+    assert len({r.component_id for r in inner}) == 1 and {r.doc_id for r in inner if r.kept} == {0} and all((r.first_word, r.n_words) == (30 + r.doc_id, 60) for r in inner)
     lines = [r for r in rows if r.kind == "paragraph"]
     assert {(r.doc_id, r.first_word, r.kept) for r in lines} == {(10, 0, True), (11, 1, False)} and len({r.component_id for r in lines}) == 1
 
 
 def test_passages_match_all_windows(spark, documents):
-    holders = collections.defaultdict(set)
+    """Every word of a 50-word window that stands in two places is in a span, and every word of a span in a 30-word window that does."""
+    words = {i: SPACED.findall((d.text or "").translate(LOWER)) for i, d in documents.items()}
+
+    def met(n):
+        places = collections.defaultdict(list)
+        for i, w in words.items():
+            for k in range(len(w) - n + 1):
+                places[tuple(w[k : k + n])].append((i, k))
+        out = collections.defaultdict(set)
+        for at in places.values():
+            if len(at) > 1:
+                for i, k in at:
+                    out[i] |= set(range(k, k + n))
+        return out
+
+    rows = [r for r in query(spark, "op10_repeated_passages").collect() if r.kind == "passage"]
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    some, sure = met(30), met(50)
+    assert sure and all(sure[i] <= got[i] for i in sure) and all(got[i] <= some[i] for i in got)
+    # What is removed stands in a kept span, or in a longer one, of the same cluster; and each cluster keeps something.
+    kept = collections.defaultdict(list)
+    for r in rows:
+        if r.kept:
+            kept[r.component_id].append(" ".join(words[r.doc_id][r.first_word : r.first_word + r.n_words]))
+    assert {r.component_id for r in rows} == set(kept)
+
+
+def test_passage_clusters_and_kept_paragraphs_match_all_pairs(spark, documents):
+    lines = {(i, k): t for i, d in documents.items() for k, t in enumerate((d.text or "").split("\n")) if len(SPACED.findall(t)) >= 5}
+    first = {}
     for i, d in documents.items():
-        w = SPACED.findall((d.text or "").translate(LOWER))
-        for k in range(len(w) - 49):
-            holders[tuple(w[k : k + 50])].add(i)
-    want = {i for s in holders.values() if len(s) > 1 for i in s}
-    assert want <= {r.doc_id for r in query(spark, "op10_repeated_passages").collect()}
+        n = 0
+        for k, t in enumerate((d.text or "").split("\n")):
+            first[i, k] = n
+            n += len(SPACED.findall(t))
+    sets, holders = {x: shingle_set(t) for x, t in lines.items()}, collections.defaultdict(list)
+    parent = {x: x for x in lines}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    same = {}
+    for x, s in sorted(sets.items()):  # equal sets once
+        if s in same:
+            parent[x] = same[s]
+            continue
+        same[s] = x
+        common = collections.Counter(y for e in s for y in holders[e])
+        for y, n in common.items():
+            if 100 * n >= 75 * (len(s) + len(sets[y]) - n):
+                a, b = find(x), find(y)
+                parent[max(a, b)] = min(a, b)
+        for e in s:
+            holders[e].append(x)
+    want = collections.defaultdict(set)
+    for x in lines:
+        want[find(x)].add((x[0], first[x]))
+    got, kept = collections.defaultdict(set), set()
+    for r in query(spark, "op10_repeated_passages").collect():
+        if r.kind == "paragraph":
+            got[r.component_id].add((r.doc_id, r.first_word))
+            kept |= {(r.doc_id, r.first_word)} if r.kept else set()
+    want = [x for x in want.values() if len(x) > 1]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and kept == {min(x) for x in want}
 
 
 def test_passages_of_odd_rows(spark, odd):
