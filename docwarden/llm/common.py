@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words between ASCII white space, and words of letters and digits (ASCII ones, and all that is not ASCII).
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -37,7 +38,13 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.paths[name] = path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.option("compression", "zstd").parquet(path)
+        # What the table was made from is not asked for again: its shuffle files go when it is written, and not when the driver collects garbage.
+        was = self.spark.conf.get(TIDY, None)
+        self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(TIDY) if was is None else self.spark.conf.set(TIDY, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -37,15 +37,21 @@ TILE, PART, CLASSES = 1 << 18, 1 << 20, 1024
 
 
 class Shape(NamedTuple):
-    """Registers of a signature, registers of a band, and the least estimate that is confirmed, over five standard deviations under 0.75."""
+    """Buckets that shingles are hashed into, registers of a band, bands, and the least estimate that is confirmed. A signature holds the registers
+    of the bands."""
 
     buckets: int
     band: int
+    bands: int
     least: float
 
+    @property
+    def width(self) -> int:
+        return self.band * self.bands
 
-#: 32 bands of 4: a pair of likeness 0.75 is missed by all with a chance of 5e-6.
-DOCUMENTS = Shape(128, 4, 0.5)
+
+#: A pair of likeness 0.75 is missed by all bands with a chance of 5e-6; the least estimate lies over five standard deviations under 0.75.
+DOCUMENTS = Shape(128, 4, 32, 0.5)
 
 SIGNED = "doc_id long, text_key long, n_shingles long, cls binary, registers binary"
 
@@ -96,16 +102,16 @@ def expected_collisions(n: np.ndarray, m: np.ndarray, buckets: int) -> np.ndarra
     return (p[0] * p[1]).sum(1) / 2**MANTISSA
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    agree, chance = (a == b).mean(1), expected_collisions(n.astype(float), m.astype(float), a.shape[-1])
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, buckets: int) -> np.ndarray:
+    agree, chance = (a == b).mean(1), expected_collisions(n.astype(float), m.astype(float), buckets)
     return (agree - chance) / (1 - chance)
 
 
-def _matrix(column: pa.Array, buckets: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, buckets)
+def _matrix(column: pa.Array, shape: Shape) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, shape.width)
 
 
-def signatures(value: np.ndarray, owner: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, list, list]:
+def signatures(value: np.ndarray, owner: np.ndarray, n: int, shape: Shape) -> tuple[np.ndarray, list, list]:
     """Of n sets of distinct shingles: their sizes, 128 bits that name the set, and their registers (both None for an empty set)."""
     count = np.bincount(owner, minlength=n)
     sums = np.zeros((n, 2), np.uint64)
@@ -115,7 +121,7 @@ def signatures(value: np.ndarray, owner: np.ndarray, n: int, buckets: int) -> tu
         for i, seed in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
             sums[has, i] = np.add.reduceat(tk.mixed(value ^ np.uint64(seed)), first)
         sums[has, 1] ^= tk.mixed(count[has].astype(np.uint64))
-    regs = registers(value, owner, n, buckets)
+    regs = registers(value, owner, n, shape.buckets)[:, : shape.width]
     return count, [sums[i].tobytes() if c else None for i, c in enumerate(count)], [regs[i].tobytes() if c else None for i, c in enumerate(count)]
 
 
@@ -130,7 +136,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 data = tk._LOWER[data]
                 start, end, doc = tk.words(data, at, tk.GAPS["spaced"])
                 value, owner = tk.distinct_shingles(*tk.shingles(tk.word_hashes(data, start, end), doc, n))
-                count, cls, sig = signatures(value, owner, n, DOCUMENTS.buckets)
+                count, cls, sig = signatures(value, owner, n, DOCUMENTS)
                 yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "cls", "registers"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
@@ -140,11 +146,11 @@ def banded(classes: DataFrame, shape: Shape) -> DataFrame:
     """A row per class and band: a 64-bit key of the band and its registers. Sets of fewer than ALONE shingles are alike only if they are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = shape.buckets // shape.band
+        bands = shape.bands
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = _matrix(batch.column("registers"), shape.buckets).reshape(-1, bands, shape.band).astype(np.uint64)
+            regs = _matrix(batch.column("registers"), shape).reshape(-1, bands, shape.band).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(56), regs.shape[:2]).copy()
             for i in range(shape.band):
                 key = tk.mixed(key * np.uint64(31) + regs[:, :, i])
@@ -179,43 +185,50 @@ def alike(own: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.ndar
 
 
 def _tested(work: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """Links (a, b) of work (tile, part, asks, cls, component): in each group (tile, part) those that ask meet all of other components.
+    """Links (a, b) of work (pack, tile, asks, cls, component): in each group, a pack, those of a tile that ask meet all of it of other components.
 
     Pairs whose estimate is too low are passed over, all others are decided by their full sets. Of the links that lead to one component
     an asker reports the first; the others add nothing. A group's sets are bounded by TILE and PART, and no pair leaves it but links."""
     import pandas as pd
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
-        names = [bytes(x) for x in got.cls]
-        regs = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.buckets)
+        got = got.sort_values("tile", kind="stable")
+        names, tiles, asks = [bytes(x) for x in got.cls], got.tile.to_numpy(), got.asks.to_numpy()
+        regs = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.width)
         values = [np.frombuffer(x, np.uint64) for x in got.shingles]
         n = np.array([len(x) for x in values])
         code = pd.factorize(got.component.map(bytes))[0]
         links = []
-        for k in np.flatnonzero(got.asks.to_numpy()):
-            near = np.flatnonzero((code != code[k]) & (4 * np.minimum(n, n[k]) >= 3 * np.maximum(n, n[k])))
-            near = near[(regs[near] == regs[k]).mean(1) >= shape.least]  # an estimate is never above this share
-            if not len(near):
-                continue
-            est = estimate(regs[near], regs[k][None, :], n[near], np.full(len(near), n[k]))
-            near = near[np.argsort(-est, kind="stable")[: (est >= shape.least).sum()]]
-            while len(near):
-                some, near = near[:64], near[64:]
-                found = some[alike(values[k], np.concatenate([values[i] for i in some]), np.repeat(np.arange(len(some)), n[some]), n[some])]
-                _, first = np.unique(code[found], return_index=True)
-                links += [(names[k], names[i]) for i in found[first]]
-                near = near[~np.isin(code[near], code[found])]
+        cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1), len(got)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            for k in lo + np.flatnonzero(asks[lo:hi]):
+                near = lo + np.flatnonzero((code[lo:hi] != code[k]) & (4 * np.minimum(n[lo:hi], n[k]) >= 3 * np.maximum(n[lo:hi], n[k])))
+                near = near[(regs[near] == regs[k]).mean(1) >= shape.least]  # an estimate is never above this share
+                if not len(near):
+                    continue
+                est = estimate(regs[near], regs[k][None, :], n[near], np.full(len(near), n[k]), shape.buckets)
+                near = near[np.argsort(-est, kind="stable")[: (est >= shape.least).sum()]]
+                while len(near):
+                    some, near = near[:64], near[64:]
+                    found = some[alike(values[k], np.concatenate([values[i] for i in some]), np.repeat(np.arange(len(some)), n[some]), n[some])]
+                    _, first = np.unique(code[found], return_index=True)
+                    links += [(names[k], names[i]) for i in found[first]]
+                    near = near[~np.isin(code[near], code[found])]
         return pd.DataFrame(links, columns=["a", "b"])
 
-    rows = work.join(sets, "cls").select("tile", "part", "asks", "cls", "component", "registers", "shingles")
-    return rows.groupBy("tile", "part").applyInPandas(run, "a binary, b binary")
+    rows = work.join(sets, "cls").select("pack", "tile", "asks", "cls", "component", "registers", "shingles")
+    return rows.groupBy("pack").applyInPandas(run, "a binary, b binary")
 
 
-def _parts(work: DataFrame) -> DataFrame:
-    """work (tile, asks, cls, component, n) dealt into parts of bounded size: those that are asked stand in one part, those that ask in all."""
-    sizes = work.where("not asks").groupBy("tile").agg(F.greatest(F.ceil(F.sum("n") / PART), F.ceil(F.count("*") / CLASSES)).cast("int").alias("parts"))
-    own = F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    return work.join(sizes, "tile").withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))).drop("n", "parts")
+def _packed(work: DataFrame) -> DataFrame:
+    """(Written) work (tile, asks, cls, component, n) dealt into packs of bounded size: small tiles together, a large one in parts. Those that are
+    asked stand in one part, those that ask in all."""
+    of = work.where("not asks").groupBy("tile").agg(F.sum("n").alias("sum"), F.count("*").alias("count"))
+    packs = 1 + (of.agg(F.sum(F.greatest(F.col("sum") / PART, F.col("count") / CLASSES))).first()[0] or 0) // 1
+    sizes = of.select("tile", F.ceil(F.greatest(F.col("sum") / PART, F.col("count") / CLASSES)).cast("int").alias("parts"))
+    part = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))))
+    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("tile"), F.lit(int(packs)))).otherwise(F.xxhash64("tile", "part"))
+    return work.join(sizes, "tile").withColumn("part", part).withColumn("pack", pack).select("pack", "tile", "asks", "cls", "component")
 
 
 def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -240,10 +253,11 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     wanted = crowd.select("cls").join(classes.select("cls", "at"), "cls")
     sets = shingle_sets(fetch(scratch.cut(wanted, "wanted"))).dropDuplicates(["cls"]).join(classes.select("cls", "registers"), "cls")
     sets = scratch.cut(sets, "sets")
-    asking = starred.select(F.col("head").alias("tile"), F.lit(True).alias("asks"), F.col("head").alias("cls")).distinct()
-    asked = starred.select(F.col("head").alias("tile"), F.lit(False).alias("asks"), "cls", F.col("cls").alias("component"), "n")
+    tile = F.xxhash64("head").alias("tile")
+    asking = starred.select(tile, F.lit(True).alias("asks"), F.col("head").alias("cls")).distinct()
+    asked = starred.select(tile, F.lit(False).alias("asks"), "cls", F.col("cls").alias("component"), "n")
     work = asked.unionByName(asking.withColumns({"component": F.col("cls"), "n": F.lit(0).cast("long")}))
-    links = scratch.cut(_tested(_parts(work), sets, shape), "star")
+    links = scratch.cut(_tested(_packed(work), sets, shape), "star")
     found = scratch.cut(components(links, scratch), "found")
     # What the heads left apart: buckets that still hold several components. All that stand outside of their bucket's largest one ask all of it.
     placed = sized.where("size > 2").join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
@@ -254,11 +268,11 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     outside = placed.where("component <> main").groupBy("cls", "n", "component").agg(F.max(F.struct("size", "main"))["main"].alias("home"))
     # Askers of one home are dealt into tiles, so that a tile's askers mostly share their buckets.
     tiles = outside.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count("*") / CLASSES)).cast("int").alias("tiles"))
-    tiled = scratch.cut(outside.join(tiles, "home").withColumn("tile", F.concat("home", F.encode(F.concat(F.lit("/"), F.pmod(F.xxhash64("cls"), F.col("tiles"))), "utf-8"))).select("tile", "cls", "n", "component"), "tiled")
+    tiled = scratch.cut(outside.join(tiles, "home").withColumn("tile", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("tiles")))).select("tile", "cls", "n", "component"), "tiled")
     met = placed.join(placed.where("component <> main").select("key", "cls").join(tiled.select("cls", "tile"), "cls").select("key", "tile").distinct(), "key")
     asked = met.select("tile", F.lit(False).alias("asks"), "cls", "component", "n").distinct()
     work = scratch.cut(asked.unionByName(tiled.withColumn("asks", F.lit(True))), "work")
-    more = scratch.cut(_tested(_parts(work), sets, shape), "more")
+    more = scratch.cut(_tested(_packed(work), sets, shape), "more")
     scratch.drop("placed", "split", "tiled", "work", "sets", "wanted")
     if not more.isEmpty():
         found = scratch.cut(components(links.union(more), scratch), "found_all")

@@ -1,6 +1,6 @@
 """Repeated passages across documents: paragraph MinHash banding, and winnowed windows for passages within longer paragraphs.
 
-Each line of at least LEAST_WORDS words (one shingle) is a paragraph. Paragraphs of the same shingle set form a class; bands of two registers, tuned for
+Each line of at least LEAST_WORDS words (one shingle) is a paragraph. Paragraphs of the same shingle set form a class; bands of three registers, tuned for
 recall, find candidate classes, exact Jaccard of five-word shingles (0.75 or more) confirms them, and components cluster them. A passage that stands
 within longer paragraphs leaves their sets too different for that. So of each run of neighbouring WINDOW-word hashes the least is kept, which any two
 texts that share PASSAGE words or more have in common. Kept windows that meet are confirmed by a digest of their words. Those that follow each other in
@@ -33,8 +33,8 @@ from docwarden.llm.neardup import Shape, link, signatures
 
 #: The words of one shingle.
 LEAST_WORDS = 5
-#: 16 bands of 2: a pair of likeness 0.75 is missed by all with a chance of 2e-6.
-PARAGRAPHS = Shape(32, 2, 0.3)
+#: A pair of likeness 0.75 is missed by all bands with a chance of 2e-4, one of 0.8 with 1e-5.
+PARAGRAPHS = Shape(64, 3, 16, 0.4)
 WINDOW, PASSAGE = 30, 50
 RUN = PASSAGE - WINDOW + 1
 #: Words beyond an outermost shared kept window that can still be shared: with RUN of them another window would have been kept.
@@ -76,7 +76,7 @@ def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rank[long] = np.arange(len(long))
         chosen = rank[para] >= 0
         value, owner = tk.distinct_shingles(*tk.shingles(hashes[chosen], rank[para][chosen], len(long)))
-        count, cls, sig = signatures(value, owner, len(long), PARAGRAPHS.buckets)
+        count, cls, sig = signatures(value, owner, len(long), PARAGRAPHS)
         f = first[long]
         yield _rows(batch, doc[f], line_of[f], f - base[doc[f]], size[long], count, cls, sig, None)
     value, owner, spot = windows(hashes, doc)
@@ -98,7 +98,7 @@ def windows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if m < 1:
         return (np.zeros(0, np.uint64),) * 3
     value, done = hashes, 1
-    powers = {1: np.uint64(0xFF51AFD7ED558CCD)}
+    powers = {1: np.array([0xFF51AFD7ED558CCD], np.uint64)}  # arrays wrap without a warning
     while 2 * done <= WINDOW:  # a window's hash from those of its halves
         value = value[: len(value) - done] * powers[done] + value[done:]
         powers[2 * done] = powers[done] * powers[done]
@@ -128,7 +128,7 @@ def contexts(texts: DataFrame) -> DataFrame:
             for batch in tk.slices(whole, "text", 2 << 20):
                 yield from _contexts(batch)
 
-    return texts.select("doc_id", "text_key", "text", "spots").mapInArrow(run, "doc_id long, text_key long, first_word int, exact binary, before array<long>, after array<long>")
+    return texts.select("doc_id", "text_key", "text", "spots").mapInArrow(run, "doc_id long, text_key long, first_word int, exact binary, before array<int>, after array<int>")
 
 
 def _contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             word = hashes[np.clip(edge + k * step, 0, len(hashes) - 1)]
             out[:, k] = value = tk.mixed(value * np.uint64(0xFF51AFD7ED558CCD) + word)
         inside = np.arange(REACH)[None, :] < room[:, None]
-        sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array(out[inside].view(np.int64))))
+        sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array((out[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32))))
     of = pa.array(which)
     yield pa.record_batch([batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(spot, pa.int32()), pa.array(exact, pa.binary()), *sides], ["doc_id", "text_key", "first_word", "exact", "before", "after"])
 
@@ -188,7 +188,8 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFram
 def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct(*PLACE)
     several = ~F.col("head").eqNullSafe(F.col("last"))
-    often = prints.groupBy("print").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(several).select("print")
+    at = F.xxhash64(*PLACE)
+    often = prints.groupBy("print").agg(F.min(at).alias("head"), F.max(at).alias("last")).where(several).select("print")
     spots = prints.join(often, "print").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.sort_array(F.collect_set("first_word")).alias("spots"))  # a document's own windows
     spots = scratch.cut(spots, "spots")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -208,12 +209,12 @@ def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame
     chained = hits.withColumns({"previous": F.when(follows, F.lag("exact").over(of)), "same": F.coalesce(follows & (F.lag("kept").over(of) == F.col("kept")), F.lit(False))})
     chained = chained.withColumn("span", F.sum((~F.col("same")).cast("int")).over(of.rowsBetween(W.unboundedPreceding, 0)))
     chained = scratch.cut(chained.select(*PLACE, "exact", "kept", "left", "right", "previous", "span"), "chained")
-    tied = components(chained.where("previous is not null").select(F.col("exact").alias("a"), F.col("previous").alias("b")), scratch)
+    tied = components(chained.where("previous is not null").select(F.xxhash64("exact").alias("a"), F.xxhash64("previous").alias("b")), scratch)
     spans = chained.groupBy("doc_id", "text_key", "span", "kept").agg(
-        F.min("first_word").alias("first"), F.max("first_word").alias("last"), F.min_by("left", "first_word").alias("left"), F.max_by("right", "first_word").alias("right"), F.min("exact").alias("exact"),
-    ).select("doc_id", "text_key", "kept", "exact", (F.col("first") - F.col("left")).alias("first"), (F.col("last") + WINDOW + F.col("right")).alias("end"))
+        F.min("first_word").alias("first"), F.max("first_word").alias("last"), F.min_by("left", "first_word").alias("left"), F.max_by("right", "first_word").alias("right"), F.min(F.xxhash64("exact")).alias("name"),
+    ).select("doc_id", "text_key", "kept", "name", (F.col("first") - F.col("left")).alias("first"), (F.col("last") + WINDOW + F.col("right")).alias("end"))
     by = W.partitionBy("doc_id", "text_key").orderBy("first", "end")
     kept_end = F.max(F.when(F.col("kept"), F.col("end"))).over(by.rowsBetween(W.unboundedPreceding, -1))
     kept_first = F.min(F.when(F.col("kept"), F.col("first"))).over(by.rowsBetween(1, W.unboundedFollowing))
     spans = spans.withColumns({"_a": F.when(F.col("kept"), F.col("first")).otherwise(F.greatest("first", kept_end)), "_b": F.when(F.col("kept"), F.col("end")).otherwise(F.least("end", kept_first))}).where("_a < _b")
-    return spans.join(tied, F.col("exact") == F.col("node"), "left").select("doc_id", "text_key", F.lit("passage").alias("kind"), F.col("_a").cast("int").alias("first_word"), (F.col("_b") - F.col("_a")).cast("int").alias("n_words"), F.xxhash64(F.coalesce("component", "exact")).alias("component_id"), "kept")
+    return spans.join(tied, F.col("name") == F.col("node"), "left").select("doc_id", "text_key", F.lit("passage").alias("kind"), F.col("_a").cast("int").alias("first_word"), (F.col("_b") - F.col("_a")).cast("int").alias("n_words"), F.coalesce("component", "name").alias("component_id"), "kept")

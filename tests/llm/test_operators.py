@@ -196,7 +196,7 @@ def test_no_alike_pair_of_different_components_stays_untested(spark):
     from docwarden.llm.neardup import DOCUMENTS, link
 
     rng = random.Random(8)
-    texts, same = {}, bytes(2 * DOCUMENTS.buckets)  # all registers equal, so that each class is estimated alike to all others
+    texts, same = {}, bytes(2 * DOCUMENTS.width)  # all registers equal, so that each class is estimated alike to all others
     for i in range(20):
         texts[bytes([i])] = texts[bytes([39 - i])] = prose(rng, 40)
     signed = spark.createDataFrame([(c, 36, i, same) for i, c in enumerate(texts)], "cls binary, n_shingles long, at long, registers binary")
