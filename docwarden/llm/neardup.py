@@ -17,6 +17,7 @@ kept only if it is linked with nothing. Columns beyond doc_id and text are ignor
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -56,6 +57,7 @@ DOCUMENTS = Shape(128, 4, 32, 0.5)
 SIGNED = "doc_id long, text_key long, n_shingles long, cls binary, registers binary"
 
 
+@functools.cache
 def _probes(buckets: int) -> np.ndarray:
     """For each bucket, all buckets in the fixed random order in which it borrows."""
     rng = np.random.default_rng(7)
@@ -69,11 +71,7 @@ def registers(value: np.ndarray, owner: np.ndarray, n_docs: int, buckets: int) -
     h = tk.mixed(value ^ np.uint64(0x5851F42D4C957F2D))
     at = owner * buckets + (h >> np.uint64(64 - bits)).astype(np.int64)
     rest = h << np.uint64(bits)
-    order = np.lexsort((rest, at))
-    at, rest = at[order], rest[order]
-    first = np.ones(len(at), bool)
-    first[1:] = at[1:] != at[:-1]
-    low[at[first]] = rest[first]
+    np.minimum.at(low, at, rest)
     full = (low != none).reshape(n_docs, buckets)
     zeros = np.zeros(len(low), np.uint64)
     x = low.copy()
@@ -83,14 +81,13 @@ def registers(value: np.ndarray, owner: np.ndarray, n_docs: int, buckets: int) -
         x[small] <<= np.uint64(step)
     mantissa = (x << np.uint64(1)) >> np.uint64(64 - MANTISSA)
     out = ((np.minimum(zeros, 63) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).reshape(n_docs, buckets)
-    some = full.any(1) & ~full.all(1)
-    if some.any():
-        probes, rows = _probes(buckets), np.flatnonzero(some)
-        for part in np.array_split(rows, len(rows) // 512 + 1):
-            lent = np.argmax(full[part][:, probes], 2)  # the first full bucket along each probing order
-            source = probes[np.arange(buckets)[None, :], lent]
-            own = full[part]
-            out[part] = np.where(own, out[part], np.take_along_axis(out[part], source, 1))
+    row, bucket = np.nonzero(full.any(1)[:, None] & ~full)
+    probes = _probes(buckets) if len(row) else None
+    for k in range(buckets if len(row) else 0):  # each empty bucket goes along its probing order until it meets a full one
+        lender = probes[bucket, k]
+        lent = full[row, lender]
+        out[row[lent], bucket[lent]] = out[row[lent], lender[lent]]
+        row, bucket = row[~lent], bucket[~lent]
     return out
 
 
@@ -135,7 +132,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 data, at = tk.text_bytes(batch.column("text"))
                 data = tk._LOWER[data]
                 start, end, doc = tk.words(data, at, tk.GAPS["spaced"])
-                value, owner = tk.distinct_shingles(*tk.shingles(tk.word_hashes(data, start, end), doc, n))
+                value, owner = tk.without_repeats(*tk.shingles(tk.word_hashes(data, start, end), doc, n))
                 count, cls, sig = signatures(value, owner, n, DOCUMENTS)
                 yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "cls", "registers"])
 
@@ -143,21 +140,22 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def banded(classes: DataFrame, shape: Shape) -> DataFrame:
-    """A row per class and band: a 64-bit key of the band and its registers. Sets of fewer than ALONE shingles are alike only if they are equal."""
+    """A row per class and band: a 64-bit key of the band and its registers. Sets of fewer than ALONE shingles are alike only if they are equal.
+
+    cid is a short name of the class: two classes that happen to share it are candidates of each other's candidates, and nothing worse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = shape.bands
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = _matrix(batch.column("registers"), shape).reshape(-1, bands, shape.band).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(56), regs.shape[:2]).copy()
+            regs = _matrix(batch.column("registers"), shape).reshape(-1, shape.bands, shape.band).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, shape.bands + 1, dtype=np.uint64) << np.uint64(56), regs.shape[:2]).copy()
             for i in range(shape.band):
                 key = tk.mixed(key * np.uint64(31) + regs[:, :, i])
-            who = np.repeat(np.arange(batch.num_rows), bands)
-            yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), batch.column("cls").take(pa.array(who)), batch.column("n").take(pa.array(who))], ["key", "cls", "n"])
+            who = pa.array(np.repeat(np.arange(batch.num_rows), shape.bands))
+            yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), batch.column("cid").take(who), batch.column("n").take(who)], ["key", "cid", "n"])
 
-    return classes.where(F.col("n") >= ALONE).select("cls", "n", "registers").mapInArrow(run, "key long, cls binary, n long")
+    return classes.where(F.col("n") >= ALONE).select(F.xxhash64("cls").alias("cid"), F.col("n").cast("int").alias("n"), "registers").mapInArrow(run, "key long, cid long, n int")
 
 
 def shingle_sets(texts: DataFrame, gaps: str = "spaced") -> DataFrame:
@@ -185,7 +183,7 @@ def alike(own: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.ndar
 
 
 def _tested(work: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """Links (a, b) of work (pack, tile, asks, cls, component): in each group, a pack, those of a tile that ask meet all of it of other components.
+    """Links (a, b) of work (pack, tile, asks, cid, component): in each group, a pack, those of a tile that ask meet all of it of other components.
 
     Pairs whose estimate is too low are passed over, all others are decided by their full sets. Of the links that lead to one component
     an asker reports the first; the others add nothing. A group's sets are bounded by TILE and PART, and no pair leaves it but links."""
@@ -193,11 +191,10 @@ def _tested(work: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("tile", kind="stable")
-        names, tiles, asks = [bytes(x) for x in got.cls], got.tile.to_numpy(), got.asks.to_numpy()
+        names, tiles, asks, code = got.cls.tolist(), got.tile.to_numpy(), got.asks.to_numpy(), got.component.to_numpy()
         regs = np.frombuffer(b"".join(got.registers), np.uint16).reshape(-1, shape.width)
         values = [np.frombuffer(x, np.uint64) for x in got.shingles]
         n = np.array([len(x) for x in values])
-        code = pd.factorize(got.component.map(bytes))[0]
         links = []
         cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1), len(got)]
         for lo, hi in zip(cuts, cuts[1:]):
@@ -212,23 +209,23 @@ def _tested(work: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
                     some, near = near[:64], near[64:]
                     found = some[alike(values[k], np.concatenate([values[i] for i in some]), np.repeat(np.arange(len(some)), n[some]), n[some])]
                     _, first = np.unique(code[found], return_index=True)
-                    links += [(names[k], names[i]) for i in found[first]]
+                    links += [(bytes(names[k]), bytes(names[i])) for i in found[first]]
                     near = near[~np.isin(code[near], code[found])]
         return pd.DataFrame(links, columns=["a", "b"])
 
-    rows = work.join(sets, "cls").select("pack", "tile", "asks", "cls", "component", "registers", "shingles")
+    rows = work.join(sets, "cid").select("pack", "tile", "asks", "component", "cls", "registers", "shingles")
     return rows.groupBy("pack").applyInPandas(run, "a binary, b binary")
 
 
 def _packed(work: DataFrame) -> DataFrame:
-    """(Written) work (tile, asks, cls, component, n) dealt into packs of bounded size: small tiles together, a large one in parts. Those that are
+    """(Written) work (tile, asks, cid, component, n) dealt into packs of bounded size: small tiles together, a large one in parts. Those that are
     asked stand in one part, those that ask in all."""
     of = work.where("not asks").groupBy("tile").agg(F.sum("n").alias("sum"), F.count("*").alias("count"))
     packs = 1 + (of.agg(F.sum(F.greatest(F.col("sum") / PART, F.col("count") / CLASSES))).first()[0] or 0) // 1
     sizes = of.select("tile", F.ceil(F.greatest(F.col("sum") / PART, F.col("count") / CLASSES)).cast("int").alias("parts"))
-    part = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))))
+    part = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))))
     pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("tile"), F.lit(int(packs)))).otherwise(F.xxhash64("tile", "part"))
-    return work.join(sizes, "tile").withColumn("part", part).withColumn("pack", pack).select("pack", "tile", "asks", "cls", "component")
+    return work.join(sizes, "tile").withColumn("part", part).withColumn("pack", pack).select("pack", "tile", "asks", "cid", "component")
 
 
 def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -237,40 +234,39 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     at says where a class's text stands; fetch turns (cls, at) into (cls, text)."""
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("at").alias("at"), F.first("registers").alias("registers"))
     classes = scratch.cut(classes, "classes")
-    bands = banded(classes, shape)
-    bands = scratch.cut(bands, "bands")
+    bands = scratch.cut(banded(classes, shape), "bands")
     sized = bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
     sized = scratch.cut(sized, "sized")
     scratch.drop("bands")
     # The head of a bucket is the member whose buckets are fullest: the text that most of a group of variants is made from.
-    crowd = sized.groupBy("cls").agg(F.sum("size").alias("crowd"))
-    crowd = scratch.cut(crowd, "crowd")
-    heads = sized.join(crowd, "cls").groupBy("key").agg(F.max(F.struct("crowd", "cls", "n")).alias("head"))
-    near = 4 * F.least("n", "head.n") >= 3 * F.greatest("n", "head.n")
-    starred = sized.join(heads, "key").where((F.col("cls") != F.col("head.cls")) & near).select(F.col("head.cls").alias("head"), "cls", "n").distinct()
+    crowd = scratch.cut(sized.groupBy("cid").agg(F.sum("size").alias("crowd"), F.min("n").alias("head_n")), "crowd")
+    heads = sized.join(crowd, "cid").groupBy("key").agg(F.max_by("cid", "crowd").alias("head"))
+    starred = sized.select("key", "cid", "n").join(heads, "key").where("cid <> head").select("head", "cid", "n").distinct()
+    starred = starred.join(crowd.select(F.col("cid").alias("head"), "head_n"), "head").where(4 * F.least("n", "head_n") >= 3 * F.greatest("n", "head_n"))
     starred = scratch.cut(starred, "starred")
     # The full sets of all classes that share a bucket, read once.
-    wanted = crowd.select("cls").join(classes.select("cls", "at"), "cls")
-    sets = shingle_sets(fetch(scratch.cut(wanted, "wanted"))).dropDuplicates(["cls"]).join(classes.select("cls", "registers"), "cls")
+    named = classes.withColumn("cid", F.xxhash64("cls"))
+    wanted = scratch.cut(crowd.select("cid").join(named.select("cid", "cls", "at"), "cid"), "wanted")
+    sets = shingle_sets(fetch(wanted.select("cls", "at"))).dropDuplicates(["cls"]).withColumn("cid", F.xxhash64("cls")).join(named.select("cls", "registers"), "cls")
     sets = scratch.cut(sets, "sets")
-    tile = F.xxhash64("head").alias("tile")
-    asking = starred.select(tile, F.lit(True).alias("asks"), F.col("head").alias("cls")).distinct()
-    asked = starred.select(tile, F.lit(False).alias("asks"), "cls", F.col("cls").alias("component"), "n")
-    work = asked.unionByName(asking.withColumns({"component": F.col("cls"), "n": F.lit(0).cast("long")}))
+    asking = starred.select(F.col("head").alias("tile"), F.lit(True).alias("asks"), F.col("head").alias("cid")).distinct()
+    asked = starred.select(F.col("head").alias("tile"), F.lit(False).alias("asks"), "cid", F.col("cid").alias("component"), "n")
+    work = asked.unionByName(asking.withColumns({"component": F.col("cid"), "n": F.lit(0)}))
     links = scratch.cut(_tested(_packed(work), sets, shape), "star")
     found = scratch.cut(components(links, scratch), "found")
     # What the heads left apart: buckets that still hold several components. All that stand outside of their bucket's largest one ask all of it.
-    placed = sized.where("size > 2").join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    parts_of = found.select(F.xxhash64("node").alias("cid"), F.xxhash64("component").alias("component"))
+    placed = sized.where("size > 2").select("key", "cid", "n").join(parts_of, "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component"))
     placed = scratch.cut(placed, "placed")
     scratch.drop("sized", "starred", "crowd")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size"))
-    placed = scratch.cut(placed.join(parts.where("parts > 1").select("key", F.col("main.component").alias("main"), "size"), "key"), "split")
-    outside = placed.where("component <> main").groupBy("cls", "n", "component").agg(F.max(F.struct("size", "main"))["main"].alias("home"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size"))
+    placed = scratch.cut(placed.join(parts.where("parts > 1").select("key", "main", "size"), "key"), "split")
+    outside = placed.where("component <> main").groupBy("cid", "n", "component").agg(F.max_by("main", "size").alias("home"))
     # Askers of one home are dealt into tiles, so that a tile's askers mostly share their buckets.
     tiles = outside.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count("*") / CLASSES)).cast("int").alias("tiles"))
-    tiled = scratch.cut(outside.join(tiles, "home").withColumn("tile", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("tiles")))).select("tile", "cls", "n", "component"), "tiled")
-    met = placed.join(placed.where("component <> main").select("key", "cls").join(tiled.select("cls", "tile"), "cls").select("key", "tile").distinct(), "key")
-    asked = met.select("tile", F.lit(False).alias("asks"), "cls", "component", "n").distinct()
+    tiled = scratch.cut(outside.join(tiles, "home").withColumn("tile", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("tiles")))).select("tile", "cid", "n", "component"), "tiled")
+    met = placed.join(placed.where("component <> main").select("key", "cid").join(tiled.select("cid", "tile"), "cid").select("key", "tile").distinct(), "key")
+    asked = met.select("tile", F.lit(False).alias("asks"), "cid", "component", "n").distinct()
     work = scratch.cut(asked.unionByName(tiled.withColumn("asks", F.lit(True))), "work")
     more = scratch.cut(_tested(_packed(work), sets, shape), "more")
     scratch.drop("placed", "split", "tiled", "work", "sets", "wanted")

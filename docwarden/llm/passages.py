@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from docwarden.llm import textkit as tk
 from docwarden.llm.common import Scratch
 from docwarden.llm.components import components
-from docwarden.llm.neardup import Shape, link, signatures
+from docwarden.llm.neardup import ALONE, Shape, link, signatures
 
 #: The words of one shingle.
 LEAST_WORDS = 5
 #: A pair of likeness 0.75 is missed by all bands with a chance of 2e-4, one of 0.8 with 1e-5.
 PARAGRAPHS = Shape(64, 3, 16, 0.4)
-WINDOW, PASSAGE = 30, 50
+#: RUN is not above WINDOW, so kept windows that follow each other in a passage leave no gap.
+WINDOW, PASSAGE = 26, 50
 RUN = PASSAGE - WINDOW + 1
 #: Words beyond an outermost shared kept window that can still be shared: with RUN of them another window would have been kept.
 REACH = RUN - 1
@@ -75,9 +76,10 @@ def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rank = np.full(len(first), -1)
         rank[long] = np.arange(len(long))
         chosen = rank[para] >= 0
-        value, owner = tk.distinct_shingles(*tk.shingles(hashes[chosen], rank[para][chosen], len(long)))
+        value, owner = tk.without_repeats(*tk.shingles(hashes[chosen], rank[para][chosen], len(long)))
         count, cls, sig = signatures(value, owner, len(long), PARAGRAPHS)
         f = first[long]
+        sig = [x if c >= ALONE else None for x, c in zip(sig, count)]  # smaller sets meet their equals only
         yield _rows(batch, doc[f], line_of[f], f - base[doc[f]], size[long], count, cls, sig, None)
     value, owner, spot = windows(hashes, doc)
     if len(value):
@@ -177,7 +179,7 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFram
         return own.select(F.explode(F.transform("asked", lambda x: F.struct(x["cls"].alias("cls"), F.get("lines", x["line"]).alias("text")))).alias("x")).select("x.cls", "x.text")
 
     place = F.struct(*PLACE)
-    _, found = link(lines.select("cls", "n_shingles", "registers", F.struct("doc_id", "text_key", "line").alias("at")), fetch, PARAGRAPHS, scratch)
+    _, found = link(lines.where(F.col("n_shingles") >= ALONE).select("cls", "n_shingles", "registers", F.struct("doc_id", "text_key", "line").alias("at")), fetch, PARAGRAPHS, scratch)
     # A paragraph's cluster: its component, or its class alone where that has several occurrences.
     occurs = lines.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(*PLACE, "n_words", F.coalesce("component", "cls").alias("cluster"))
     occurs = scratch.cut(occurs, "occurs")
@@ -206,12 +208,15 @@ def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame
     hits = hits.join(far, "exact", "left").withColumns({"left": F.when(F.col("kept"), F.coalesce("far_left", F.lit(0))).otherwise(F.col("left")), "right": F.when(F.col("kept"), F.coalesce("far_right", F.lit(0))).otherwise(F.col("right"))})
     of = W.partitionBy("doc_id", "text_key").orderBy("first_word")
     follows = F.col("first_word") - F.lag("first_word").over(of) <= RUN
-    chained = hits.withColumns({"previous": F.when(follows, F.lag("exact").over(of)), "same": F.coalesce(follows & (F.lag("kept").over(of) == F.col("kept")), F.lit(False))})
-    chained = chained.withColumn("span", F.sum((~F.col("same")).cast("int")).over(of.rowsBetween(W.unboundedPreceding, 0)))
-    chained = scratch.cut(chained.select(*PLACE, "exact", "kept", "left", "right", "previous", "span"), "chained")
-    tied = components(chained.where("previous is not null").select(F.xxhash64("exact").alias("a"), F.xxhash64("previous").alias("b")), scratch)
+    chained = hits.withColumns({"goes_on": F.coalesce(follows, F.lit(False)), "same": F.coalesce(follows & (F.lag("kept").over(of) == F.col("kept")), F.lit(False)), "name": F.xxhash64("exact")})
+    up_to = of.rowsBetween(W.unboundedPreceding, 0)
+    chained = chained.withColumns({"span": F.sum((~F.col("same")).cast("int")).over(up_to), "chain": F.sum((~F.col("goes_on")).cast("int")).over(up_to)})
+    # Each window of a chain is tied to the chain's least one, so that components have few steps to go.
+    chained = chained.withColumn("least", F.min("name").over(W.partitionBy("doc_id", "text_key", "chain")))
+    chained = scratch.cut(chained.select(*PLACE, "name", "kept", "left", "right", "least", "span"), "chained")
+    tied = components(chained.select(F.col("name").alias("a"), F.col("least").alias("b")), scratch)
     spans = chained.groupBy("doc_id", "text_key", "span", "kept").agg(
-        F.min("first_word").alias("first"), F.max("first_word").alias("last"), F.min_by("left", "first_word").alias("left"), F.max_by("right", "first_word").alias("right"), F.min(F.xxhash64("exact")).alias("name"),
+        F.min("first_word").alias("first"), F.max("first_word").alias("last"), F.min_by("left", "first_word").alias("left"), F.max_by("right", "first_word").alias("right"), F.min("name").alias("name"),
     ).select("doc_id", "text_key", "kept", "name", (F.col("first") - F.col("left")).alias("first"), (F.col("last") + WINDOW + F.col("right")).alias("end"))
     by = W.partitionBy("doc_id", "text_key").orderBy("first", "end")
     kept_end = F.max(F.when(F.col("kept"), F.col("end"))).over(by.rowsBetween(W.unboundedPreceding, -1))

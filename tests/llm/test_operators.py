@@ -408,7 +408,7 @@ def test_passages_are_found_wherever_they_stand(spark):
 
 
 def test_passages_match_all_windows(spark, documents):
-    """Every word of a 50-word window that stands in two places is in a span, and every word of a span in a 30-word window that does."""
+    """Every word of a 50-word window that stands in two places is in a span, and every word of a span in a 26-word window that does."""
     words = {i: SPACED.findall((d.text or "").translate(LOWER)) for i, d in documents.items()}
 
     def met(n):
@@ -427,7 +427,7 @@ def test_passages_match_all_windows(spark, documents):
     got = collections.defaultdict(set)
     for r in rows:
         got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
-    some, sure = met(30), met(50)
+    some, sure = met(26), met(50)
     assert sure and all(sure[i] <= got[i] for i in sure) and all(got[i] <= some[i] for i in got)
     # What is removed stands in a kept span, or in a longer one, of the same cluster; and each cluster keeps something.
     kept = collections.defaultdict(list)
