@@ -57,16 +57,13 @@ class Scratch:
         self.drop(*[x for x in self.paths if x not in but])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A result written to the shared folder; Spark's cleaner removes the files once the frame is gone."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Marks a frame for broadcast if it has at most so many (narrow) rows; else the join stays a shuffled one, which AQE splits where it is skewed.
+def small(df: DataFrame, rows: int = 200_000, most: int = 32 << 20) -> DataFrame:
+    """Marks a frame for broadcast if it has at most so many rows and bytes; else the join stays a shuffled one, which AQE splits where it is skewed.
     The frame should be cheap to count: a written table or a few partial sums."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum((F.coalesce(x, F.lit(0)) for x in wide), F.lit(8 * len(df.columns)))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= most else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

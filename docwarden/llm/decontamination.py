@@ -2,7 +2,7 @@
 
 Of each run of SPAN - GRAM + 1 neighbouring GRAM-word hashes the least is kept, so any passage of SPAN words has a kept hash that depends on the
 passage alone. Kept hashes of documents and benchmark items are joined; only documents with a common one are looked at again, where each hit is
-extended: every SPAN-word window of such a document is compared, as words, with the items' windows. An item of fewer words than SPAN is one window
+extended: every SPAN-word window of such a document is compared, by the SHA-256 of its words, with the items' windows. An item of fewer words than SPAN is one window
 and has one hash of its own, for which documents are hashed at that length too.
 
 Text is read twice and never shuffled, but for the candidates' windows. The benchmark's side is broadcast where it is counted to be small.
@@ -60,24 +60,30 @@ def decontaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     text = F.col("text").cast("string")
     marks = let(plain_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), prints(w, True).alias("prints")))
     marked = docs.select(*key, marks.alias("m")).select("doc_id", "text_key", "m.n_words", F.explode_outer("m.prints").alias("print"))
-    hit = marked.join(small(known), F.col("print") == F.col("known"), "left").groupBy("doc_id", "text_key", "n_words").agg(F.max(F.col("known").isNotNull()).alias("candidate"))
+    hit = marked.join(small(known, 2_000_000), F.col("print") == F.col("known"), "left").groupBy("doc_id", "text_key", "n_words").agg(F.max(F.col("known").isNotNull()).alias("candidate"))
     seen = scratch.cut(hit, "seen")
 
     # Extension: all windows of candidates against all windows of items, by the words themselves.
+    digest = lambda words: F.unhex(F.sha2(F.array_join(words, " "), 256))
+
     def windows(words: Column, n: int) -> Column:
         many = F.size(words) - (n - 1)
         spots = F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), F.array_join(F.slice(words, i, n), " ").alias("window")))
+        return F.transform(spots, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), digest(F.slice(words, i, n)).alias("window")))
 
-    whole = F.when(F.size("w") < span, F.array(F.struct(F.lit(1).alias("start"), F.size("w").alias("len"), F.array_join("w", " ").alias("window")))).otherwise(windows(F.col("w"), span))
-    asked = scratch.cut(listed.select("item_id", F.explode(whole).alias("x")).select("item_id", F.col("x.window").alias("asked")).groupBy("asked").agg(F.collect_set(F.struct("item_id")).alias("items")), "asked")
+    whole = F.when(F.size("w") < span, F.array(F.struct(F.lit(1).alias("start"), F.size("w").alias("len"), digest(F.col("w")).alias("window")))).otherwise(windows(F.col("w"), span))
+    asked = scratch.cut(listed.select("item_id", F.explode(whole).alias("x")).select("item_id", F.col("x.window").alias("asked")).distinct(), "asked")
     chosen = small(seen.where("candidate").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")))
     again = docs.select(*key, text.alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left_semi")
     every = let(plain_words(F.col("text")), lambda w: F.concat(windows(w, span), *[windows(w, n) for n in short]))
     spots = again.select("doc_id", "text_key", F.explode(every).alias("x")).select("doc_id", "text_key", "x.start", "x.len", "x.window")
-    met = spots.join(small(asked, 50_000), F.col("window") == F.col("asked")).select("doc_id", "text_key", "start", "len", "items")
+    # A window may stand in any number of items: hits are found by the window alone, and items are met once for each document and window.
+    met = scratch.cut(spots.join(small(asked.select("asked").distinct()), F.col("window") == F.col("asked"), "left_semi"), "met")
+    owners = met.select("doc_id", "text_key", "window").distinct().join(small(asked), F.col("window") == F.col("asked")).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "item_id").distinct()
+    listed_ids = owners.groupBy("_d", "_t").agg(F.count("*").alias("n_items"), F.collect_list(F.struct("item_id")).alias("ids"))
     # Per document: the covered words of the sorted hits, and the items.
-    per = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
+    per = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("at"))
+    per = per.join(listed_ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")))
     covered = F.aggregate(
         "at",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
@@ -85,7 +91,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
         lambda s: s["n"],
     )
     names = F.array_join(F.array_sort(F.transform("ids", lambda x: x["item_id"].cast("string"))), ",")
-    per = per.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
+    per = per.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), covered.alias("n_hit"), "n_items", F.sha2(names, 256).alias("items_sha256"))
     out = seen.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    scratch.close("seen", "met", "asked")
     return out.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -5,9 +5,9 @@ neighbouring windows the rarest is chosen; windows that are chosen by at least L
 Bloom filters of BITS bits, a new one after each FILL features. Two digests are compared filter by filter: common bits, less those that chance
 gives, over the most that could be common.
 
-Edited texts need the next document's beginning. Documents are dealt once, by ranges of doc_id, sorted within, and walked in Arrow batches with one
-document held over; each range also gets the first document of the next, so no neighbour is far away. Text is shuffled once, and no task holds more
-than a batch.
+Edited texts need the next document's beginning. Documents are dealt once, by ranges of (doc_id, text hash), sorted within, and walked in Arrow
+batches with one document held over; each range also gets the first document of the next, so no neighbour is far away. Text is shuffled once, and no
+task holds more than a batch. The ranges' bounds come from a sort of the keys alone; they reach the tasks as one value of 16 bytes a range.
 
 Defined results: a null text is empty; an empty or wordless text without a whole window has its bytes as its only feature, an empty one has an empty
 chain, and two empty chains are alike (1.0), an empty and a full one not (0.0); rows of one doc_id are ordered by the text's hash, repeated rows
@@ -33,7 +33,8 @@ RUN, LEAST_RUNS = 8, 4
 BITS, HASHES, FILL = 2048, 5, 160
 #: Bytes of entropy that is usual for windows of text, in bits; below LEAST_ENTROPY a window says nothing.
 USUAL_ENTROPY, LEAST_ENTROPY = 3.5, 1.0
-RANGE_BYTES, MOST_RANGES, COARSE = 8 << 20, 16384, 128
+#: Ranges are of RANGE_BYTES of text, but SPREAD at least if they have SMALL_RANGE bytes; FAN bounds are looked at in each step of finding a range.
+RANGE_BYTES, SMALL_RANGE, SPREAD, FAN = 64 << 20, 2 << 20, 256, 128
 
 
 def entropies(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -144,18 +145,31 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def ranged(docs: DataFrame, ranges: int) -> Column:
-    """The range of each doc_id, descending from 0; boundaries are approximate quantiles, counted in two levels."""
-    if ranges < 2:
-        return F.lit(0)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    above = lambda c: F.size(F.filter(c, lambda x: x >= F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
-    every = F.array(*[F.lit(c).cast("long") for c in cuts])
-    if len(cuts) <= COARSE:
-        return above(every)
-    top = above(F.array(*[F.lit(c).cast("long") for c in cuts[COARSE - 1 :: COARSE]]))
-    return top * COARSE + above(F.slice(every, top * COARSE + 1, F.lit(COARSE)))
+def own_place() -> Column:
+    """What orders documents: doc_id, nulls least, then the text's hash."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("d"), F.col("text_key").alias("k"))
+
+
+def bounds_of(keys: DataFrame, ranges: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The first place of each of about so many ranges, in descending order, as one row; and how many."""
+    place = own_place().alias("place")
+    dealt = keys.select(place).repartitionByRange(ranges, F.col("place").desc())
+    heads = scratch.cut(dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.max("place").alias("place")), "heads")
+    return scratch.cut(heads.agg(F.sort_array(F.collect_list("place"), False).alias("bounds")), "bounds"), heads.count()
+
+
+def range_of(bounds: Column, count: int, place: Column) -> Column:
+    """The last of the descending bounds that isn't below the place, counted from 0, found in steps of FAN bounds."""
+    step = 1
+    while step * FAN < count:
+        step *= FAN
+    found = F.lit(0)
+    while step:
+        level = F.transform(F.sequence(F.lit(0), F.lit((count - 1) // step)), lambda i: F.get(bounds, i * F.lit(step))) if step > 1 else bounds
+        some = F.slice(level, found + 1, F.lit(FAN))
+        found = found + F.greatest(F.lit(1), F.size(F.filter(some, lambda x: x >= place))) - 1
+        found, step = (found * FAN, step // FAN) if step > 1 else (found, 0)
+    return found
 
 
 SCHEMA = "doc_id long, text_key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -165,21 +179,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """A row per document; edited: its last third replaced by the first characters of the next document, by descending doc_id, in a ring."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(min(MOST_RANGES, max(1, total // RANGE_BYTES)))
-    part = ranged(docs, ranges)
-    dealt = docs.withColumns({"part": part, "text_key": F.xxhash64("text")})
-    # The first document of each range, and the range before it in the ring: at most MOST_RANGES rows.
-    heads = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "text_key")).alias("head"))
-    heads = sorted(heads.collect())
-    if not heads:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    if total is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    before = [(heads[k - 1]["part"], h["head"]["doc_id"], h["head"]["text_key"]) for k, h in enumerate(heads)]
-    heads = scratch.cut(docs.sparkSession.createDataFrame(before, "goes int, d long, k long"), "heads")
-    first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
-    dealt = dealt.join(F.broadcast(heads), first, "left")
-    copies = F.array(F.struct(F.col("part").cast("int").alias("part"), F.lit(0).alias("extra")), F.struct(F.col("goes").alias("part"), F.lit(1).alias("extra")))
-    dealt = dealt.select("doc_id", "text_key", "text", F.explode(F.when(F.col("goes").isNull(), F.slice(copies, 1, 1)).otherwise(copies)).alias("x")).select("x.part", "x.extra", "doc_id", "text_key", "text")
+    ranges = int(max(1, total // RANGE_BYTES, min(SPREAD, total // SMALL_RANGE)))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    bounds, count = bounds_of(keyed.select("doc_id", "text_key"), ranges, scratch)
+    bounds = bounds.scalar()
+    placed = keyed.withColumn("place", own_place()).withColumn("part", range_of(bounds, count, F.col("place")).cast("int"))
+    # The first document of a range also goes to the range before it, in a ring.
+    first = F.get(bounds, F.col("part")) == F.col("place")
+    one = lambda part, extra: F.struct(part.cast("int").alias("part"), F.lit(extra).alias("extra"))
+    copies = F.when(first, F.array(one(F.col("part"), 0), one(F.pmod(F.col("part") - 1, F.lit(count)), 1))).otherwise(F.array(one(F.col("part"), 0)))
+    dealt = placed.select("doc_id", "text_key", "text", F.explode(copies).alias("x")).select("x.part", "x.extra", "doc_id", "text_key", "text")
     dealt = dealt.repartition(ranges, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.col("text_key").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,9 +11,12 @@ stands, of equals the first.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +63,48 @@ def _tools(notices: tuple) -> tuple:
     return automaton, [regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={edits}}}") for notice, _, edits in notices]
 
 
+def _near(starts: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of starts that lie within so much of the run's first."""
+    k = 0
+    while k < len(starts):
+        j = bisect.bisect_right(starts, starts[k] + most)
+        yield starts[k], starts[j - 1]
+        k = j
+
+
+def _matches(pattern: re.Pattern, text: str, a: int, b: int) -> list:
+    """The best match within a window, and those beside it."""
+    todo, out = [(a, b)], []
+    while todo:
+        a, b = todo.pop()
+        if m := pattern.search(text, a, b):
+            out.append(m)
+            todo += [(a, m.start()), (m.end(), b)]
+    return out
+
+
+def _apart(hits: list) -> list:
+    """Of matches that overlap the one with fewest edits, of equals the first; in order."""
+    kept: list = []
+    for m in sorted(hits, key=lambda m: (sum(m.fuzzy_counts), m.start(), m.end())):
+        at = bisect.bisect(kept, m.start(), key=lambda x: x.start())
+        if (at == 0 or kept[at - 1].end() <= m.start()) and (at == len(kept) or m.end() <= kept[at].start()):
+            kept.insert(at, m)
+    return kept
+
+
 def scan(text: bytes, phrases: tuple = PHRASES, notices: tuple = NOTICES) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, int, float]]]:
     """Number of words, places (word, label) of phrases, and spans (label, first word, end word, edits, likeness) of notices."""
     words = text.lower().translate(_JOINED).split()
     joined = b" " + b" ".join(words) + b" "
-    word_at = lambda spot: joined.count(b" ", 0, spot + 1) - 1  # noqa: E731  the word that starts after, or holds, this spot
+    gaps: list[np.ndarray] = []
+
+    def word_at(spot: int) -> int:
+        """The word that starts after, or holds, this spot; the gaps are listed once, and only for texts with a finding."""
+        if not gaps:
+            gaps.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32))
+        return int(np.searchsorted(gaps[0], spot, "right")) - 1
+
     places = []
     for phrase, label in phrases:
         sought, spot = b" " + phrase.encode() + b" ", -1
@@ -72,26 +112,20 @@ def scan(text: bytes, phrases: tuple = PHRASES, notices: tuple = NOTICES) -> tup
             places.append((word_at(spot), label))
     automaton, patterns = _tools(notices)
     flat = joined.decode("latin-1")
-    windows: dict[int, list[list[int]]] = {}
+    starts: dict[int, set[int]] = {}
     for last, (length, uses) in automaton.iter(flat):
         for k, offset in uses:
-            notice, _, edits = notices[k]
-            a = max(0, last - length + 1 - offset - edits)
-            b = last - length + 1 - offset + len(notice) + edits
-            spans = windows.setdefault(k, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
+            starts.setdefault(k, set()).add(last - length + 1 - offset)
     spans = []
-    for k, found in windows.items():
-        notice, label, _ = notices[k]
-        for a, b in found:
-            for m in patterns[k].finditer(flat, a, b + 1):
-                edits = sum(m.fuzzy_counts)
-                whole = m.group()
-                first = word_at(m.start() + len(whole) - len(whole.lstrip()))
-                spans.append((label, first, first + len(whole.split()), edits, 1 - edits / len(notice)))
+    for k, found in starts.items():
+        notice, label, edits = notices[k]
+        hits = []
+        for first, last in _near(sorted(found), 2 * edits):  # windows of bounded length: neighbours that may mean one occurrence
+            hits += _matches(patterns[k], flat, max(0, first - edits), last + len(notice) + edits + 1)
+        for m in _apart(hits):
+            n, whole = sum(m.fuzzy_counts), m.group()
+            first = word_at(m.start() + len(whole) - len(whole.lstrip()))
+            spans.append((label, first, first + len(whole.split()), n, 1 - n / len(notice)))
     return len(words), places, spans
 
 

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 The corpus's words are cut into equal blocks. Blocks go to sources by highest quotients target / (2 * seats + 1), then within each source to its
-shards (fixed hash parts of about SHARD words) by highest quotients size / (2 * seats + 1), so that each shard has an integer quota. A shard
+shards (fixed hash parts of about SHARD words; where they are many, to groups of FAN shards first) by highest quotients size / (2 * seats + 1), so
+that each shard has an integer quota. A shard
 takes its quota from its documents in a seeded order: whole passes first, then a last one that ends within a document.
 
 Only (document, source, size) and the columns of keep are shuffled, text only if it is one of them. A hot source is many shards, each a bounded group. Quotients are ranked only for the few
@@ -9,7 +10,7 @@ seats around each proportional share, so their number follows that of sources an
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source is a source of its own, last in order; a repeated row is a row of
 its own (equal rows tie, and are interchangeable); sources without words have target 0; an empty table gives an empty result. Other columns of
-the input are kept out; a null doc_id is drawn like any other.
+the input are kept out; a null doc_id is drawn by its text. One row per source meets in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from docwarden.llm.common import SPACED_WORD, Scratch, small
 BLOCK = 16
 SHARD = 1 << 19
 PASSES = 3
+#: Claimants of one apportionment below the sources.
+FAN = 1024
 WEIGHTS = (1, 2, 3)
 SEED = 20240229
 
@@ -30,7 +33,9 @@ SEED = 20240229
 def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source and size (words between white space) of each document, and the columns of keep."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *keep)
+    # A document's place in the seeded order: by its id, by its text where it has none.
+    draw = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("_draw"), *keep)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -85,12 +90,21 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = SEED, block:
     parts = quota.select("source", "source_size", "target", F.col("seats").alias("source_seats"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("int").alias("shards"))
     same = F.col("source").eqNullSafe(F.col("s"))
     placed = sizes.join(small(parts.withColumnRenamed("source", "s")), same).drop("s")
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    draw = F.xxhash64(F.lit(seed), "_draw")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), draw), F.col("shards")).cast("int"))
-    # The shards' quotas, by their sizes.
-    held = placed.groupBy("source", "shard", "source_seats").agg(F.sum("size").alias("shard_size"))
-    ranked = apportioned(held, ["source", "source_seats"], F.col("shard_size"), F.col("source_seats"), [F.col("shard")])
-    ranked = scratch.cut(ranked.select(F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", (F.col("seats") * block).alias("quota")), "shards")
+    # The shards' quotas, by their sizes: level by level, so that no more than FAN claimants meet however many shards a source has.
+    held = scratch.cut(placed.groupBy("source", "shard", "source_seats").agg(F.sum("size").alias("shard_size")), "held")
+    levels, most = 1, quota.agg(F.max(F.ceil(F.col("source_size") / shard))).first()[0] or 1
+    while FAN**levels < most:
+        levels += 1
+    given = held.select("source", F.lit(0).cast("long").alias("branch"), F.col("source_seats").alias("seats")).distinct()
+    for level in range(levels):
+        width = FAN ** (levels - 1 - level)
+        claims = held.groupBy("source", F.floor(F.col("shard") / width).alias("branch")).agg(F.sum("shard_size").alias("words"))
+        claims = claims.join(given.select(F.col("source").alias("s"), F.col("branch").alias("up"), F.col("seats").alias("up_seats")), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("branch") / FAN) == F.col("up"))).drop("s")
+        given = apportioned(claims, ["source", "up", "up_seats"], F.col("words"), F.col("up_seats"), [F.col("branch")])
+        given = scratch.cut(given.select("source", "branch", "words", "seats"), f"given{level}")
+    ranked = scratch.cut(given.select(F.col("source").alias("s"), F.col("branch").cast("int").alias("h"), F.col("words").alias("shard_size"), (F.col("seats") * block).alias("quota")), "shards")
     placed = placed.join(small(ranked), same & (F.col("shard") == F.col("h"))).drop("s", "h")
     # Documents in seeded order, and the words before each.
     order = W.partitionBy("source", "shard").orderBy(draw, "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)

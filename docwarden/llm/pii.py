@@ -1,6 +1,6 @@
 """Personal data as format-preserving pseudonyms, with DataFrame functions only.
 
-Numbers and dates that pass their format's test (Luhn sum, octets, calendar, IBAN check digits) are permuted within that format by a keyed Feistel
+Numbers and dates that pass their format's test (Luhn sum, octets, calendar, IBAN check digits, lengths, no zero groups) are permuted within that format by a keyed Feistel
 network: a card stays a valid card of the same issuer digit, a date a date, an address an address. A value always maps to the same pseudonym and
 different values of a format to different ones, so values stay linked across documents. E-mail addresses and secrets aren't numbers; they become
 keyed digests in the same shape.
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from docwarden.llm.common import let
 
-KEY = "pseudonym-key-1"
+#: The session's setting that holds the secret key, and the key of tests, where it is unset.
+KEY_SETTING, KEY = "spark.docwarden.pseudonym.key", "pseudonym-key-1"
 ROUNDS = 8
 #: Dates are permuted within DAYS = 250 * 292 days from EPOCH on, and within each further stretch of so many days.
 EPOCH, DAYS_A, DAYS_B = "1900-01-01", 250, 292
@@ -136,11 +137,25 @@ def date(s: Column, key: str) -> Column:
     return let(parts, run)
 
 
+def social(s: Column, key: str) -> Column:
+    """Areas 001 to 999, groups 01 to 99 and serials 0001 to 9999 permuted among themselves. Null where one of them is zero, which none is given."""
+    groups, serials = 99, 9999
+
+    def run(p: Column) -> Column:
+        pair = feistel(p[0] - 1, (p[1] - 1) * serials + p[2] - 1, F.lit(999).cast("long"), F.lit(groups * serials).cast("long"), key, "social")
+        wide = lambda n, k: F.lpad(n.cast("string"), k, "0")
+        new = let(pair, lambda q: F.concat_ws("-", wide(q["a"] + 1, 3), wide(F.floor(q["b"] / serials) + 1, 2), wide(F.pmod(q["b"], F.lit(serials)) + 1, 4)))
+        return F.when(F.array_min(p) > 0, new)
+
+    return let(F.split(s, "-").cast("array<int>"), run)
+
+
 def phone(s: Column, key: str) -> Column:
-    """Country code and punctuation kept, the other digits permuted."""
+    """Country code and punctuation kept, the other digits permuted. Null if it has no 7 to 15 digits, or none but 0 beyond the country code."""
     code = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = F.substring(s, F.length(code) + 1, F.length(s))
-    return F.concat(code, let(rest, lambda r: with_digits(r, permuted_digits(only_digits(r), key, "phone"))))
+    fits = F.length(only_digits(s)).between(7, 15) & rest.rlike("[1-9]")
+    return F.when(fits, F.concat(code, let(rest, lambda r: with_digits(r, permuted_digits(only_digits(r), key, "phone")))))
 
 
 def iban(s: Column, key: str) -> Column:
@@ -188,14 +203,18 @@ def pseudonym(s: Column, key: str = KEY) -> Column:
         .when(whole(DATE), named("date", date(s, key)))
         .when(whole(ADDRESS), named("address", address(s, key)))
         .when(whole(IBAN), named("iban", iban(s, key)))
-        .when(whole(SOCIAL), named("social", with_digits(s, permuted_digits(only_digits(s), key, "social"))))
+        .when(whole(SOCIAL), named("social", social(s, key)))
         .when(whole(PHONE), named("phone", phone(s, key)))
         .when(whole(CARD), named("card", card(s, key)))
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with pseudonyms in text, and n_replaced and kinds (distinct, sorted, comma-joined) after their own columns."""
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The documents with pseudonyms in text, and n_replaced and kinds (distinct, sorted, comma-joined) after their own columns; columns of the
+    input with these two names give way to them. The key is the session's KEY_SETTING unless given."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    kept = [c for c in docs.columns if c.lower() not in ("n_replaced", "kinds")]
+    done_name = next(f"done{k}" for k in range(len(kept) + 1) if f"done{k}" not in {c.lower() for c in kept})
     text = F.col("text").cast("string")
 
     def run(t: Column) -> Column:
@@ -214,5 +233,6 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"), F.lit("").alias("kinds"))
     done = F.when(text.rlike("[0-9@]") | text.rlike(SECRET), let(text, run)).otherwise(same)
     # The array keeps the pseudonyms from being worked out once for each column that is taken from them.
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(done)).alias("_done"))
-    return rows.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_done.n").alias("n_replaced"), F.col("_done.kinds").alias("kinds"))
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
+    rows = docs.select(*quoted, F.explode(F.array(done)).alias(done_name))
+    return rows.select(*[F.col(f"{done_name}.text").alias("text") if c == "text" else q for c, q in zip(kept, quoted)], F.col(f"{done_name}.n").alias("n_replaced"), F.col(f"{done_name}.kinds").alias("kinds"))

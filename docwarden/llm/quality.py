@@ -4,7 +4,7 @@ A word stands twice: lower-cased, and as its shape (runs of capitals, small lett
 are hashed into one table of weights; a text's score is the logistic of the bias and of each kind's mean weight, one sparse dot product.
 
 Training sees at most TRAIN_ROWS labelled rows, those with the least hash of their doc_id, and no held-out one (crc32 of the doc_id's text divisible
-by 5). They meet in one task, which that bound keeps small. Only the table of weights, 2**BITS numbers, goes through the driver. Scoring is one
+by 5); texts of more than TRAIN_BYTES bytes are scored, but not learned from. They meet in one task, which these bounds keep small. Only the table of weights, 2**BITS numbers, goes through the driver. Scoring is one
 pass over whole texts and shuffles nothing.
 
 Defined results: a null or empty text has no features and gets the bias's score; a null doc_id is neither held out nor learned from; a repeated
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docwarden.llm import textkit as tk
 
 BITS = 18
-TRAIN_ROWS = 5000
+TRAIN_ROWS, TRAIN_BYTES = 5000, 100_000
 PASSES = 4
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 1e-4, 1e-4
@@ -106,7 +106,8 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("d"), "d", "quality").limit(rows)
     # The sample is at most `rows` rows of two numbers.
-    rows_of = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("d")).orderBy(F.xxhash64("d"), F.xxhash64("text"), "quality").limit(rows)
+    short = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    rows_of = short.join(F.broadcast(sample), F.col("doc_id") == F.col("d")).orderBy(F.xxhash64("d"), F.xxhash64("text"), "quality").limit(rows)
 
     def fit(got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values(["d", "quality"], kind="stable")
