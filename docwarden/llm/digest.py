@@ -185,8 +185,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ranges = int(max(1, total // RANGE_BYTES, min(SPREAD, total // SMALL_RANGE)))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     bounds, count = bounds_of(keyed.select("doc_id", "text_key"), ranges, scratch)
-    bounds = bounds.scalar()
-    placed = keyed.withColumn("place", own_place()).withColumn("part", range_of(bounds, count, F.col("place")).cast("int"))
+    # Each row gets the bounds as a value; the subquery runs once.
+    placed = keyed.withColumns({"place": own_place(), "bounds": bounds.scalar()})
+    bounds = F.col("bounds")
+    placed = placed.withColumn("part", range_of(bounds, count, F.col("place")).cast("int"))
     # The first document of a range also goes to the range before it, in a ring.
     first = F.get(bounds, F.col("part")) == F.col("place")
     one = lambda part, extra: F.struct(part.cast("int").alias("part"), F.lit(extra).alias("extra"))
