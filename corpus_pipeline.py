@@ -47,7 +47,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return _without(docs, decontaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    # Written before it is counted, so that the search runs once.
+    found = Scratch(spark).cut(decontaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_key"), "found")
+    return _without(docs, found)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
