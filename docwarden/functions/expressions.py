@@ -91,13 +91,6 @@ def verified_return(claimed: Column, actual: Column) -> Column:
     )
 
 
-def reads_env(source: Column, name: Column) -> Column:
-    """Whether a source reads the variable through os.environ.get(, os.getenv( or os.environ[; the name is taken literally."""
-    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    ways = [r"os\.environ\.get\(\s*", r"os\.getenv\(\s*", r"os\.environ\[\s*"]
-    return F.rlike(source, F.concat(F.lit("(" + "|".join(ways) + r")[\"']"), quoted, F.lit(r"[\"']")))
-
-
 def module_path(file_path: Column) -> Column:
     stem = F.regexp_replace(F.regexp_replace(file_path, r"\.py$", ""), r"(^|/)__init__$", "")
     return F.when(file_path.endswith(".py"), F.translate(stem, "/", "."))
@@ -123,6 +116,11 @@ def doc_embedding_text(heading: Column, text: Column) -> Column:
     return F.trim(F.concat_ws(JOINER, F.nullif(heading, F.lit("")), F.nullif(text, F.lit(""))))
 
 
+def query_text(claim: Column, guess: Column) -> Column:
+    """What is looked for: the claim, and the symbol that it names."""
+    return F.when(F.coalesce(guess, F.lit("")) != "", F.concat(claim, F.lit("\nSymbol: "), guess)).otherwise(claim)
+
+
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -149,21 +147,6 @@ def unverifiable_reason(claim_type: Column, symbol: Column, actual: Column, clai
     )
 
 
-def mutated_default(value: Column) -> Column:
-    """Another value in a default's place: booleans swap, integers grow by 42, strings gain a suffix, anything else becomes None."""
-    return (
-        F.when(value == "True", "False")
-        .when(value == "False", "True")
-        .when(value.rlike(r"^\d+$"), (value.try_cast("long") + 42).cast("string"))
-        .when(value.rlike("""^(["']).*\\1$"""), F.regexp_replace(value, """(["'])$""", "_mutated$1"))
-        .otherwise("None")
-    )
-
-
-def renamed_word(source: Column, word: str) -> Column:
-    return F.regexp_replace(source, rf"\b{word}\b", f"{word}_mutated")
-
-
 #: Directories that no discovery enters.
 EXCLUDED = (".git", "__pycache__", ".venv", "venv", "env", ".tox", "build", "dist", ".eggs", "node_modules", ".mypy_cache", ".pytest_cache")
 

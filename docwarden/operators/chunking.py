@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import inspect
 import re
 import textwrap
 from collections import Counter
@@ -13,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from docwarden.operators.batches import appended
+
 CODE = "repo_id long, file_path string, symbol_name string, symbol_type string, start_line int, end_line int, source_text string, docstring string, ast_hash string, parse_error boolean"
 DOCS = "repo_id long, file_path string, heading string, heading_level int, text string, code_blocks array<string>, start_line int, end_line int"
 
@@ -21,7 +22,7 @@ def code_chunks(source: str) -> tuple[list[tuple], bool]:
     """(name, type, start, end, source, docstring, hash) of every function and class at any depth, in order; and whether the text can't be parsed."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [], True
     lines, seen, out = source.split("\n"), Counter(), []
 
@@ -39,12 +40,19 @@ def code_chunks(source: str) -> tuple[list[tuple], bool]:
             out.append((name if seen[name] == 1 else f"{name}#{seen[name]}", kind, start, child.end_lineno, "\n".join(lines[start - 1 : child.end_lineno]), ast.get_docstring(child), digest))
             visit(child, name, is_class)
 
-    visit(tree, "", False)
+    try:
+        visit(tree, "", False)
+    except (RecursionError, MemoryError):  # deeper than the parser's own limit
+        return [], True
     return out, False
 
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`]*)$")
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_UNDER = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
+_QUOTE = re.compile(r"^ {0,3}> ?")
+_ITEM = re.compile(r"^( {0,3}(?:[-+*]|\d{1,9}[.)]))( {1,4}(?! )| {1}(?= )|$)")
+_RULE = re.compile(r"^ {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$")
 
 
 class _Sections:
@@ -68,33 +76,92 @@ class _Sections:
         self.path, self.level, self.start, self.text, self.code = " > ".join(t for _, t in self.stack), level, last + 1, [], []
 
 
+def _open_containers(line: str, held: list[int]) -> tuple[str, list[int], bool]:
+    """What a line holds within its block quotes (0) and list items (their indents), the containers that it is in, and whether it opened one.
+
+    A blank line stays in list items, and leaves quotes."""
+    line, now, k = line.expandtabs(4), [], 0
+    while k < len(held):
+        if held[k] == 0 and (m := _QUOTE.match(line)):
+            line = line[m.end() :]
+        elif held[k] and (not line.strip() or line.startswith(" " * held[k])):
+            line = line[held[k] :]
+        else:
+            break
+        now.append(held[k])
+        k += 1
+    opened = False
+    while True:
+        if m := _QUOTE.match(line):
+            line, now, opened = line[m.end() :], [*now, 0], True
+        elif not _RULE.match(line) and (m := _ITEM.match(line)):
+            line, now, opened = line[m.end() :], [*now, m.end()], True
+        else:
+            return line, now, opened
+
+
 def markdown_chunks(text: str, path: str) -> list[tuple]:
-    """(heading path, level, text, code blocks, start, end) of each section; fenced code is kept apart, an open fence runs to the end."""
-    lines = text.split("\n")
-    n = len(lines) - (lines[-1] == "")
-    s, i = _Sections(path), 0
+    """(heading path, level, text, code blocks, start, end) of each section, headings in block quotes and list items included.
+
+    Fenced code is kept apart; a fence ends with its mark, its container or the text. A setext title may have several lines."""
+    lines = text.splitlines()
+    n, s = len(lines), _Sections(path)
+    i, held, para = 0, [], []  # para: lines of the open paragraph, as they stand in their containers
     while i < n:
-        line = lines[i]
-        if fence := _FENCE.match(line):
-            mark, info, j = fence[1], fence[2].strip(), i + 1
+        inner, now, opened = _open_containers(lines[i], held)
+        if para and not opened and inner.strip() and len(now) < len(held) and not (_FENCE.match(inner) or _ATX.match(inner) or _RULE.match(inner) or _UNDER.match(inner)):
+            now = held  # a paragraph goes on without its containers' marks
+        if now != held or opened:
+            para = []
+        held = now
+        fence, atx = _FENCE.match(inner), _ATX.match(inner)
+        if fence and not (fence[1][0] == "`" and "`" in fence[2]):
+            mark, info, j, body = fence[1], fence[2].strip(), i + 1, []
             close = re.compile(rf"^ {{0,3}}{re.escape(mark[0])}{{{len(mark)},}}\s*$")
-            while j < n and not close.match(lines[j]):
+            indent = len(inner) - len(inner.lstrip(" "))
+            while j < n:
+                row, within = _contained(lines[j], held)
+                if not within:
+                    j -= 1
+                    break
+                if close.match(row):
+                    break
+                body.append(row[min(indent, len(row) - len(row.lstrip(" "))) :])
                 j += 1
-            s.code.append((f"# lang: {info}\n" if info else "") + "".join(f"{x}\n" for x in lines[i + 1 : j]))
-            i = j + 1
-        elif atx := _ATX.match(line):
+            s.code.append((f"# lang: {info}\n" if info else "") + "".join(f"{x}\n" for x in body))
+            i, para = j + 1, []
+        elif atx:
             s.heading(len(atx[1]), (atx[2] or "").strip(), i + 1, i + 1)
-            i += 1
-        elif i + 1 < n and line.strip() and re.match(r"^ {0,3}(=+|-+)[ \t]*$", lines[i + 1]) and not re.match(r"^( {4}|\s*([-*+>]|\d+[.)]) )", line) and (i == 0 or not lines[i - 1].strip() or _ATX.match(lines[i - 1])):
-            s.heading(1 if "=" in lines[i + 1] else 2, line.strip(), i + 1, i + 2)
-            i += 2
+            i, para = i + 1, []
+        elif para and (under := _UNDER.match(inner)):
+            first = i - len(para)
+            s.text = s.text[: len(s.text) - len(para)]
+            s.heading(1 if "=" in under[1] else 2, "\n".join(x.strip() for x in para), first + 1, i + 1)
+            i, para = i + 1, []
         else:
-            s.text.append(line)
+            is_code = inner.startswith("    ") and not para
+            para = [*para, inner] if inner.strip() and not is_code and not _RULE.match(inner) else []
+            s.text.append(lines[i])
             i += 1
     s.close(n)
     return s.out
 
 
+def _contained(line: str, held: list[int]) -> tuple[str, bool]:
+    """A line of a fence within its containers, and whether it still is in all of them."""
+    if not held:
+        return line, True
+    line = line.expandtabs(4)
+    for k in held:
+        if k == 0 and (m := _QUOTE.match(line)):
+            line = line[m.end() :]
+        elif k and (not line.strip() or line.startswith(" " * k)):
+            line = line[k:]
+        else:
+            return line, False
+    return line, True
+
+
 def rst_chunks(text: str, path: str) -> list[tuple]:
     """Sections by underlines at least as long as their titles; levels by first appearance of the underline's sign."""
     lines = text.split("\n")
@@ -148,7 +215,7 @@ def resolved(source: str | None) -> dict:
     failed = {"resolution_method": "failed", "parameters": None, "return_annotation": None}
     try:
         node = ast.parse(textwrap.dedent(source or "")).body[0]
-    except (SyntaxError, ValueError, IndexError):
+    except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError):
         return failed
     if isinstance(node, ast.ClassDef):
         node = next((x for x in node.body if isinstance(x, ast.FunctionDef) and x.name == "__init__"), None)
@@ -177,15 +244,4 @@ def resolved(source: str | None) -> dict:
 
 def resolve_symbols(chunks: DataFrame) -> DataFrame:
     """chunks with a column `resolved`; symbols are read, never imported or run."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for got in batches:
-            yield got.assign(resolved=[resolved(s) for s in got.source_text])
-
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    return chunks.mapInPandas(run, StructType([*chunks.schema.fields, StructField("resolved", _parse_datatype_string(RESOLVED))]))
-
-
-def dedented(source: str) -> str:
-    return inspect.cleandoc(source)
+    return appended(chunks, "resolved", RESOLVED, lambda columns: [resolved(x) for x in columns["source_text"]], ["source_text"])

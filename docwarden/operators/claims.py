@@ -23,12 +23,28 @@ FIELDS = {
 }
 
 
+EXAMPLES = (
+    ("timeout defaults to 30", "default_value", "connect"),
+    ("the client reads API_TOKEN from the environment", "env_var", "Client"),
+    ("retries happen in the background", "behavior", None),
+)
+#: What is asked for, by claim type.
+QUESTIONS = {
+    "signature": "Which parameter names does this statement give to the function, in order, and how many parameters does it say there are?",
+    "default_value": "Which parameter does this statement speak of, and which default does it give it? Write the default as it would stand in the code.",
+    "env_var": "Which environment variable does this statement name?",
+    "return_type": "Which type does this statement say is returned? Write it as an annotation.",
+}
+
+
 def extraction_prompt(text: str, heading: str | None) -> str:
-    return f"List the checkable statements about code in this section as a JSON array of objects with claim_text, claim_type (one of {', '.join(CLAIM_TYPES)}) and referenced_symbol_guess (or null).\nExample: [{{\"claim_text\": \"timeout defaults to 30\", \"claim_type\": \"default_value\", \"referenced_symbol_guess\": \"connect\"}}]\nAnswer with the array alone.\n\nSection: {heading or ''}\n{text}"
+    shown = json.dumps([dict(zip(("claim_text", "claim_type", "referenced_symbol_guess"), x)) for x in EXAMPLES])
+    return f"List the checkable statements about code in this section as a JSON array of objects with claim_text, claim_type (one of {', '.join(CLAIM_TYPES)}) and referenced_symbol_guess (or null).\nExample: {shown}\nAnswer with the array alone, [] if there are none.\n\nSection: {heading or ''}\n{text}"
 
 
 def value_prompt(claim: str, kind: str) -> str:
-    return f"Give the {kind} that this statement claims as one JSON object with the keys {', '.join(f for f, _ in FIELDS.get(kind, ()))}, null where it says nothing.\n\n{claim}"
+    """A question of the claim's type, and the keys of the answer."""
+    return f"{QUESTIONS.get(kind, 'What does this statement claim?')}\nAnswer with one JSON object with the keys {', '.join(f for f, _ in FIELDS.get(kind, ()))}, null where it says nothing.\n\n{claim}"
 
 
 def unfenced(raw: str) -> str:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docwarden.operators.merge import latest
 
 
+def target_rows(retrieval: DataFrame, claims: DataFrame) -> DataFrame:
+    """(claim_id, chunk_id, match_status, claim_type) of retrieved claims."""
+    return retrieval.select("claim_id", F.col("matched_code_chunk_id").alias("chunk_id"), "match_status").join(claims.select(F.col("id").alias("claim_id"), "claim_type"), "claim_id")
+
+
 def fault_targets(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """At most n chunks of rows (claim_id, chunk_id, claim_type, match_status): signature and default claims first, one row a chunk, by seeded hash."""
     fit = rows.where("match_status = 'matched' and claim_type <> 'behavior'").withColumn("preferred", F.col("claim_type").isin("signature", "default_value"))
@@ -42,17 +44,6 @@ def extraction_score(labelled: DataFrame, counts: DataFrame) -> DataFrame:
     return actual.agg(n(use).alias("labeled"), n(~use).alias("skipped"), n(e == a).alias("exact"), n(F.abs(e - a) <= 1).alias("within_one"), n((e == 0) & (a == 0)).alias("zero_correct"), n((e > 0) & (a > 0)).alias("nonzero_correct"), n(e == 0).alias("zero_total"))
 
 
-def renamed_param(source: Column, lines: Column, start: Column, end: Column, word: str) -> Column:
-    """A file's lines with a parameter renamed within a line range."""
-    spots = F.sequence(F.lit(1), F.size(lines))
-    return F.array_join(F.transform(spots, lambda i: F.when(i.between(start, end), F.regexp_replace(F.get(lines, i - 1), rf"\b{re.escape(word)}\b", f"{word}_mutated")).otherwise(F.get(lines, i - 1))), "\n")
-
-
-def spliced(lines: Column, start: Column, end: Column, new: Column) -> Column:
-    """Lines start to end (from 1) replaced by new ones."""
-    return F.concat(F.slice(lines, F.lit(1), start - 1), new, F.slice(lines, end + 1, F.size(lines)))
-
-
 def metrics_summary(faults: dict | None, extraction: dict | None) -> str:
     """Both evaluations as text."""
     out = ["Evaluation summary"]
@@ -62,9 +53,3 @@ def metrics_summary(faults: dict | None, extraction: dict | None) -> str:
         n = max(1, extraction["labeled"])
         out.append(f"Extraction: {extraction['labeled']} labelled, {100 * extraction['exact'] / n:.1f}% exact, {100 * extraction['within_one'] / n:.1f}% within one")
     return "\n".join(out)
-
-
-def by_occurrence(rows: DataFrame, name: str, order: list[str], of: list[str]) -> DataFrame:
-    """Second and later occurrences of a name get #n."""
-    k = F.row_number().over(W.partitionBy(*of, name).orderBy(*order))
-    return rows.withColumn(name, F.when(k > 1, F.concat(F.col(name), F.lit("#"), k.cast("string"))).otherwise(F.col(name)))

@@ -39,25 +39,41 @@ def mutated(value: str) -> str:
     return f"{value[:-1]}_mutated{value[-1]}" if re.fullmatch(r"""(["']).*\1""", value) else "None"
 
 
+def faulted(text: str, fault: dict) -> str:
+    """The file's text with the fault in the lines of its symbol; all other lines stay as they are."""
+    lines = text.split("\n")
+    a, b = fault["start_line"] - 1, fault["end_line"]
+    old, name = "\n".join(lines[a:b]), re.escape(fault["param"])
+    if fault["fault_type"] == "rename_param":
+        new = re.sub(rf"\b{name}\b", f"{fault['param']}_mutated", old)
+    else:
+        put = mutated(fault["default"])
+        new = re.sub(rf"(\b{name}\b\s*(?::[^=]+?)?=\s*){re.escape(fault['default'])}", lambda m: m[1] + put, old, count=1)
+    return "\n".join([*lines[:a], new, *lines[b:]])
+
+
 def apply(fault: dict, copy: str, original: str) -> bool:
     """Writes a fault into the copy's file; the original is never written."""
     if os.path.realpath(copy) == os.path.realpath(original):
         raise ValueError("faults go into a copy only")
     path = os.path.join(copy, fault["file_path"])
-    with open(path, encoding="utf-8", errors="replace") as f:
-        lines = f.read().split("\n")
-    a, b = fault["start_line"] - 1, fault["end_line"]
-    old = "\n".join(lines[a:b])
-    if fault["fault_type"] == "rename_param":
-        new = re.sub(rf"\b{re.escape(fault['param'])}\b", f"{fault['param']}_mutated", old)
-    else:
-        put = mutated(fault["default"])
-        new = re.sub(rf"(\b{re.escape(fault['param'])}\b\s*(?::[^=,()]+)?=\s*){re.escape(fault['default'])}", lambda m: m[1] + put, old, count=1)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join([*lines[:a], new, *lines[b:]]))
+    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+        old = f.read()
+    new = faulted(old, fault)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(new)
     return new != old
 
 
+def cloned(docs: DataFrame, claims: DataFrame, repo_id: int) -> tuple[DataFrame, DataFrame]:
+    """Sections and claims of a repository under the id of its copy: new ids, made from the old ones, and claims that point at the new sections."""
+    new = lambda c: F.xxhash64(F.lit(repo_id), c)
+    own = lambda df: df.withColumn("repo_id", F.lit(repo_id).cast("long"))
+    ids = docs.select(F.col("id").alias("old"), new("id").alias("new"))
+    moved = claims.join(ids, F.col("doc_chunk_id") == F.col("old")).withColumn("doc_chunk_id", F.col("new")).drop("old", "new")
+    return own(docs.withColumn("id", new("id"))), own(moved.withColumn("id", new("id")))
+
+
 def outcomes(faults: DataFrame, verification: DataFrame, claims: DataFrame) -> DataFrame:
     """(fault_id, ord, status) of the claims of a fault's type on its symbol; a fault without such claims keeps one row without status."""
     kind = F.when(F.col("fault_type") == "rename_param", "signature").otherwise("default_value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,24 +49,38 @@ def sections(rows: DataFrame, verbose: bool = False) -> DataFrame:
     return shown.groupBy("doc_file", "file_ord", "issues").agg(F.array_sort(F.collect_list(F.struct("entry_ord", "status", "claim_id"))).alias("entries"))
 
 
-def text_report(rows: DataFrame, name: str, verbose: bool = False) -> str:
-    """The report as text. Rows come one after the other in order, not as one list."""
+def text_lines(rows: DataFrame, name: str, verbose: bool = False) -> Iterator[str]:
+    """The report as text, line by line; rows come one after the other in order, never as one list."""
     t = totals(rows).first()
-    out = [f"Drift report: {name}", f"{t.verified} verified, {t.contradicted} contradicted, {t.unverifiable} unverifiable", ""]
+    yield from (f"Drift report: {name}", f"{t.verified} verified, {t.contradicted} contradicted, {t.unverifiable} unverifiable", "")
     shown, last = with_reasons(ordered(rows)), None
     shown = shown if verbose else shown.where("status <> 'Verified'")
     for r in shown.orderBy("file_ord", "entry_ord").toLocalIterator():
         if r.doc_file != last:
-            out += ["", f"{r.doc_file} ({r.issues} issues)"]
+            yield from ("", f"{r.doc_file} ({r.issues} issues)")
             last = r.doc_file
         detail = f" - {r.reason}" if r.reason else f" - documented {r.claimed_value}, actual {r.actual_value}" if r.status == "Contradicted" else ""
-        out.append(f"  [{r.status}] {r.claim_text}{detail}")
-    return "\n".join(out if last is not None else [*out, "No drift detected"])
+        yield f"  [{r.status}] {r.claim_text}{detail}"
+    if last is None:
+        yield "No drift detected"
+
+
+def json_lines(rows: DataFrame, name: str) -> Iterator[str]:
+    """The report as one JSON text, verified entries included, piece by piece."""
+    yield f'{{"repo": {json.dumps(name)}, "totals": {json.dumps(totals(rows).first().asDict())}, "files": {{'
+    last, entries = None, with_reasons(ordered(rows)).orderBy("file_ord", "entry_ord").toLocalIterator()
+    for r in entries:
+        new = r.doc_file != last
+        if new:
+            yield ("" if last is None else "], ") + f"{json.dumps(r.doc_file)}: ["
+        yield ("" if new else ", ") + json.dumps(r.asDict(recursive=True), default=str)
+        last = r.doc_file
+    yield "}}" if last is None else "]}}"
+
+
+def text_report(rows: DataFrame, name: str, verbose: bool = False) -> str:
+    return "\n".join(text_lines(rows, name, verbose))
 
 
 def json_report(rows: DataFrame, name: str) -> str:
-    """The report as JSON, verified entries included."""
-    files: dict[str, list] = {}
-    for r in with_reasons(ordered(rows)).orderBy("file_ord", "entry_ord").toLocalIterator():
-        files.setdefault(r.doc_file, []).append(r.asDict(recursive=True))
-    return json.dumps({"repo": name, "totals": totals(rows).first().asDict(), "files": files}, indent=2, default=str)
+    return "\n".join(json_lines(rows, name))

@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docwarden.functions.expressions import dot, matches_guess, unit
+from docwarden.functions.expressions import matches_guess
 
 TOP_K, FLOOR, MARGIN = 5, 0.55, 0.05
+#: Vectors of a tile: claims, and code chunks.
+ASKED, STORED = 2048, 8192
+NEAR = "claim_id long, guess string, chunk_id long, symbol_name string, score double"
 
 
-def top_k(claims: DataFrame, code: DataFrame, k: int = TOP_K, blocks: int = 64) -> DataFrame:
-    """The k likest code chunks of each claim within its repository: claim_id, chunk_id, symbol_name, score, rank (ties by chunk_id).
+def units(vectors: pd.Series) -> np.ndarray:
+    """A matrix of unit rows; a zero vector stays zero."""
+    m = np.array(vectors.tolist(), np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
 
-    claims: (claim_id, repo_id, guess, vector); code: (chunk_id, repo_id, symbol_name, vector). A query set against all chunks, in blocks: chunks
-    are dealt into blocks, every claim meets each block once, and a block's k best are kept before blocks meet. Vectors are made unit once."""
-    claims = claims.select("claim_id", "repo_id", "guess", unit(F.col("vector")).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    code = code.select("chunk_id", "repo_id", "symbol_name", unit(F.col("vector")).alias("u")).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
-    scored = claims.join(code, ["repo_id", "block"]).select("claim_id", "guess", "block", "chunk_id", "symbol_name", F.round(dot(F.col("v"), F.col("u")), 6).alias("score"))
+
+def nearest(asked: pd.DataFrame, stored: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k likest of a tile's stored vectors for each asked one, ties by chunk_id."""
+    if asked.empty or stored.empty:
+        return pd.DataFrame(columns=[x.split()[0] for x in NEAR.split(", ")])
+    u, out = units(stored.vector), []
+    ids = stored.chunk_id.to_numpy()
+    for at in range(0, len(asked), 256):
+        part = asked.iloc[at : at + 256]
+        score = np.round(units(part.vector) @ u.T, 6) + 0.0
+        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(part), -2.0)
+        row, col = np.nonzero(score >= least[:, None])
+        order = np.lexsort((ids[col], -score[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        out.append(pd.DataFrame({"claim_id": part.claim_id.to_numpy()[row], "guess": part.guess.to_numpy()[row], "chunk_id": ids[col], "symbol_name": stored.symbol_name.to_numpy()[col], "score": score[row, col]}))
+    return pd.concat(out)
+
+
+def top_k(claims: DataFrame, code: DataFrame, k: int = TOP_K, asked: int = ASKED, stored: int = STORED) -> DataFrame:
+    """The k likest code chunks of each claim within its repository: claim_id, guess, chunk_id, symbol_name, score, rank (ties by chunk_id).
+
+    claims: (claim_id, repo_id, guess, vector); code: (chunk_id, repo_id, symbol_name, vector). A query set against all chunks, in tiles: both sides
+    of a repository are dealt into parts by their counts, a tile is one matrix product, and its k best are kept before tiles meet."""
+    claims, code = claims.select("claim_id", "repo_id", "guess", "vector"), code.select("chunk_id", "repo_id", "symbol_name", "vector")
+    many = lambda df, most, name: df.groupBy("repo_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    parts = many(claims, asked, "a_parts").join(many(code, stored, "b_parts"), "repo_id")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = claims.join(parts, "repo_id").withColumn("a", own("claim_id", "a_parts")).withColumn("b", all_of("b_parts")).drop("a_parts", "b_parts")
+    b = code.join(parts, "repo_id").withColumn("b", own("chunk_id", "b_parts")).withColumn("a", all_of("a_parts")).drop("a_parts", "b_parts")
+    near = a.groupBy("repo_id", "a", "b").cogroup(b.groupBy("repo_id", "a", "b")).applyInPandas(lambda x, y: nearest(x, y, k), NEAR)
     order = [F.col("score").desc(), F.col("chunk_id")]
-    near = scored.withColumn("r", F.row_number().over(W.partitionBy("claim_id", "block").orderBy(*order))).where(F.col("r") <= k)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("claim_id").orderBy(*order))).where(F.col("rank") <= k).select("claim_id", "guess", "chunk_id", "symbol_name", "score", "rank")
 
 
@@ -56,8 +91,8 @@ def retrieved(claims: DataFrame, code: DataFrame, k: int = TOP_K, floor: float =
     return joined.select("claim_id", found.alias("f"), "top_k").select("claim_id", "f.match_status", F.col("f.chunk_id").alias("matched_chunk_id"), "top_k")
 
 
-def shares(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    """Counts and percentages (one decimal, 0 for an empty input) of a column's values, in one row."""
+def shares(rows: DataFrame, column: str, values: tuple[str, ...], *more: Column) -> DataFrame:
+    """Counts and percentages (one decimal, 0 for an empty input) of a column's values, and more aggregates, in one row."""
     total = F.count("*")
     each = [c for v in values for c in (F.count_if(F.col(column) == v).alias(v.lower()), F.round(F.coalesce(F.try_divide(100.0 * F.count_if(F.col(column) == v), total), F.lit(0.0)), 1).alias(f"{v.lower()}_pct"))]
-    return rows.agg(total.alias("total"), *each)
+    return rows.agg(total.alias("total"), *each, *more)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.functions.expressions import reads_env, verified_default, verified_return, verified_signature
+from docwarden.functions.expressions import verified_default, verified_return, verified_signature
+from docwarden.operators.retrieval import shares
 
 
 def verify_input(claims: DataFrame, docs: DataFrame, retrieval: DataFrame, code: DataFrame) -> DataFrame:
@@ -26,12 +27,15 @@ def env_readers(claims: DataFrame, files: DataFrame) -> DataFrame:
 
 def verified(rows: DataFrame, readers: DataFrame) -> DataFrame:
     """rows: (id, repo_id, claim_type, match_status, chunk_id, file_path, resolved, value) -> id, chunk_id, status, actual_value, claimed_value, method."""
-    there = readers.groupBy("repo_id", "var_name").agg(F.collect_set("file_path").alias("files"))
-    rows = rows.join(there, (rows["repo_id"] == there["repo_id"]) & (rows["value.var_name"] == there["var_name"]), "left").drop(there["repo_id"]).drop("var_name")
+    var = F.col("value.var_name")
+    same = lambda r: (F.col("repo_id") == F.col(f"{r}_repo")) & (var == F.col(f"{r}_var"))
+    named = lambda r: readers.select(F.col("repo_id").alias(f"{r}_repo"), F.col("var_name").alias(f"{r}_var"), F.col("file_path").alias(f"{r}_file"))
+    first = named("any").groupBy("any_repo", "any_var").agg(F.min("any_file").alias("any_file"))
+    rows = rows.join(named("own").distinct(), same("own") & (F.col("file_path") == F.col("own_file")), "left").join(first, same("any"), "left")
     out = lambda s, a=None, c=None: F.struct(F.lit(s).alias("status"), (F.lit(None).cast("string") if a is None else a).alias("actual_value"), (F.lit(None).cast("string") if c is None else c).alias("claimed_value"))
     params = F.coalesce("resolved.parameters", F.array().cast("array<struct<name:string,kind:string,has_default:boolean,default_repr:string,is_literal:boolean>>"))
-    var = F.col("value.var_name")
-    found = F.when(var.isNull(), out("Unverifiable")).when(F.array_contains("files", F.col("file_path")), out("Verified", F.col("file_path"), var)).when(F.size("files") > 0, out("Verified", F.array_min("files"), var)).otherwise(out("Unverifiable", F.lit("not found via static scan"), var))
+    seen = F.coalesce("own_file", "any_file")
+    found = F.when(var.isNull(), out("Unverifiable")).when(seen.isNotNull(), out("Verified", F.concat(var, F.lit(" referenced in "), seen), var)).otherwise(out("Unverifiable", F.lit("not found via static scan"), var))
     kind = F.col("claim_type")
     status = (
         F.when((kind == "behavior") | (F.coalesce("match_status", F.lit("no_match")) != "matched") | F.col("chunk_id").isNull(), out("Unverifiable"))
@@ -43,7 +47,12 @@ def verified(rows: DataFrame, readers: DataFrame) -> DataFrame:
         .when(kind == "return_type", verified_return(F.col("value.return_type"), F.col("resolved.return_annotation")))
         .otherwise(out("Unverifiable"))
     )
-    return rows.select("id", "chunk_id", status.alias("s"), F.coalesce("resolved.resolution_method", F.lit("failed")).alias("method")).select("id", "chunk_id", "s.*", "method")
+    tried = (kind != "behavior") & (F.coalesce("match_status", F.lit("no_match")) == "matched") & F.col("chunk_id").isNotNull() & F.col("value").isNotNull()
+    method = F.when(tried, F.coalesce("resolved.resolution_method", F.lit("failed")))
+    return rows.select("id", "chunk_id", status.alias("s"), method.alias("method")).select("id", "chunk_id", "s.*", "method")
 
 
-__all__ = ["env_readers", "reads_env", "verified", "verify_input"]
+def statistics(found: DataFrame) -> DataFrame:
+    """Counts and shares of the statuses, and how the symbols were resolved, in one row."""
+    n = lambda how: F.count_if(F.coalesce(F.col("method") == how, F.lit(False)))
+    return shares(found, "status", ("Verified", "Contradicted", "Unverifiable"), n("dynamic").alias("dynamic_resolutions"), n("static").alias("static_resolutions"), n("failed").alias("resolution_failures"))

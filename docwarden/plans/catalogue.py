@@ -5,15 +5,20 @@ sections, labels for outcomes, conversations for Markdown sources and events for
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+import json
+import os
+import subprocess
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docwarden.functions import expressions as x
-from docwarden.operators import chunking, claims, embedding, evaluation, merge, reporting, retrieval
+from docwarden.operators import chunking, claims, embedding, evaluation, faults, merge, reporting, retrieval, verification
+from docwarden.plans import pipeline
+from docwarden.sources import files, store
+from docwarden.streaming import ingest
 from docwarden.schema import PARAMS, STATUSES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +49,33 @@ def literal(columns: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({columns})"
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE source = 'src0') AS hot, count(*) FILTER (WHERE n_chars < 500) AS short, sum(length(text) - length(replace(text, chr(10), ''))) AS breaks FROM documents GROUP BY lang")
-def q01_conditional_counts(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "src0").alias("hot"), F.count_if(F.col("n_chars") < 500).alias("short"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
+@query("SELECT concat('k', label % 6) AS symbol_type, count(*) AS n FROM embeddings GROUP BY 1")
+def q01_symbol_counts(spark, d):
+    return pipeline.symbol_counts(t(spark, d, "embeddings").select(F.concat(F.lit("k"), (F.col("label") % 6).cast("string")).alias("symbol_type")))
+
+
+#: A Markdown text of each message, and the sections that CommonMark gives it: heading, level, text, code blocks, first and last line.
+_PAGE = "intro\n\n@R @T\nsecond line\n===\n\nbody @T\n\n> ## Quoted @T\n> inside\n\n- # Listed\n\n  ```py\n  x = @T\n  ```\n\n````\n```\n# no\n````\nend @T\n"
+_SECTIONS = [
+    ("p.md (preamble)", 0, "intro", "", 1, 2), ("@R @T\nsecond line", 1, "body @T", "", 6, 8), ("@R @T\nsecond line > Quoted @T", 2, "> inside", "", 10, 11),
+    ("Listed", 1, "end @T", "# lang: py\nx = @T\n/```\n# no\n", 13, 22),
+]
+
+
+def _pages(spark, d):
+    page = F.replace(F.replace(F.lit(_PAGE), F.lit("@R"), F.col("role")), F.lit("@T"), F.col("turn").cast("string"))
+    return chunking.chunk_docs(t(spark, d, "conversations").select(F.col("conv_id").alias("repo_id"), F.lit("p.md").alias("file_path"), page.alias("text")))
+
+
+@query(f"WITH s AS ({literal('heading, heading_level, text, blocks, start_line, end_line', _SECTIONS)}) SELECT conv_id, " + ", ".join(f"replace(replace(s.{c}, '@R', role), '@T', turn::VARCHAR) AS {c}" for c in ("heading", "text", "blocks")) + ", heading_level, start_line, end_line FROM conversations, s")
+def q02b_markdown_blocks(spark, d):
+    """Setext titles of two lines, headings in quotes and list items, fences in items and within longer fences, and line numbers."""
+    return _pages(spark, d).select(F.col("repo_id").alias("conv_id"), "heading", "heading_level", "text", F.array_join("code_blocks", "/").alias("blocks"), "start_line", "end_line")
+
+
+@query("SELECT 3 * count(*) AS sections, count(*) AS preambles, 2 * count(*) AS blocks FROM conversations")
+def q02c_section_counts(spark, d):
+    return pipeline.section_counts(_pages(spark, d))
 
 
 @query("SELECT conv_id, concat(role, ' ', turn) AS heading, 2 AS heading_level, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
@@ -97,7 +126,7 @@ def q07_embedding_text(spark, d):
 
 @query("SELECT lang, count(*) FILTER (WHERE doc_id % 4 <> 0) AS embedded, count(*) FILTER (WHERE doc_id % 4 = 0) AS fallback FROM documents GROUP BY lang")
 def q08_embedding_fallback(spark, d):
-    rows = t(spark, d, "documents").select("lang", F.when(F.col("doc_id") % 4 == 0, "  \n").otherwise(F.substring("text", 1, 1_000_000)).alias("own"), "source")
+    rows = t(spark, d, "documents").select("lang", F.when(F.col("doc_id") % 4 == 0, "  \n").otherwise(F.col("text")).alias("own"), "source")
     done = embedding.embed(rows, "own", "source").where("embedding is not null")
     return done.groupBy("lang").agg(F.count_if(~F.col("used_fallback")).alias("embedded"), F.count_if("used_fallback").alias("fallback"))
 
@@ -113,13 +142,13 @@ FLOOR, MARGIN = 0.35, 0.03
 def _vectors(spark, d):
     e = t(spark, d, "embeddings").withColumn("symbol", F.concat(F.lit("C"), F.col("label").cast("string"), F.lit(".f"), (F.col("vec_id") % 20).cast("string")))
     guess = F.when(F.col("vec_id") % 50 == 0, F.concat(F.lit("F"), (F.col("vec_id") % 7).cast("string")))
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("claim_id"), F.lit(1).alias("repo_id"), guess.alias("guess"), F.col("embedding").alias("vector"))
-    code = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("repo_id"), F.col("symbol").alias("symbol_name"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("claim_id"), F.lit(1).alias("repo_id"), guess.alias("guess"), F.col("embedding").alias("vector"))
+    code = e.select(F.col("vec_id").alias("chunk_id"), F.lit(1).alias("repo_id"), F.col("symbol").alias("symbol_name"), F.col("embedding").alias("vector"))
     return asked, code
 
 
 TOP_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, concat('C', label, '.f', vec_id % 20) AS s FROM embeddings),
-p AS (SELECT a.vec_id AS claim_id, CASE WHEN a.vec_id % 50 = 0 THEN concat('F', a.vec_id % 7) END AS guess, b.vec_id AS chunk_id, b.s AS symbol_name, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+p AS (SELECT a.vec_id AS claim_id, CASE WHEN a.vec_id % 50 = 0 THEN concat('F', a.vec_id % 7) END AS guess, b.vec_id AS chunk_id, b.s AS symbol_name, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, chunk_id) AS rank FROM p), top AS (SELECT * FROM k WHERE rank <= 5)"""
 CASCADE_SQL = TOP_SQL + """,
 m AS (SELECT *, coalesce(guess <> '' AND (symbol_name = guess OR ends_with(symbol_name, '.' || guess)), false) AS ex, coalesce(guess <> '' AND (lower(symbol_name) = lower(guess) OR ends_with(lower(symbol_name), '.' || lower(guess))), false) AS lo FROM top),
@@ -163,12 +192,36 @@ def q13_symbol_matching(spark, d):
     return got.select("id", "f.match_status", F.get("c", F.col("f.chunk_id").cast("int"))["symbol_name"].alias("symbol"))
 
 
-@query("SELECT d.doc_id, l.quality, e.label FROM documents d JOIN (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0) s ON d.source = s.source LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON l.doc_id = e.vec_id AND l.quality = 1")
+@query("SELECT vec_id, concat('C', label, '.f', vec_id % 20) = concat('C', label, '.f', vec_id % 7) OR ends_with(concat('C', label, '.f', vec_id % 20), concat('.f', vec_id % 7)) AS exact FROM embeddings")
+def q13b_symbol_suffixes(spark, d):
+    symbol = F.concat(F.lit("C"), F.col("label").cast("string"), F.lit(".f"), (F.col("vec_id") % 20).cast("string"))
+    return t(spark, d, "embeddings").select("vec_id", x.matches_guess(symbol, F.concat(F.lit("f"), (F.col("vec_id") % 7).cast("string"))).alias("exact"))
+
+
+_TYPE = "CASE doc_id % 4 WHEN 0 THEN 'signature' WHEN 1 THEN 'default_value' WHEN 2 THEN 'env_var' ELSE 'behavior' END"
+_STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Verified' WHEN toxic = 1 THEN 'Contradicted' ELSE 'Unverifiable' END"
+
+
+def _tables(spark, d):
+    """The engine's tables of the test data: documents as sections, embeddings as symbols, labels as claims and their outcomes."""
+    docs = t(spark, d, "documents").selectExpr("doc_id AS id", "CAST(1 AS BIGINT) AS repo_id", "concat(source, '.md') AS file_path", "lang AS heading", "IF(n_chars % 5 <> 0, n_chars % 97, NULL) AS start_line", "n_chars AS end_line")
+    code = t(spark, d, "embeddings").selectExpr("vec_id AS id", "CAST(1 AS BIGINT) AS repo_id", "concat('m', label, '.py') AS file_path", "concat('C', label, '.f', vec_id % 20) AS symbol_name", "'function' AS symbol_type", "vec_id % 90 AS start_line", "vec_id % 90 + 5 AS end_line", "IF(vec_id % 3 = 0, NULL, 'e') AS embedding_id", "CAST(NULL AS STRING) AS resolved")
+    found = t(spark, d, "labels")
+    claimed = found.selectExpr("doc_id + 1000000 AS id", "CAST(1 AS BIGINT) AS repo_id", "doc_id AS doc_chunk_id", "concat('claim ', doc_id) AS claim_text", f"{_TYPE} AS claim_type")
+    got = found.selectExpr("doc_id + 1000000 AS claim_id", "IF(quality = 1, doc_id % 400, NULL) AS matched_code_chunk_id", "IF(quality = 1, 'matched', 'no_match') AS match_status")
+    outcome = found.selectExpr("doc_id + 1000000 AS claim_id", "IF(quality = 1, doc_id % 400, NULL) AS matched_code_chunk_id", f"{_STATUS} AS status", "IF(doc_id % 2 = 0, 'x', NULL) AS actual_value", "'y' AS claimed_value")
+    return docs, code, claimed, got, outcome
+
+
+_TABLES_SQL = f"""WITH docs AS (SELECT doc_id AS id, source || '.md' AS file_path, lang AS heading, CASE WHEN n_chars % 5 <> 0 THEN n_chars % 97 END AS start_line, n_chars AS end_line FROM documents),
+code AS (SELECT vec_id AS id, concat('m', label, '.py') AS file_path, concat('C', label, '.f', vec_id % 20) AS symbol_name, vec_id % 90 AS start_line, vec_id % 90 + 5 AS end_line, vec_id % 3 <> 0 AS embedded FROM embeddings),
+c AS (SELECT doc_id + 1000000 AS id, doc_id, concat('claim ', doc_id) AS claim_text, {_TYPE} AS claim_type, CASE WHEN quality = 1 THEN doc_id % 400 END AS chunk_id, CASE WHEN quality = 1 THEN 'matched' ELSE 'no_match' END AS match_status, {_STATUS} AS status, CASE WHEN doc_id % 2 = 0 THEN 'x' END AS actual_value FROM labels)"""
+
+
+@query(_TABLES_SQL + " SELECT c.id, c.claim_type, d.file_path AS doc_file, d.heading, c.match_status, c.chunk_id, k.symbol_name, k.file_path FROM c JOIN docs d ON d.id = c.doc_id LEFT JOIN code k ON k.id = c.chunk_id")
 def q14_verify_input(spark, d):
-    docs, sources = t(spark, d, "documents"), t(spark, d, "documents").where("doc_id % 2 = 0").select("source").distinct()
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("label").alias("label"))
-    rows = docs.join(sources, "source").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.join(e, (F.col("doc_id") == F.col("v")) & (F.col("quality") == 1), "left").select("doc_id", "quality", "label")
+    docs, code, claimed, got, _ = _tables(spark, d)
+    return verification.verify_input(claimed, docs, got, code).select("id", "claim_type", "doc_file", "heading", "match_status", "chunk_id", "symbol_name", "file_path")
 
 
 def _p(name, kind="POSITIONAL_OR_KEYWORD", default=None, is_literal=True):
@@ -176,13 +229,13 @@ def _p(name, kind="POSITIONAL_OR_KEYWORD", default=None, is_literal=True):
 
 
 _KW = _p("kw", "VAR_KEYWORD")
-_SIGNATURES = [([], [_p("a")], "Unverifiable"), (["A", "b"], [_p("b"), _p("a")], "Verified"), (["a", "z"], [_p("a")], "Contradicted"), (["z"], [_p("a"), _KW], "Unverifiable")]
+_SIGNATURES = [([], [_p("a")], "Unverifiable", None, None), (["b", "A"], [_p("b"), _p("a")], "Verified", "a, b", "A, b"), (["z", "a"], [_p("a")], "Contradicted", "a", "a, z"), (["z"], [_p("a"), _KW], "Unverifiable", "a, kw", "z")]
 
 
-@query(literal("id, status", [(k, c[2]) for k, c in enumerate(_SIGNATURES)]))
+@query(literal("id, status, actual_value, claimed_value", [(k, *c[2:]) for k, c in enumerate(_SIGNATURES)]))
 def q15_signature_claims(spark, d):
-    rows = values(spark, f"id int, names array<string>, params {PARAMS}", [(k, n, p) for k, (n, p, _) in enumerate(_SIGNATURES)])
-    return rows.select("id", x.verified_signature(F.col("names"), F.col("params"))["status"].alias("status"))
+    rows = values(spark, f"id int, names array<string>, params {PARAMS}", [(k, n, p) for k, (n, p, *_) in enumerate(_SIGNATURES)])
+    return rows.select("id", x.verified_signature(F.col("names"), F.col("params")).alias("o")).select("id", "o.*")
 
 
 _DEFAULTS = [
@@ -205,12 +258,14 @@ def q17_normalized_values(spark, d):
     return values(spark, "id int, a string, b string", [(k, a, b) for k, (a, b, _) in enumerate(_SAME)]).select("id", x.same_default(F.col("a"), F.col("b")).alias("same"))
 
 
-_ENV = [("a.py", "os.environ.get('HOME')", "HOME"), ("a.py", 'x = os.getenv( "A.B" )', "A.B"), ("b.py", "os.environ['HOME']", "home"), ("b.py", "os.environ['AxB']", "A.B"), ("c.py", "environ['HOME']", "HOME")]
+_ENV = [("a.py", "os.environ.get('HOME')", "HOME"), ("a.py", 'x = os.getenv( "A.B" )', "A.B"), ("b.py", "os.environ['home2']", "home"), ("b.py", "os.environ['AxB']", "A.B"), ("c.py", "environ['HOME']", "HOME")]
 
 
-@query(literal("id, reads", [(0, True), (1, True), (2, False), (3, False), (4, False)]))
+@query(literal("var_name, file_path", [("HOME", "a.py"), ("A.B", "a.py")]))
 def q18_env_scan(spark, d):
-    return values(spark, "id int, path string, source string, name string", [(k, *c) for k, c in enumerate(_ENV)]).select("id", x.reads_env(F.col("source"), F.col("name")).alias("reads"))
+    rows = [(1, path, source, name) for path, source, name in _ENV]
+    asked, sources = values(spark, "repo_id long, var_name string", [(r[0], r[3]) for r in rows]), values(spark, "repo_id long, file_path string, text string", [r[:3] for r in rows])
+    return verification.env_readers(asked, sources).select("var_name", "file_path")
 
 
 _RETURNS = [("int", "list[int]", "Verified"), ("str", "int", "Contradicted"), ("str", None, "Unverifiable"), (None, "int", "Unverifiable"), ("None", "None", "Verified")]
@@ -228,18 +283,16 @@ _CLAIMS = [
 ]
 
 
-@query(literal("id, status", [(c[0], c[6]) for c in _CLAIMS]))
-def q20_verify_dispatch(spark, d):
-    from docwarden.operators import verification
+_ACTUAL = {1: "x", 2: "1", 5: "HOME referenced in b.py", 6: "not found via static scan", 7: "None", 8: "could not resolve symbol"}
+
 
+@query(literal("id, status, actual_value", [(c[0], c[6], _ACTUAL.get(c[0])) for c in _CLAIMS]))
+def q20_verify_dispatch(spark, d):
     names = ("param_names", "param_count", "param_name", "default", "var_name", "return_type")
     rows = values(spark, f"id long, repo_id long, claim_type string, match_status string, chunk_id long, file_path string, source_text string, value {claims.VALUE}", [(i, 1, kind, m, c, "a.py", s, tuple(v.get(n) for n in names)) for i, kind, m, c, s, v, _ in _CLAIMS])
     files = values(spark, "repo_id long, file_path string, text string", [(1, "b.py", "os.getenv('HOME')"), (1, "c.py", "os.environ['HOME']")])
     readers = verification.env_readers(rows.select("repo_id", "value.var_name"), files)
-    return verification.verified(chunking.resolve_symbols(rows), readers).select("id", "status")
-
-
-_STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Verified' WHEN toxic = 1 THEN 'Contradicted' ELSE 'Unverifiable' END"
+    return verification.verified(chunking.resolve_symbols(rows), readers).select("id", "status", "actual_value")
 
 
 def _entries(spark, d):
@@ -251,16 +304,16 @@ def _entries(spark, d):
 _ENTRIES_SQL = f"WITH e AS (SELECT l.doc_id AS claim_id, source AS doc_file, CASE WHEN n_chars % 5 <> 0 THEN n_chars % 97 END AS doc_start_line, {_STATUS} AS status FROM labels l JOIN documents d ON l.doc_id = d.doc_id), o AS (SELECT *, CASE status WHEN 'Contradicted' THEN 0 WHEN 'Unverifiable' THEN 1 ELSE 2 END AS severity FROM e), f AS (SELECT doc_file, min(severity) AS file_severity, count(*) FILTER (WHERE severity < 2) AS issues, row_number() OVER (ORDER BY min(severity), doc_file) AS file_ord FROM o GROUP BY doc_file), r AS (SELECT o.*, f.file_severity, f.issues, f.file_ord, row_number() OVER (PARTITION BY o.doc_file ORDER BY severity, doc_start_line NULLS LAST, claim_id) AS entry_ord FROM o JOIN f ON o.doc_file = f.doc_file)"
 
 
-@query(_ENTRIES_SQL + _shares_sql("status", STATUSES, "e").replace("SELECT", " SELECT", 1))
+@query(_ENTRIES_SQL + _shares_sql("status", STATUSES, "e").replace("SELECT", " SELECT", 1).replace(" FROM e", ", 0 AS dynamic_resolutions, count(*) FILTER (WHERE claim_id % 3 = 0) AS static_resolutions, count(*) FILTER (WHERE claim_id % 3 = 1) AS resolution_failures FROM e"))
 def q21_verify_statistics(spark, d):
-    return retrieval.shares(_entries(spark, d), "status", STATUSES)
+    method = F.when(F.col("claim_id") % 3 == 0, "static").when(F.col("claim_id") % 3 == 1, "failed")
+    return verification.statistics(_entries(spark, d).withColumn("method", method))
 
 
-@query("SELECT l.doc_id AS claim_id, d.source AS doc_file, l.quality, l.toxic, d.lang, e.label FROM labels l JOIN documents d ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = l.doc_id")
+@query(_TABLES_SQL + " SELECT c.id AS claim_id, c.chunk_id AS matched_code_chunk_id, status, actual_value, 'y' AS claimed_value, c.doc_id AS doc_chunk_id, claim_text, claim_type, d.file_path AS doc_file, d.heading AS doc_heading, d.start_line AS doc_start_line, d.end_line AS doc_end_line, k.file_path AS code_file, k.symbol_name, k.start_line AS code_start_line, k.end_line AS code_end_line FROM c JOIN docs d ON d.id = c.doc_id LEFT JOIN code k ON k.id = c.chunk_id")
 def q22_report_join(spark, d):
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(e, "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("doc_file"), "quality", "toxic", "lang", "label")
+    docs, code, claimed, _, outcome = _tables(spark, d)
+    return reporting.report_rows(outcome, claimed, docs, code)
 
 
 @query(_ENTRIES_SQL + " SELECT claim_id, doc_file, doc_start_line, status, severity, file_severity, file_ord, entry_ord FROM r")
@@ -285,11 +338,17 @@ def q26_report_sections(spark, d):
     return rows.select("doc_file", "file_ord", "issues", F.array_join(F.transform("entries", lambda e: e["claim_id"].cast("string")), ",").alias("shown"))
 
 
-@query("WITH c AS (SELECT event_id AS claim_id, user_id AS chunk_id, event_type IN ('click', 'purchase') AS preferred FROM events WHERE event_id % 3 <> 0), f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY preferred DESC, claim_id) AS r FROM c) SELECT chunk_id, claim_id, preferred FROM f WHERE r = 1 ORDER BY preferred DESC, md5('42|' || chunk_id), chunk_id LIMIT 15")
+@query(_TABLES_SQL + ", g AS (SELECT chunk_id, id AS claim_id, claim_type IN ('signature', 'default_value') AS preferred FROM c WHERE match_status = 'matched' AND claim_type <> 'behavior'), f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY preferred DESC, claim_id) AS r FROM g) SELECT chunk_id, claim_id, preferred FROM f WHERE r = 1 ORDER BY preferred DESC, md5('42|' || chunk_id), chunk_id LIMIT 15")
 def q27_fault_targets(spark, d):
-    kind = F.when(F.col("event_type").isin("click", "purchase"), "signature").otherwise("env_var")
-    rows = t(spark, d, "events").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("chunk_id"), kind.alias("claim_type"), F.when(F.col("event_id") % 3 != 0, "matched").otherwise("no_match").alias("match_status"))
-    return evaluation.fault_targets(rows, 15).select("chunk_id", "claim_id", "preferred")
+    _, _, claimed, got, _ = _tables(spark, d)
+    return evaluation.fault_targets(evaluation.target_rows(got, claimed), 15).select("chunk_id", "claim_id", "preferred")
+
+
+@query(_TABLES_SQL + ", f AS (SELECT id AS fault_id, CASE WHEN id % 2 = 0 THEN 'signature' ELSE 'default_value' END AS kind FROM code), r AS (SELECT fault_id, c.id AS ord, status FROM f LEFT JOIN c ON c.chunk_id = fault_id AND c.claim_type = kind), g AS (SELECT fault_id, coalesce(bool_or(status = 'Contradicted'), false) AS detected, max_by(status, ord) AS last FROM r GROUP BY fault_id) SELECT fault_id, detected, CASE WHEN detected THEN 'Contradicted' ELSE coalesce(last, 'No matching claim verified') END AS outcome FROM g")
+def q28c_fault_outcomes(spark, d):
+    docs, code, claimed, _, outcome = _tables(spark, d)
+    chosen = code.select(F.col("id").alias("fault_id"), F.col("id").alias("chunk_id"), F.when(F.col("id") % 2 == 0, "rename_param").otherwise("change_default").alias("fault_type"))
+    return evaluation.detection(faults.outcomes(chosen, outcome, claimed))
 
 
 _DETECT_SQL = "WITH r AS (SELECT user_id AS fault_id, event_id AS ord, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'Contradicted' WHEN event_id % 2 = 0 THEN 'Verified' END AS status FROM events), f AS (SELECT fault_id, coalesce(bool_or(status = 'Contradicted'), false) AS detected, max_by(status, ord) FILTER (WHERE status IS NOT NULL) AS last FROM r GROUP BY fault_id)"
@@ -401,15 +460,36 @@ def q38_discovery(spark, d):
     return values(spark, "path string", [(p,) for p, _, _ in _PATHS]).select("path", x.is_code_file(F.col("path")).alias("is_code"), x.is_doc_file(F.col("path")).alias("is_doc"))
 
 
-@query("SELECT event_type, max(props) AS latest, max_by(event_id, props || '|' || lpad(event_id::VARCHAR, 12, '0')) AS event_id FROM events GROUP BY event_type")
-def q39_latest_artifact(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.max("props").alias("latest"), F.max_by("event_id", F.concat("props", F.lit("|"), F.lpad(F.col("event_id").cast("string"), 12, "0"))).alias("event_id"))
+def _local(spark) -> str:
+    """A new folder within the shared one, as the driver names it."""
+    path = f"{store.shared_root(spark).removeprefix('file://').removeprefix('file:')}/query-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '\bthe\b', 'the_mutated', 'g') AS text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query(_DETECT_SQL + " SELECT count(*) AS n_faults, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE NOT detected) AS missed, round(100.0 * count(*) FILTER (WHERE detected) / count(*), 1) AS detection_rate FROM f")
+def q39_latest_evaluation(spark, d):
+    """Written, an older one beside it, and read again."""
+    folder = _local(spark)
+    with open(f"{folder}/faults_1.json", "w") as f:
+        f.write('{"n_faults": 0}')
+    store.write_eval(evaluation.detection_rate(_faults(spark, d)).first().asDict(), folder, "faults")
+    got = store.latest_eval(folder, "faults")
+    return values(spark, "n_faults long, detected long, missed long, detection_rate double", [(got["n_faults"], got["detected"], got["missed"], got["detection_rate"])])
+
+
+_THE = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])the([^\p{{L}}\p{{N}}_]|$)', '\1the_mutated\2', 'g')"
+
+
+@query(f"SELECT doc_id, {_THE.format(_THE.format('text'))} AS text FROM documents")
 def q40_rename_word(spark, d):
-    """On plain ASCII texts: engines differ in what a word boundary is beyond it."""
-    return t(spark, d, "documents").where(F.length("text") == F.octet_length("text")).select("doc_id", x.renamed_word(F.col("text"), "the").alias("text"))
+    """A renamed parameter in every document, as faults are injected: whole words only, of whichever letters."""
+
+    def run(batches: Iterator) -> Iterator:
+        for got in batches:
+            yield got.assign(text=[faults.faulted(v, {"fault_type": "rename_param", "param": "the", "start_line": 1, "end_line": v.count("\n") + 1}) for v in got.text])
+
+    return t(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, text string")
 
 
 _MUTATED = [("True", "False"), ("False", "True"), ("7", "49"), ("'a'", "'a_mutated'"), ('"b"', '"b_mutated"'), ("[1]", "None"), ("-5", "None")]
@@ -417,26 +497,22 @@ _MUTATED = [("True", "False"), ("False", "True"), ("7", "49"), ("'a'", "'a_mutat
 
 @query(literal("old, new", _MUTATED))
 def q41_mutated_defaults(spark, d):
-    return values(spark, "old string", [(a,) for a, _ in _MUTATED]).select("old", x.mutated_default(F.col("old")).alias("new"))
+    return values(spark, "old string, new string", [(a, faults.mutated(a)) for a, _ in _MUTATED])
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS docs, EXISTS (SELECT 1 FROM labels WHERE toxic = 1) AS any_toxic, (SELECT count(*) FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)) AS labelled")
+@query(_TABLES_SQL + " SELECT (SELECT count(*) FROM docs) AS sections, (SELECT count(*) FROM code WHERE embedded) AS embedded, (SELECT count(*) FROM c JOIN docs ON docs.id = doc_id) AS claims, (SELECT count(*) FROM c JOIN docs ON docs.id = doc_id) AS retrieved")
 def q42_prechecks(spark, d):
-    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
-    return docs.agg(F.count("*").alias("docs")).crossJoin(labels.agg((F.count_if(F.col("toxic") == 1) > 0).alias("any_toxic"))).crossJoin(labels.join(docs, "doc_id", "left_semi").agg(F.count("*").alias("labelled")))
+    docs, code, claimed, got, _ = _tables(spark, d)
+    return pipeline.counts_of(docs, code, claimed, got)
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def q43_streamed_merge(spark, d):
     """The events' file as a stream, merged batch by batch into the latest row of each user."""
-    from docwarden.streaming.ingest import latest_versions, newest
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    root = f"{root}/stream-{spark.sparkContext.applicationId}-{abs(hash((d, id(spark))))}-{len(spark.streams.active)}-{spark._jvm.System.nanoTime()}"
-    schema = t(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, d, root))
-    latest_versions(stream.select("user_id", "event_id", "event_type"), f"{root}/merged", f"{root}/state", "user_id", "event_id")
-    return newest(spark, f"{root}/merged")
+    root = f"{store.shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(_folder(spark, d, root))
+    ingest.latest_versions(stream.select("user_id", "event_id", "event_type"), f"{root}/merged", f"{root}/state", "user_id", "event_id")
+    return ingest.merged(spark, f"{root}/merged").drop("bucket")
 
 
 def _folder(spark: SparkSession, d: str, root: str) -> str:
@@ -446,4 +522,175 @@ def _folder(spark: SparkSession, d: str, root: str) -> str:
     return f"{root}/arrivals"
 
 
-__all__ = ["ORACLES", "QUERIES", "W"]
+@query("SELECT doc_id AS id, doc_id % 3 AS repo_id, concat(source, '.md') AS file_path, CASE WHEN doc_id % 3 = 1 AND source = 'src0' THEN 'new' ELSE lang END AS heading, TRUE AS others_untouched FROM documents WHERE doc_id % 3 <> 2")
+def q44_store_replaces_one_repository(spark, d):
+    """Three repositories are stored, a file of one is replaced, another is emptied; the files of the third stay the very same."""
+    s = store.Store(spark, f"{store.shared_root(spark)}/store-{uuid.uuid4().hex}")
+    rows = t(spark, d, "documents").selectExpr("doc_id AS id", "doc_id % 3 AS repo_id", "concat(source, '.md') AS file_path", "lang AS heading", "1 AS heading_level", "text", "array('x') AS code_blocks", "1 AS start_line", "2 AS end_line", "CAST(NULL AS ARRAY<FLOAT>) AS embedding", "CAST(NULL AS STRING) AS embedding_id")
+    for rid in range(3):
+        s.replace("doc_chunks", rid, rows.where(F.col("repo_id") == rid))
+    before, old = s.files("doc_chunks", 0), s.of("doc_chunks", 1)
+    s.replace("doc_chunks", 1, merge.replaced(old, old.where("file_path = 'src0.md'").withColumn("heading", F.lit("new")), ["repo_id", "file_path"]))
+    s.replace("doc_chunks", 2, s.of("doc_chunks", 2).limit(0))
+    return s.read("doc_chunks").select("id", "repo_id", "file_path", "heading", F.lit(bool(before) and before == s.files("doc_chunks", 0)).alias("others_untouched"))
+
+
+@query("""WITH o AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 2), n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 3), j AS (SELECT o.doc_id AS a, n.doc_id AS b, o.h = n.h AS same FROM o FULL OUTER JOIN n ON o.doc_id = n.doc_id)
+SELECT count(*) FILTER (WHERE a IS NULL OR b IS NULL OR NOT same) AS changed, count(*) FILTER (WHERE same) AS skipped, count(*) FILTER (WHERE b IS NOT NULL AND (a IS NULL OR NOT same)) AS reprocessed, count(*) FILTER (WHERE b IS NULL) AS deleted, count(*) AS total FROM j""")
+def q45_change_counts(spark, d):
+    as_files = lambda df: df.select(F.lit(1).alias("repo_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit("doc").alias("file_type"), "content_hash")
+    old, new = _snapshots(spark, d)
+    return ingest.change_counts(ingest.changes(as_files(old), as_files(new)))
+
+
+@query(r"SELECT conv_id, turn, concat('def f', turn, '(a):') AS line, trim(concat_ws('\n', concat('function f', turn), CASE WHEN turn % 3 = 1 THEN role END, concat('def f', turn, '(a):'))) AS embedding_text, CASE WHEN turn % 2 = 0 THEN concat(role, chr(10), 'Symbol: f', turn) ELSE role END AS query FROM conversations")
+def q46_embedding_texts(spark, d):
+    name, source = F.concat(F.lit("f"), F.col("turn").cast("string")), F.concat(F.lit("@deco\ndef f"), F.col("turn").cast("string"), F.lit("(a):\n    def inner(): ...\n"))
+    doc = F.when(F.col("turn") % 3 == 1, F.col("role")).when(F.col("turn") % 3 == 2, F.lit(""))
+    return t(spark, d, "conversations").select("conv_id", "turn", x.signature_line(source).alias("line"), x.code_embedding_text(F.lit("function"), name, doc, source).alias("embedding_text"), x.query_text(F.col("role"), F.when(F.col("turn") % 2 == 0, name)).alias("query"))
+
+
+@query(_TABLES_SQL + " SELECT claim_type, count(*) AS n FROM c GROUP BY claim_type")
+def q47_claim_counts(spark, d):
+    return pipeline.claim_counts(_tables(spark, d)[2])
+
+
+@query(_TABLES_SQL + " SELECT count(*) AS claims, count(*) AS found, TRUE AS all_new, 9 AS repo_id FROM c JOIN docs ON docs.id = doc_id")
+def q48_cloned_claims(spark, d):
+    """Sections and claims under the id of a copy: every claim finds its section, and no id is an old one."""
+    docs, _, claimed, _, _ = _tables(spark, d)
+    new_docs, new_claims = faults.cloned(docs, claimed, 9)
+    met = new_claims.join(new_docs.select(F.col("id").alias("s"), F.lit(1).alias("hit")), F.col("doc_chunk_id") == F.col("s"), "left").join(claimed.select(F.col("id").alias("old"), F.lit(1).alias("was")), F.col("id") == F.col("old"), "left")
+    return met.agg(F.count("*").alias("claims"), F.count("hit").alias("found"), (F.count("was") == 0).alias("all_new"), F.max("repo_id").alias("repo_id"))
+
+
+_TREE = {"a.py": b"x = '\xff'\n", "_b.py": b"import os\n", "tests/c.py": b"c = 1\n", "build/e.py": b"e = 1\n", ".hid/f.py": b"f = 1\n", "env/g.py": b"g = 1\n", "docs/.note.md": b"# N\xe9\n", "README": b"read\n", "LICENSE.md": b"no\n", "p.egg-info/x.md": b"no\n"}
+_FOUND = [("a.py", True, False, True, "x = '�'\n"), ("_b.py", True, False, True, "import os\n"), ("tests/c.py", False, False, True, "c = 1\n"), ("build/e.py", False, False, True, "e = 1\n"), (".hid/f.py", True, False, False, "f = 1\n"), ("docs/.note.md", False, True, False, "# N�\n"), ("README", False, True, False, "read\n")]
+
+
+def _tree(root: str, files: dict) -> str:
+    for name, content in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(content)
+    return root
+
+
+@query(literal("file_path, code, doc, env, text", _FOUND))
+def q49_discovered_files(spark, d):
+    """What code, documentation and environment scans read of a tree, with bytes that aren't UTF-8, and names that Spark's readers skip."""
+    root = _tree(_local(spark), _TREE)
+    every = files.listed(spark, root, 1)
+    parts = (files.code_files(every), "code"), (files.doc_files(every), "doc"), (files.env_files(spark, root, 1), "env")
+    rows = [files.read(df).select("file_path", "text", F.lit(name).alias("what")) for df, name in parts]
+    has = lambda name: (F.count_if(F.col("what") == name) > 0).alias(name)
+    return rows[0].union(rows[1]).union(rows[2]).groupBy("file_path").agg(has("code"), has("doc"), has("env"), F.max("text").alias("text"))
+
+
+def _git(root: str, *args: str) -> None:
+    subprocess.run(["git", "-C", root, "-c", "user.name=a", "-c", "user.email=a@example.com", *args], check=True, capture_output=True)
+
+
+@query(literal("file_path, rescan", [("a.py", False), ("new name.py", False), ("old.py", False), ("gone.py", False), ("loose.py", False), ("*", True)]))
+def q50_changed_since_a_commit(spark, d):
+    """Changed, renamed, deleted and untracked paths since a commit; a commit that is unknown asks for a scan of everything."""
+    root = _tree(_local(spark), {"a.py": b"a = 1\n", "old.py": b"o = 1\no = 2\no = 3\n", "gone.py": b"g\n", "same.py": b"s\n"})
+    _git(root, "init", "-q")
+    _git(root, "add", "-A")
+    _git(root, "commit", "-qm", "one")
+    sha = files.head_sha(root)
+    _tree(root, {"a.py": b"a = 2\n"})
+    _git(root, "mv", "old.py", "new name.py")
+    _git(root, "rm", "-q", "gone.py")
+    _git(root, "commit", "-qam", "two")
+    _tree(root, {"loose.py": b"l\n"})
+    paths, rescan = files.changed_since(root, sha)
+    return values(spark, "file_path string, rescan boolean", [(p, rescan) for p in sorted(paths)] + [("*", files.changed_since(root, "0" * 40)[1])])
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END AS expected FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
+def q51_labels_written_and_read(spark, d):
+    """A sample for labelling as CSV, its counts filled in for every other row, and read again."""
+    import csv
+
+    path = f"{_local(spark)}/labels.csv"
+    rows = evaluation.sample_for_labels(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("heading"), "text"), "id")
+    store.write_labels(rows, path)
+    with open(path, newline="") as f:
+        head, *body = csv.reader(f)
+    for r in body:
+        r[3] = f" {int(r[0]) % 5}" if int(r[0]) % 2 == 0 else "many"
+    with open(path, "w", newline="") as f:
+        csv.writer(f).writerows([head, *body])
+    return store.read_labels(spark, f"file://{path}")
+
+
+@query(literal("key, value", [("eval_dir", "data/eval"), ("model", "some:7b"), ("store_dir", "here"), ("extra", "1"), ("none", "rules"), ("list", "rules")]))
+def q52_configuration(spark, d):
+    """Defaults under the file's keys; defaults alone where there is no file, or no mapping in it."""
+    root = _tree(_local(spark), {"c.yaml": b"model: some:7b\nstore_dir: here\nextra: 1\n", "l.yaml": b"- 1\n"})
+    got = store.load_config(f"{root}/c.yaml")
+    rows = [(k, str(got[k])) for k in ("eval_dir", "model", "store_dir", "extra")]
+    return values(spark, "key string, value string", [*rows, ("none", store.load_config(f"{root}/no.yaml")["model"]), ("list", store.load_config(f"{root}/l.yaml")["model"])])
+
+
+_FAULTY = "def f(a: dict[str, int] = None, bb=7):\n    return a, bb\n\n\ndef g(bb=7):\n    return bb\n"
+_PUT = [("rename_param", "bb", "7", 0, 2, _FAULTY.replace("None, bb=7", "None, bb_mutated=7").replace("a, bb\n", "a, bb_mutated\n")), ("change_default", "bb", "7", 5, 6, _FAULTY.replace("g(bb=7)", "g(bb=49)")), ("change_default", "a", "None", 1, 2, _FAULTY.replace("int] = None", "int] = None"))]
+
+
+@query(literal("id, text, changed, original", [(k, c[-1], c[-1] != _FAULTY, True) for k, c in enumerate(_PUT)]))
+def q53_faults_in_a_copy(spark, d):
+    """Faults go into the lines of their symbol in a copy without .git; the original stays as it is."""
+    root, rows = _tree(_local(spark), {"m.py": _FAULTY.encode(), ".git/x": b"x"}), []
+    for k, (kind, name, default, a, b, _) in enumerate(_PUT):
+        copy = faults.copied(root, f"{root}-{k}")
+        changed = faults.apply({"fault_type": kind, "param": name, "default": default, "file_path": "m.py", "start_line": max(a, 1), "end_line": b}, copy, root)
+        text = [open(f"{r}/m.py").read() for r in (copy, root)]
+        rows.append((k, text[0], changed, text[1] == _FAULTY and not os.path.exists(f"{copy}/.git")))
+    return values(spark, "id int, text string, changed boolean, original boolean", rows)
+
+
+_PROJECT = {
+    "pkg/__init__.py": b'def connect(host, timeout=30):\n    """Opens a connection."""\n    import os\n    return os.getenv(\'APP_TOKEN\')\n\n\ndef size(items) -> int:\n    return len(items)\n',
+    "README.md": b"# Use\n\nCall `connect(host, timeout)`. The `timeout` defaults to `31`. It reads the environment variable `APP_TOKEN`.\n\n## Size\n\n`size` returns `int`.\n",
+}
+
+
+def _checked(spark):
+    root = _tree(_local(spark), _PROJECT)
+    _git(root, "init", "-q")
+    _git(root, "add", "-A")
+    _git(root, "commit", "-qm", "one")
+    s = store.Store(spark, f"{store.shared_root(spark)}/store-{uuid.uuid4().hex}")
+    rid = pipeline.init(s, "project", root)
+    return s, rid, root, pipeline.run_all(s, rid, root)
+
+
+@query(literal("claim_type, match_status, status, symbol_name, actual_value, doc_file, doc_start_line", [("signature", "matched", "Verified", "connect", "host, timeout", "README.md", 2), ("return_type", "matched", "Verified", "size", "int", "README.md", 6)]))
+def q54_whole_check(spark, d):
+    """A small repository from its files to the report's rows: claims that name a symbol, whatever the vectors say."""
+    s, rid, *_ = _checked(spark)
+    rows = pipeline.report_rows(s, rid).join(s.of("retrieval_results", rid).select("claim_id", "match_status"), "claim_id")
+    return rows.where("claim_type in ('signature', 'return_type')").select("claim_type", "match_status", "status", "symbol_name", "actual_value", "doc_file", "doc_start_line")
+
+
+@query(literal("step, changed, skipped, reprocessed, deleted, chunks", [("again", 0, 1, 0, 0, 2), ("edited", 2, 0, 2, 0, 2), ("removed", 1, 1, 0, 1, 1)]))
+def q55_incremental_chunking(spark, d):
+    """Chunking again after no change, an edit beside a new file, and a deletion; changes come from git and the files' hashes."""
+    s, rid, root, _ = _checked(spark)
+    step = lambda name: (name, *(got[k] for got in [pipeline.chunk(s, rid, root, "code")] for k in ("changed", "skipped", "reprocessed", "deleted", "chunks")))
+    rows = [step("again")]
+    _tree(root, {"pkg/__init__.py": b"def other(): ...\n", "new.py": b"def fresh(): ...\n"})
+    rows.append(step("edited"))
+    os.remove(f"{root}/new.py")
+    return values(spark, "step string, changed long, skipped long, reprocessed long, deleted long, chunks long", [*rows, step("removed")])
+
+
+@query(literal("has", [(part,) for part in ("totals", "file", "entries", "text_file", "text_entry")]))
+def q56_reports(spark, d):
+    """Both renderings of one report."""
+    s, rid, *_ = _checked(spark)
+    rows = pipeline.report_rows(s, rid)
+    got, text = json.loads(reporting.json_report(rows, "p")), reporting.text_report(rows, "p", True)
+    seen = {"totals": sum(got["totals"].values()) == 4, "file": list(got["files"]) == ["README.md"], "entries": len(got["files"]["README.md"]) == 4, "text_file": "README.md (" in text, "text_entry": "[Verified] `size` returns `int" in text}
+    return values(spark, "has string", [(k,) for k, ok in seen.items() if ok])

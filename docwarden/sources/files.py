@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 from docwarden.functions.expressions import EXCLUDED, is_code_file, is_doc_file
 
 
-def listed(spark: SparkSession, root: str, repo_id: int) -> DataFrame:
-    """(repo_id, root, file_path) of all files under root, without links and excluded directories."""
+def excluded(name: str) -> bool:
+    """Directories that discovery doesn't enter."""
+    return name in EXCLUDED or name.endswith(".egg-info")
+
+
+def private(name: str) -> bool:
+    """Directories that the environment scan doesn't enter; it does read tests and what was built."""
+    return name.startswith(".") or name in ("venv", "env", "__pycache__")
+
+
+def listed(spark: SparkSession, root: str, repo_id: int, skip: Callable[[str], bool] = excluded) -> DataFrame:
+    """(repo_id, root, file_path) of all files under root, in order, without links and directories to skip."""
     root = os.path.abspath(root)
     rows = []
     for at, dirs, names in os.walk(root, followlinks=False):
-        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED and not d.endswith(".egg-info"))
+        dirs[:] = sorted(d for d in dirs if not skip(d))
         rows += [(repo_id, root, os.path.relpath(os.path.join(at, n), root).replace(os.sep, "/")) for n in sorted(names)]
     return spark.createDataFrame(rows, "repo_id long, root string, file_path string")
 
@@ -32,9 +42,9 @@ def doc_files(files: DataFrame) -> DataFrame:
     return files.where(is_doc_file(F.col("file_path")))
 
 
-def env_files(files: DataFrame) -> DataFrame:
-    """Python files for the environment scan: tests included, dot-directories and virtual environments not."""
-    return files.where(F.col("file_path").endswith(".py") & ~F.col("file_path").rlike(r"(^|/)(\.[^/]*|venv|env|__pycache__)/"))
+def env_files(spark: SparkSession, root: str, repo_id: int) -> DataFrame:
+    """Python files for the environment scan."""
+    return listed(spark, root, repo_id, private).where(F.col("file_path").endswith(".py"))
 
 
 def read(files: DataFrame) -> DataFrame:

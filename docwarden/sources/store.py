@@ -5,16 +5,17 @@ from __future__ import annotations
 import json
 import logging
 import os
-import shutil
+import tempfile
 import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docwarden.schema import TABLES
 
-DEFAULTS = {"store_dir": "data/tables", "eval_dir": "data/eval", "report_dir": "data/reports", "model": "rules"}
+DEFAULTS = {"store_dir": "data/tables", "eval_dir": "data/eval", "report_dir": "data/reports", "model": "rules", "model_host": "http://localhost:11434", "embedder": "hashed"}
 
 
 def load_config(path: str = "config.yaml") -> dict:
@@ -31,30 +32,60 @@ def load_config(path: str = "config.yaml") -> dict:
     return DEFAULTS | got if isinstance(got, dict) else dict(DEFAULTS)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and tasks share, as the session names it; one of our own only where it names none, as in tests."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not got:
+        got = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", got)
+    return got.rstrip("/")
+
+
 class Store:
-    """A folder per table. A write goes to a new folder that takes the old one's place when it is whole."""
+    """A folder per table, and within it one per repository. A write replaces the folders of the repositories it names and leaves the others alone;
+    files are reached through Hadoop's file systems, so the root may be on any of them."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(root)
-        os.makedirs(self.root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/") if "://" in root else f"file://{os.path.abspath(root)}"
+
+    def _path(self, name: str, repo_id: int | None = None):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" + ("" if repo_id is None else f"/repo_id={repo_id}"))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def schema(self, name: str) -> StructType:
+        return StructType.fromDDL(TABLES[name])
 
     def read(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        return self.spark.read.schema(TABLES[name]).parquet(path) if os.path.exists(path) else self.spark.createDataFrame([], TABLES[name])
-
-    def write(self, name: str, df: DataFrame) -> int:
-        schema = self.spark.createDataFrame([], TABLES[name]).schema
-        new, path = f"{self.root}/{name}.{time.time_ns()}", f"{self.root}/{name}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(new)
-        if os.path.exists(path):
-            os.rename(path, f"{new}.old")
-        os.rename(new, path)
-        shutil.rmtree(f"{new}.old", ignore_errors=True)
-        return self.read(name).count()
+        path, fs = self._path(name)
+        schema = self.schema(name)
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*schema.names)
+
+    def of(self, name: str, repo_id: int) -> DataFrame:
+        """A repository's rows: only its folder is read."""
+        return self.read(name).where(F.col("repo_id") == repo_id)
 
     def replace(self, name: str, repo_id: int, df: DataFrame) -> int:
-        """A repository's rows, replaced as a whole."""
-        return self.write(name, self.read(name).where(F.col("repo_id") != repo_id).unionByName(df.select(*self.read(name).columns)))
+        """A repository's rows, replaced as a whole when the new ones are written; how many there are now."""
+        rows = df.select(*[F.lit(repo_id).cast("long").alias("repo_id") if f.name == "repo_id" else F.col(f.name).cast(f.dataType) for f in self.schema(name)])
+        some = not rows.isEmpty()
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{self.root}/{name}")
+        if not some:  # such a write touches no folder
+            path, fs = self._path(name, repo_id)
+            fs.delete(path, True)
+        return self.of(name, repo_id).count()
+
+    def forget(self, repo_id: int) -> None:
+        """Removes a repository from every table."""
+        for name in TABLES:
+            path, fs = self._path(name, repo_id)
+            fs.delete(path, True)
+
+    def files(self, name: str, repo_id: int) -> list[tuple[str, int]]:
+        """Names and times of the files that hold a repository's rows."""
+        path, fs = self._path(name, repo_id)
+        return sorted((x.getPath().getName(), x.getModificationTime()) for x in fs.listStatus(path)) if fs.exists(path) else []
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

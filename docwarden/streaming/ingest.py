@@ -19,27 +19,28 @@ def change_counts(found: DataFrame) -> DataFrame:
     return found.agg(n("added", "modified", "deleted").alias("changed"), n("unchanged").alias("skipped"), n("added", "modified").alias("reprocessed"), n("deleted").alias("deleted"), F.count("*").alias("total"))
 
 
-def latest_versions(stream: DataFrame, target: str, checkpoint: str, key: str, order: str) -> None:
-    """Drains a stream of versions and leaves the last one of each key in a Parquet folder; every batch merges with what was there.
+BUCKETS = 16
 
-    A batch writes to a folder of its own number and the newest whole one counts, so a batch that is run again changes nothing."""
+
+def latest_versions(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, buckets: int = BUCKETS) -> None:
+    """Drains a stream of versions and leaves the last one of each key in a Parquet folder.
+
+    The table is dealt into buckets of keys; a batch reads and replaces those that it has keys of. Merging a batch twice changes nothing, so a batch
+    that is run again does no harm. A larger table asks for more buckets."""
+    columns = [f.name for f in stream.schema]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = newest(spark, target, number)
-        rows = batch if old is None else old.unionByName(batch)
-        latest(rows, [key], [F.col(order).desc()]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        old = merged(spark, target)
+        rows = batch if old is None else batch.unionByName(old.where(F.col("bucket").isin(touched)).select(*batch.columns))
+        latest(rows, [key], [F.col(order).desc()]).select(*columns, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def newest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The merged table of the last whole batch (before a number)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{target}/batch={max(numbers)}") if numbers else None
+def merged(spark: SparkSession, target: str) -> DataFrame | None:
+    """The merged table as it is now, with its bucket; none before the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return spark.read.parquet(target) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None

@@ -66,7 +66,8 @@ def test_whole_check_of_a_repository(spark, repo, tmp_path, capsys, monkeypatch)
     assert first["code"]["chunks"] == 2 and first["docs"]["chunks"] == 2 and first["claims"]["signature"] == 1 and first["verification"]["total"] == 4
     rows = json.loads(run("report", str(repo), "--format", "json"))
     assert {e["claim_type"]: e["status"] for f in rows["files"].values() for e in f}["signature"] == "Verified"
-    assert "README.md" in run("report", str(repo), "--output", str(tmp_path / "r.txt"))
+    run("report", str(repo), "--output", str(tmp_path / "r.txt"))
+    assert "README.md" in (tmp_path / "r.txt").read_text()
     again = json.loads(run("run-all", str(repo)))
     assert again["code"]["skipped"] == 1 and again["code"]["reprocessed"] == 0 and again["verification"] == first["verification"]
     (repo / "pkg/__init__.py").write_text("def other(): ...\n")
@@ -85,3 +86,53 @@ def test_fault_evaluation(spark, repo, tmp_path, capsys, monkeypatch):
     cli.main(["eval-faults", str(repo), "--n-faults", "5"], spark)
     got = json.loads(capsys.readouterr().out)
     assert got["n_faults"] == got["detected"] + got["missed"] >= 1 and (repo / "pkg/__init__.py").read_text() == before
+
+
+def test_commands_ask_for_what_they_need(spark, repo, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    code = lambda *args: pytest.raises(SystemExit, cli.main, [*args], spark).value.code
+    assert code("embed", str(repo)) == 1
+    cli.main(["init", str(repo)], spark)
+    assert code("extract-claims", str(repo)) == 1 and code("retrieve", str(repo)) == 0 and code("verify", str(repo)) == 1
+    (tmp_path / "config.yaml").write_text("model: some:7b\nmodel_host: http://127.0.0.1:9\n")
+    cli.main(["chunk-docs", str(repo)], spark)
+    assert code("extract-claims", str(repo)) == 1 and "no model service" in capsys.readouterr().err
+
+
+def test_model_is_probed_and_asked():
+    import http.server
+    import pickle
+    import threading
+
+    from docwarden.sources import model
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def reply(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):  # noqa: N802
+            self.reply({"models": [{"name": "some:7b"}]})
+
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.reply({"response": f"{asked['model']} {asked['prompt']} {asked['options']['temperature']}"})
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"http://127.0.0.1:{server.server_port}"
+    assert model.reachable(host) and model.available("some:7b", host) and model.available("some:13b", host) and not model.available("other", host)
+    assert pickle.loads(pickle.dumps(model.Model("some:7b", host)))("hello") == "some:7b hello 0.0"
+    server.shutdown()
+    assert not model.reachable("http://127.0.0.1:9") and not model.available("some", "http://127.0.0.1:9")
+    with pytest.raises(model.ModelError):
+        model.Model("some", "http://127.0.0.1:9")("x")
+
+
+def test_deep_sources_are_unparsable_and_not_fatal():
+    assert chunking.code_chunks("x = " + "-" * 100_000 + "1") == ([], True) and chunking.resolved("def f(a=" + "(" * 5000 + "1" + ")" * 5000 + "): ...")["resolution_method"] == "failed"
+    assert chunking.code_chunks("x = " + "a." * 20_000 + "b")[1] in (True, False)
