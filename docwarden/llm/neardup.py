@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def _matrix(column: pa.Array, shape: Shape) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, shape.width)
 
 
-def signatures(value: np.ndarray, owner: np.ndarray, n: int, shape: Shape) -> tuple[np.ndarray, list, list]:
+def signatures(value: np.ndarray, owner: np.ndarray, n: int, shape: Shape) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Of n sets of distinct shingles: their sizes, 128 bits that name the set, and their registers (both None for an empty set)."""
     count = np.bincount(owner, minlength=n)
     sums = np.zeros((n, 2), np.uint64)
@@ -119,7 +120,14 @@ def signatures(value: np.ndarray, owner: np.ndarray, n: int, shape: Shape) -> tu
             sums[has, i] = np.add.reduceat(tk.mixed(value ^ np.uint64(seed)), first)
         sums[has, 1] ^= tk.mixed(count[has].astype(np.uint64))
     regs = registers(value, owner, n, shape.buckets)[:, : shape.width]
-    return count, [sums[i].tobytes() if c else None for i, c in enumerate(count)], [regs[i].tobytes() if c else None for i, c in enumerate(count)]
+    return count, _rows_of(sums, count > 0), _rows_of(regs, count > 0)
+
+
+def _rows_of(matrix: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Each row's bytes; null where it isn't known."""
+    n, width = len(matrix), matrix.shape[1] * matrix.itemsize
+    data, at = pa.py_buffer(np.ascontiguousarray(matrix).tobytes()), pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes())
+    return pc.if_else(pa.array(known), pa.Array.from_buffers(pa.binary(), n, [None, at, data]), pa.scalar(None, pa.binary()))
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 start, end, doc = tk.words(data, at, tk.GAPS["spaced"])
                 value, owner = tk.without_repeats(*tk.shingles(tk.word_hashes(data, start, end), doc, n))
                 count, cls, sig = signatures(value, owner, n, DOCUMENTS)
-                yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "cls", "registers"])
+                yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), cls, sig], ["doc_id", "text_key", "n_shingles", "cls", "registers"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,17 +80,17 @@ def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         value, owner = tk.without_repeats(*tk.shingles(hashes[chosen], rank[para][chosen], len(long)))
         count, cls, sig = signatures(value, owner, len(long), PARAGRAPHS)
         f = first[long]
-        sig = [x if c >= ALONE else None for x, c in zip(sig, count)]  # smaller sets meet their equals only
+        sig = pc.if_else(pa.array(count >= ALONE), sig, pa.scalar(None, pa.binary()))  # smaller sets meet their equals only
         yield _rows(batch, doc[f], line_of[f], f - base[doc[f]], size[long], count, cls, sig, None)
     value, owner, spot = windows(hashes, doc)
     if len(value):
         yield _rows(batch, owner, np.zeros(len(value), int), spot - base[owner], np.full(len(value), WINDOW), np.zeros(len(value), int), None, None, value)
 
 
-def _rows(batch: pa.RecordBatch, doc: np.ndarray, line: np.ndarray, first: np.ndarray, n: np.ndarray, count: np.ndarray, cls: list | None, sig: list | None, value: np.ndarray | None) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, doc: np.ndarray, line: np.ndarray, first: np.ndarray, n: np.ndarray, count: np.ndarray, cls: pa.Array | None, sig: pa.Array | None, value: np.ndarray | None) -> pa.RecordBatch:
     k, of = len(doc), pa.array(doc)
     columns = [batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(line, pa.int32()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(count, pa.int64())]
-    columns += [pa.array(cls, pa.binary()) if cls is not None else pa.nulls(k, pa.binary()), pa.array(sig, pa.binary()) if sig is not None else pa.nulls(k, pa.binary())]
+    columns += [x if x is not None else pa.nulls(k, pa.binary()) for x in (cls, sig)]
     columns.append(pa.array(value.view(np.int64)) if value is not None else pa.nulls(k, pa.int64()))
     return pa.record_batch(columns, [x.split()[0] for x in UNITS.split(", ")])
 
@@ -162,6 +163,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     all_units = scratch.cut(units(docs), "units")
     paragraphs = scratch.cut(_paragraphs(docs, all_units.where("cls is not null"), scratch), "paragraphs")
+    scratch.close("units", "paragraphs")
     passages = scratch.cut(_passages(docs, all_units.where("print is not null"), scratch), "passages")
     scratch.close("paragraphs", "passages")
     return paragraphs.union(passages)
@@ -189,18 +191,19 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFram
 
 def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct(*PLACE)
-    several = ~F.col("head").eqNullSafe(F.col("last"))
-    at = F.xxhash64(*PLACE)
-    often = prints.groupBy("print").agg(F.min(at).alias("head"), F.max(at).alias("last")).where(several).select("print")
+    at = F.xxhash64(*PLACE)  # a place's hash is enough to tell whether there are several
+    low, high = F.min(at).alias("low"), F.max(at).alias("high")
+    often = prints.groupBy("print").agg(low, high).where("low <> high").select("print")
     spots = prints.join(often, "print").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.sort_array(F.collect_set("first_word")).alias("spots"))  # a document's own windows
     spots = scratch.cut(spots, "spots")
+    scratch.drop("units")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     # Of rows with one doc_id and text, one is read.
     asked = own.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     seen = scratch.cut(contexts(asked), "seen")
-    heads = seen.groupBy("exact").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.min_by(F.struct("before", "after"), place).alias("first")).where(several).drop("last")
+    heads = seen.groupBy("exact").agg(low, high, F.min(F.struct(*PLACE, "before", "after")).alias("first")).where("low <> high").drop("low", "high")
     agree = lambda side: F.size(F.filter(F.zip_with(side, f"first.{side}", lambda x, y: x == y), lambda x: x))
-    hits = seen.join(heads, "exact").select(*PLACE, "exact", place.eqNullSafe(F.col("head")).alias("kept"), agree("before").alias("left"), agree("after").alias("right")).distinct()
+    hits = seen.join(heads, "exact").select(*PLACE, "exact", place.eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in PLACE])).alias("kept"), agree("before").alias("left"), agree("after").alias("right")).distinct()
     hits = scratch.cut(hits, "hits")
     scratch.drop("seen", "spots")
     # A first occurrence reaches as far as the farthest of the others does.
