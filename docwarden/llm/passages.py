@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docwarden.llm import textkit as tk
-from docwarden.llm.common import Scratch
+from docwarden.llm.common import Scratch, small
 from docwarden.llm.components import components
 from docwarden.llm.neardup import ALONE, Shape, link, signatures
 
@@ -183,7 +183,7 @@ def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFram
     place = F.struct(*PLACE)
     _, found = link(lines.where(F.col("n_shingles") >= ALONE).select("cls", "n_shingles", "registers", F.struct("doc_id", "text_key", "line").alias("at")), fetch, PARAGRAPHS, scratch)
     # A paragraph's cluster: its component, or its class alone where that has several occurrences.
-    occurs = lines.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(*PLACE, "n_words", F.coalesce("component", "cls").alias("cluster"))
+    occurs = lines.join(small(found.withColumnRenamed("node", "cls")), "cls", "left").select(*PLACE, "n_words", F.coalesce("component", "cls").alias("cluster"))
     occurs = scratch.cut(occurs, "occurs")
     many = occurs.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(~F.col("head").eqNullSafe(F.col("last"))).drop("last")
     return occurs.join(many, "cluster").select("doc_id", "text_key", F.lit("paragraph").alias("kind"), "first_word", "n_words", F.xxhash64("cluster").alias("component_id"), place.eqNullSafe(F.col("head")).alias("kept")).distinct()
