@@ -9,7 +9,7 @@ components as well.
 
 Of each cluster's text the first occurrence (by doc_id, text_key and place) is kept and all others are removals; where a kept span and a removal of one
 text overlap, the words are the kept one's. Exact repeats and hubs cost a row each; hot paragraphs and windows are found by partial aggregates and
-joined with their heads, which AQE can split.
+joined with their heads; the join of a very common window's places is one task's, where AQE doesn't split it.
 
 Defined results: null, empty and short texts have no paragraphs and give no rows; a repeated row (same doc_id and text) is one occurrence; a null
 doc_id sorts first; doc_ids are integers, or texts that are; other columns are ignored; an empty table gives an empty result.
