@@ -151,19 +151,9 @@ def banded(classes: DataFrame, shape: Shape) -> DataFrame:
     """A row per class and band: a 64-bit key of the band and its registers. Sets of fewer than ALONE shingles are alike only if they are equal.
 
     cid is a short name of the class: two classes that happen to share it are candidates of each other's candidates, and nothing worse."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            regs = _matrix(batch.column("registers"), shape).reshape(-1, shape.bands, shape.band).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, shape.bands + 1, dtype=np.uint64) << np.uint64(56), regs.shape[:2]).copy()
-            for i in range(shape.band):
-                key = tk.mixed(key * np.uint64(31) + regs[:, :, i])
-            who = pa.array(np.repeat(np.arange(batch.num_rows), shape.bands))
-            yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), batch.column("cid").take(who), batch.column("n").take(who)], ["key", "cid", "n"])
-
-    return classes.where(F.col("n") >= ALONE).select(F.xxhash64("cls").alias("cid"), F.col("n").cast("int").alias("n"), "registers").mapInArrow(run, "key long, cid long, n int")
+    width = 2 * shape.band  # bytes of a band's registers
+    keys = [F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(shape.bands)]
+    return classes.where(F.col("n") >= ALONE).select(F.explode(F.array(*keys)).alias("key"), F.xxhash64("cls").alias("cid"), F.col("n").cast("int").alias("n"))
 
 
 def shingle_sets(texts: DataFrame, gaps: str = "spaced") -> DataFrame:
@@ -242,10 +232,9 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shap
     at says where a class's text stands; fetch turns (cls, at) into (cls, text)."""
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("at").alias("at"), F.first("registers").alias("registers"))
     classes = scratch.cut(classes, "classes")
-    bands = scratch.cut(banded(classes, shape), "bands")
+    bands = banded(classes, shape)
     sized = bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
     sized = scratch.cut(sized, "sized")
-    scratch.drop("bands")
     # The head of a bucket is the member whose buckets are fullest: the text that most of a group of variants is made from.
     crowd = scratch.cut(sized.groupBy("cid").agg(F.sum("size").alias("crowd"), F.min("n").alias("head_n")), "crowd")
     heads = sized.join(crowd, "cid").groupBy("key").agg(F.max_by("cid", "crowd").alias("head"))
