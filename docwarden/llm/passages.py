@@ -42,11 +42,13 @@ RUN = PASSAGE - WINDOW + 1
 #: Words beyond an outermost shared kept window that can still be shared: with RUN of them another window would have been kept.
 REACH = RUN - 1
 
-UNITS = "doc_id long, text_key long, line int, first_word int, n_words int, n_shingles long, cls binary, registers binary, print long"
+UNITS = "doc_id long, text_key long, line int, first_word int, n_words int, n_shingles long, cls binary, registers binary, kept array<struct<first_word int, print long>>"
+
+KEPT = pa.list_(pa.struct([("first_word", pa.int32()), ("print", pa.int64())]))
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Paragraphs (cls, registers; print null) and kept windows (print; cls null) of each document, with their places."""
+    """Paragraphs (cls, registers; kept null) of each document, with their places, and a row with all its kept windows (cls null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -84,15 +86,19 @@ def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield _rows(batch, doc[f], line_of[f], f - base[doc[f]], size[long], count, cls, sig, None)
     value, owner, spot = windows(hashes, doc)
     if len(value):
-        yield _rows(batch, owner, np.zeros(len(value), int), spot - base[owner], np.full(len(value), WINDOW), np.zeros(len(value), int), None, None, value)
+        stop = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        has = np.flatnonzero(np.diff(stop))
+        pairs = pa.StructArray.from_arrays([pa.array(spot - base[owner], pa.int32()), pa.array(value.view(np.int64))], ["first_word", "print"])
+        none = np.zeros(len(has), int)
+        yield _rows(batch, has, none, none, none, none, None, None, pa.ListArray.from_arrays(pa.array(np.append(stop[has], len(value)), pa.int32()), pairs))
 
 
-def _rows(batch: pa.RecordBatch, doc: np.ndarray, line: np.ndarray, first: np.ndarray, n: np.ndarray, count: np.ndarray, cls: pa.Array | None, sig: pa.Array | None, value: np.ndarray | None) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, doc: np.ndarray, line: np.ndarray, first: np.ndarray, n: np.ndarray, count: np.ndarray, cls: pa.Array | None, sig: pa.Array | None, kept: pa.Array | None) -> pa.RecordBatch:
     k, of = len(doc), pa.array(doc)
     columns = [batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(line, pa.int32()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(count, pa.int64())]
     columns += [x if x is not None else pa.nulls(k, pa.binary()) for x in (cls, sig)]
-    columns.append(pa.array(value.view(np.int64)) if value is not None else pa.nulls(k, pa.int64()))
-    return pa.record_batch(columns, [x.split()[0] for x in UNITS.split(", ")])
+    columns.append(kept if kept is not None else pa.nulls(k, KEPT))
+    return pa.record_batch(columns, ["doc_id", "text_key", "line", "first_word", "n_words", "n_shingles", "cls", "registers", "kept"])
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +170,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     all_units = scratch.cut(units(docs), "units")
     paragraphs = scratch.cut(_paragraphs(docs, all_units.where("cls is not null"), scratch), "paragraphs")
     scratch.close("units", "paragraphs")
-    passages = scratch.cut(_passages(docs, all_units.where("print is not null"), scratch), "passages")
+    passages = scratch.cut(_passages(docs, all_units.where("kept is not null").select("doc_id", "text_key", F.explode("kept").alias("w")).select("doc_id", "text_key", "w.*"), scratch), "passages")
     scratch.close("paragraphs", "passages")
     return paragraphs.union(passages)
 
