@@ -178,6 +178,16 @@ def repeated(docs: DataFrame) -> DataFrame:
 PLACE = ("doc_id", "text_key", "first_word")
 
 
+def _reaches(met: DataFrame) -> DataFrame:
+    """left and right: how many words before and after agree with the first occurrence's. A hash is of all words up to its own, so the last one that
+    agrees is found by halving."""
+    met = met.withColumns({"left": F.lit(0), "right": F.lit(0)})
+    for step in (1 << k for k in reversed(range(REACH.bit_length()))):
+        further = lambda side, n: F.when(F.get(side, F.col(n) + (step - 1)) == F.get(f"first.{side}", F.col(n) + (step - 1)), F.col(n) + step).otherwise(F.col(n))  # noqa: B023, E731
+        met = met.withColumns({"left": further("before", "left"), "right": further("after", "right")})
+    return met
+
+
 def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     def fetch(wanted: DataFrame) -> DataFrame:
         # By document first: one that holds several wanted paragraphs is joined once and split once.
@@ -208,8 +218,7 @@ def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame
     asked = own.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     seen = scratch.cut(contexts(asked), "seen")
     heads = seen.groupBy("exact").agg(low, high, F.min(F.struct(*PLACE, "before", "after")).alias("first")).where("low <> high").drop("low", "high")
-    agree = lambda side: F.size(F.filter(F.zip_with(side, f"first.{side}", lambda x, y: x == y), lambda x: x))
-    hits = seen.join(heads, "exact").select(*PLACE, "exact", place.eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in PLACE])).alias("kept"), agree("before").alias("left"), agree("after").alias("right")).distinct()
+    hits = _reaches(seen.join(heads, "exact")).select(*PLACE, "exact", place.eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in PLACE])).alias("kept"), "left", "right").distinct()
     hits = scratch.cut(hits, "hits")
     scratch.drop("seen", "spots")
     # A first occurrence reaches as far as the farthest of the others does.
