@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files that are done with go, and a join one side of which was shuffled into partitions of at most 64 MB each
+#: looks up that side by hash and sorts neither; larger ones are sorted and can spill.
+WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB"}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words between ASCII white space, and words of letters and digits (ASCII ones, and all that is not ASCII).
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -39,12 +41,14 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.paths[name] = path = f"{self.root}/{name}-{len(self.paths)}"
         # What the table was made from is not asked for again: its shuffle files go when it is written, and not when the driver collects garbage.
-        was = self.spark.conf.get(TIDY, None)
-        self.spark.conf.set(TIDY, "true")
+        was = {key: self.spark.conf.get(key, None) for key in WRITES}
+        for key, value in WRITES.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(TIDY) if was is None else self.spark.conf.set(TIDY, was)
+            for key, value in was.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

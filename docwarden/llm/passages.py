@@ -218,12 +218,14 @@ def _passages(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame
     asked = own.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     seen = scratch.cut(contexts(asked), "seen")
     heads = seen.groupBy("exact").agg(low, high, F.min(F.struct(*PLACE, "before", "after")).alias("first")).where("low <> high").drop("low", "high")
-    hits = _reaches(seen.join(heads, "exact")).select(*PLACE, "exact", place.eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in PLACE])).alias("kept"), "left", "right").distinct()
-    hits = scratch.cut(hits, "hits")
+    hits = _reaches(seen.join(heads, "exact")).withColumn("head", F.struct(*[F.col(f"first.{c}").alias(c) for c in PLACE]))
+    hits = scratch.cut(hits.select(*PLACE, "exact", "head", place.eqNullSafe(F.col("head")).alias("kept"), "left", "right"), "hits")
     scratch.drop("seen", "spots")
     # A first occurrence reaches as far as the farthest of the others does.
-    far = hits.where("not kept").groupBy("exact").agg(F.max("left").alias("far_left"), F.max("right").alias("far_right"))
-    hits = hits.join(far, "exact", "left").withColumns({"left": F.when(F.col("kept"), F.coalesce("far_left", F.lit(0))).otherwise(F.col("left")), "right": F.when(F.col("kept"), F.coalesce("far_right", F.lit(0))).otherwise(F.col("right"))})
+    others = hits.where("not kept")
+    firsts = others.groupBy("exact", *[F.col(f"head.{c}").alias(c) for c in PLACE]).agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    hits = others.drop("head").unionByName(firsts.withColumn("kept", F.lit(True)))
+    hits = hits.repartition("doc_id", "text_key").distinct()  # the windows below need this partitioning, repeated rows go without another
     of = W.partitionBy("doc_id", "text_key").orderBy("first_word")
     follows = F.col("first_word") - F.lag("first_word").over(of) <= RUN
     chained = hits.withColumns({"goes_on": F.coalesce(follows, F.lit(False)), "same": F.coalesce(follows & (F.lag("kept").over(of) == F.col("kept")), F.lit(False)), "name": F.xxhash64("exact")})
