@@ -20,12 +20,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     edges = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark, held = _mark(edges), [x for x in scratch.paths if x == "edges"]
     for k in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low, "a")
-        star = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        # Edges lead from the larger node (a) to the smaller (b), so a node's smallest neighbour is a b, or itself where it has none.
+        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        linked = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        star = linked.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).where("a <> b").distinct()
         edges = scratch.cut(star, f"edges{k}")
         scratch.drop(*held)
         held = [f"edges{k}"]

@@ -73,15 +73,18 @@ def registers(value: np.ndarray, owner: np.ndarray, n_docs: int, buckets: int) -
     at = owner * buckets + (h >> np.uint64(64 - bits)).astype(np.int64)
     rest = h << np.uint64(bits)
     np.minimum.at(low, at, rest)
-    full = (low != none).reshape(n_docs, buckets)
-    zeros = np.zeros(len(low), np.uint64)
-    x = low.copy()
+    held = np.flatnonzero(low != none)  # of short texts few buckets are
+    x, zeros = low[held], np.zeros(len(held), np.uint64)
     for step in (32, 16, 8, 4, 2, 1):
         small = x < (np.uint64(1) << np.uint64(64 - step))
         zeros[small] += np.uint64(step)
         x[small] <<= np.uint64(step)
     mantissa = (x << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    out = ((np.minimum(zeros, 63) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).reshape(n_docs, buckets)
+    out = np.zeros(len(low), np.uint16)
+    out[held] = (np.minimum(zeros, 63) << np.uint64(MANTISSA)) | mantissa
+    full = np.zeros(len(low), bool)
+    full[held] = True
+    out, full = out.reshape(n_docs, buckets), full.reshape(n_docs, buckets)
     row, bucket = np.nonzero(full.any(1)[:, None] & ~full)
     probes = _probes(buckets) if len(row) else None
     for k in range(buckets if len(row) else 0):  # each empty bucket goes along its probing order until it meets a full one
@@ -110,7 +113,7 @@ def _matrix(column: pa.Array, shape: Shape) -> np.ndarray:
 
 
 def signatures(value: np.ndarray, owner: np.ndarray, n: int, shape: Shape) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Of n sets of distinct shingles: their sizes, 128 bits that name the set, and their registers (both None for an empty set)."""
+    """Of n sets of distinct shingles: their sizes, 128 bits that name the set (None for an empty set), and registers of those of at least ALONE."""
     count = np.bincount(owner, minlength=n)
     sums = np.zeros((n, 2), np.uint64)
     has = np.flatnonzero(count)
@@ -119,8 +122,11 @@ def signatures(value: np.ndarray, owner: np.ndarray, n: int, shape: Shape) -> tu
         for i, seed in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
             sums[has, i] = np.add.reduceat(tk.mixed(value ^ np.uint64(seed)), first)
         sums[has, 1] ^= tk.mixed(count[has].astype(np.uint64))
-    regs = registers(value, owner, n, shape.buckets)[:, : shape.width]
-    return count, _rows_of(sums, count > 0), _rows_of(regs, count > 0)
+    signed = count >= ALONE
+    asked, rank = signed[owner], np.cumsum(signed) - 1
+    regs = np.zeros((n, shape.width), np.uint16)
+    regs[signed] = registers(value[asked], rank[owner[asked]], int(signed.sum()), shape.buckets)[:, : shape.width]
+    return count, _rows_of(sums, count > 0), _rows_of(regs, signed)
 
 
 def _rows_of(matrix: np.ndarray, known: np.ndarray) -> pa.Array:

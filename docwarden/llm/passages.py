@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,7 +81,6 @@ def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         value, owner = tk.without_repeats(*tk.shingles(hashes[chosen], rank[para][chosen], len(long)))
         count, cls, sig = signatures(value, owner, len(long), PARAGRAPHS)
         f = first[long]
-        sig = pc.if_else(pa.array(count >= ALONE), sig, pa.scalar(None, pa.binary()))  # smaller sets meet their equals only
         yield _rows(batch, doc[f], line_of[f], f - base[doc[f]], size[long], count, cls, sig, None)
     value, owner, spot = windows(hashes, doc)
     if len(value):
