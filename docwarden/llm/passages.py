@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -135,7 +135,7 @@ def contexts(texts: DataFrame) -> DataFrame:
             for batch in tk.slices(whole, "text", 2 << 20):
                 yield from _contexts(batch)
 
-    return texts.select("doc_id", "text_key", "text", "spots").mapInArrow(run, "doc_id long, text_key long, first_word int, exact binary, before array<int>, after array<int>")
+    return texts.select("doc_id", "text_key", "text", "spots").mapInArrow(run, "doc_id long, text_key long, first_word int, exact binary, before binary, after binary")
 
 
 def _contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -149,17 +149,24 @@ def _contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     spot = lists.flatten().to_numpy().astype(np.int64)
     first, stop = base[which] + spot, base[which] + spot + WINDOW
     exact = [hashlib.sha256(b" ".join(raw[start[i] : end[j - 1]].split())).digest()[:16] for i, j in zip(first, stop)]
-    sides = []
-    for step, edge, room in ((-1, first - 1, spot), (1, stop, base[which + 1] - stop)):
-        room = np.minimum(room, REACH)
-        value, out = np.zeros(len(spot), np.uint64), np.zeros((len(spot), REACH), np.uint64)
-        for k in range(REACH):
-            word = hashes[np.clip(edge + k * step, 0, len(hashes) - 1)]
-            out[:, k] = value = tk.mixed(value * np.uint64(0xFF51AFD7ED558CCD) + word)
-        inside = np.arange(REACH)[None, :] < room[:, None]
-        sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(room)]), pa.int32()), pa.array((out[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32))))
-    of = pa.array(which)
-    yield pa.record_batch([batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(spot, pa.int32()), pa.array(exact, pa.binary()), *sides], ["doc_id", "text_key", "first_word", "exact", "before", "after"])
+    exact = pa.array(exact, pa.binary())
+    for i in range(0, len(spot), 1 << 20):
+        part = slice(i, i + (1 << 20))
+        room, of = spot[part], pa.array(which[part])
+        sides = [_side(hashes, -1, first[part] - 1, room), _side(hashes, 1, stop[part], base[which[part] + 1] - stop[part])]
+        yield pa.record_batch([batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(room, pa.int32()), exact[part], *sides], ["doc_id", "text_key", "first_word", "exact", "before", "after"])
+
+
+def _side(hashes: np.ndarray, step: int, edge: np.ndarray, room: np.ndarray) -> pa.Array:
+    """Of each window the hashes, four bytes each, of the first 1, 2 .. words from edge on, REACH of them or as many as there is room for."""
+    room = np.minimum(room, REACH)
+    value, out = np.zeros(len(edge), np.uint64), np.zeros((len(edge), REACH), np.uint64)
+    for k in range(REACH):
+        word = hashes[np.clip(edge + k * step, 0, len(hashes) - 1)]
+        out[:, k] = value = tk.mixed(value * np.uint64(0xFF51AFD7ED558CCD) + word)
+    inside = np.arange(REACH)[None, :] < room[:, None]
+    at = pa.py_buffer((4 * np.concatenate([[0], np.cumsum(room)])).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(edge), [None, at, pa.py_buffer((out[inside] >> np.uint64(32)).astype(np.uint32).tobytes())])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -181,11 +188,16 @@ def _reaches(met: DataFrame) -> DataFrame:
     agrees is found by halving."""
     met = met.withColumns({"left": F.lit(0), "right": F.lit(0)})
     for step in (1 << k for k in reversed(range(REACH.bit_length()))):
-        further = lambda side, n: F.when(F.get(side, F.col(n) + (step - 1)) == F.get(f"first.{side}", F.col(n) + (step - 1)), F.col(n) + step).otherwise(F.col(n))  # noqa: B023, E731
-        met = met.withColumns({"left": further("before", "left"), "right": further("after", "right")})
+        met = met.withColumns({n: F.when(_same(side, F.col(n) + step), F.col(n) + step).otherwise(F.col(n)) for side, n in (("before", "left"), ("after", "right"))})
     return met
 
 
+def _same(side: str, n: Column) -> Column:
+    """Whether there are n words on that side and their hash is the first occurrence's."""
+    own, first = (F.substring(x, 4 * n - 3, F.lit(4)) for x in (F.col(side), F.col(f"first.{side}")))
+    return (F.octet_length(side) >= 4 * n) & (own == first)
+
+
 def _paragraphs(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     def fetch(wanted: DataFrame) -> DataFrame:
         # By document first: one that holds several wanted paragraphs is joined once and split once.
