@@ -106,6 +106,12 @@ def signature_line(source: Column) -> Column:
 
 #: Embedding texts are joined by a backslash and an n, two characters, as their consumers expect.
 JOINER = "\\n"
+#: Unicode's space separators; Spark's trim takes off U+0020 alone unless it is given others.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def without_spaces_around(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES))
 
 
 def code_embedding_text(symbol_type: Column, symbol_name: Column, docstring: Column, source: Column) -> Column:
@@ -113,7 +119,7 @@ def code_embedding_text(symbol_type: Column, symbol_name: Column, docstring: Col
 
 
 def doc_embedding_text(heading: Column, text: Column) -> Column:
-    return F.trim(F.concat_ws(JOINER, F.nullif(heading, F.lit("")), F.nullif(text, F.lit(""))))
+    return without_spaces_around(F.concat_ws(JOINER, F.nullif(heading, F.lit("")), F.nullif(text, F.lit(""))))
 
 
 def query_text(claim: Column, guess: Column) -> Column:

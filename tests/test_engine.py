@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from docwarden import cli
+from docwarden.functions import expressions as x
 from docwarden.operators import chunking
 from docwarden.plans.catalogue import ORACLES, QUERIES
 
@@ -34,6 +35,39 @@ def test_query_matches_its_sql(spark, name):
     assert sorted([same(r[c]) for c in columns] for r in got.collect()) == sorted([same(v) for v in r] for r in want.fetchall())
 
 
+ODD_TEXTS = [None, "", "  \n", "\n", "\t", "\u00a0", "\u3000a\u2003", " a ", "a\n", "\u200b", "\\n"]
+
+
+def odd_documents(folder):
+    """Missing, empty and blank texts, sources and languages, wide spaces at either end, and rows without an id."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(k * len(ODD_TEXTS) + i, text, source) for k, source in enumerate(["s", None, "", " ", "\u2003s"]) for i, text in enumerate(ODD_TEXTS)]
+    rows = [(doc_id, text, ("en", "de", None)[doc_id % 3], source) for doc_id, text, source in rows] + [(-3, "", "it", ""), (-4, None, "pt", None), (None, "a", "en", "s"), (None, None, "zz", "s")]
+    kinds = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string()}
+    pq.write_table(pa.table({c: pa.array(v, kind) for (c, kind), v in zip(kinds.items(), zip(*rows))}), folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["q07_embedding_text"])
+def test_odd_documents_match_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    odd = odd_documents(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd}/documents.parquet')")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert sorted([repr(r[c]) for c in columns] for r in entry.queries()[name](spark, odd).collect()) == sorted([repr(v) for v in r] for r in want.fetchall())
+
+
+def test_embedding_texts_leave_out_empty_parts(spark):
+    rows = spark.createDataFrame([("h", "t"), ("h", ""), ("", "t"), (None, "t"), ("h", None), ("", None), ("\u2003h", "t\u3000")], "heading string, text string")
+    got = [r[0] for r in rows.select(x.doc_embedding_text(rows.heading, rows.text)).collect()]
+    assert got == ["h\\nt", "h", "t", "t", "h", "", "h\\nt"]
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 1
 
